@@ -99,7 +99,7 @@ def backtest(spark: SparkSession, sf: str, fracs=(0.5, 0.65, 0.75)) -> DataFrame
 
 def ens(spark: SparkSession, sf: str) -> DataFrame:
     c = cand(spark, sf).select("well", "seq", "event_id", "y", "s")
-    c = c.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(8))).cast("long"))
+    c = c.withColumn("seed", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))))
     noise = ((F.col("event_id") * 7919 + F.col("seed") * 104729) % 2001 - 1000) / 100.0
     return c.withColumn("value", F.col("s") + noise).drop("event_id")
 
