@@ -102,21 +102,15 @@ def quantile_bin(df: DataFrame, x: str, probs: list[float], out: str) -> DataFra
     return t.withColumn(out, b).drop("__one", *names)
 
 
-def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Rank correlation of pooled columns with average ranks for ties."""
+def spearman(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rank correlation of pooled columns with average ranks for ties; all columns are ranked in one pass."""
     cols = sorted({c for p in pairs for c in p})
-    t = df
-    for c in cols:
-        t = _ranked(t, c)
-    aggs = [F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}|{b}") for a, b in pairs]
+    long = unpivot(df, [key], cols, "col", "v").withColumn("v", F.col("v") + F.lit(0.0))
+    r = value_ranks(long, ["col"], F.col("v")).select("col", "v", (F.col("r0") + (F.col("c") + 1) / 2).alias("r"))
+    wide = long.join(r, ["col", "v"]).groupBy(key).agg(*[
+        F.max(F.when(F.col("col") == c, F.col("r"))).alias(c) for c in cols])
     items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs])
-    return t.agg(*aggs).select(F.inline(items))
-
-
-def _ranked(df: DataFrame, c: str) -> DataFrame:
-    r = value_ranks(df, [], F.col(c)).select(
-        F.col("v").alias(c), (F.col("r0") + (F.col("c") + 1) / 2).alias(f"__r_{c}"))
-    return df.withColumn(c, F.col(c).cast("double")).join(r, c)
+    return wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).select(F.inline(items))
 
 
 def partial_corr(df: DataFrame, x: Column, y: Column, z: Column) -> DataFrame:

@@ -450,8 +450,8 @@ def sql_rank(c):
 WITH {FEAT}, r AS (SELECT {', '.join(sql_rank(c) for c in ['rmse', 'n_pred', 'lv', 'dip'])} FROM ft)
 {' UNION ALL '.join(f"SELECT 'rmse' AS a, '{b}' AS b, corr(r_rmse, r_{b}) AS rho FROM r" for b in ['n_pred', 'lv', 'dip'])}""", digits=4)
 def spearman_features(spark, sf):
-    f = feature_rows(spark, sf).select(*[F.round(c, 9).alias(c) for c in ["rmse", "n_pred", "lv", "dip"]])
-    return M.spearman(f, [("rmse", "n_pred"), ("rmse", "lv"), ("rmse", "dip")])
+    f = feature_rows(spark, sf).select("well", *[F.round(c, 9).alias(c) for c in ["rmse", "n_pred", "lv", "dip"]])
+    return M.spearman(f, "well", [("rmse", "n_pred"), ("rmse", "lv"), ("rmse", "dip")])
 
 
 @query("partial_correlation", "E24", "rxy:d rxz:d ryz:d partial:d", f"""
