@@ -44,32 +44,35 @@ def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exc
     """queries(qid, qgrp, u, v) x points(id, grp, u, v) -> qid, id, dist, rank (1..k, ties by id)."""
     if not exclude_own:
         queries = queries.withColumn("qgrp", F.lit(None).cast(points.schema["grp"].dataType))
-    pts = thin_coincident(points.select("id", "grp", "u", "v"), k)
-    fr = _frame(pts)
-    p = pts.withColumn("one", F.lit(1)).join(fr, "one")
+    top = F.lit(levels)
+    fr = _frame(points)
+    p = thin_coincident(points.select("id", "grp", "u", "v"), k).withColumn("one", F.lit(1)).join(fr, "one")
+    p = p.withColumn("fx", _cell("u", "u0", top)).withColumn("fy", _cell("v", "v0", top))
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-    pl = p.select("grp", "u", "v", "u0", "v0", "side", lv.alias("lvl"))
-    pl = pl.withColumn("cx", _cell("u", "u0", F.col("lvl"))).withColumn("cy", _cell("v", "v0", F.col("lvl")))
-    by_grp = pl.groupBy("lvl", "cx", "cy", "grp").agg(F.count(F.lit(1)).alias("c"))
+
+    def up(c):
+        """Ancestor cell: drop the low bits of the finest cell number."""
+        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(levels) - F.col("lvl"))).cast("long")
+
+    # Counts are rolled up from the finest cells, so points are not repeated per level.
+    fine = p.groupBy("fx", "fy", "grp").agg(F.count(F.lit(1)).alias("c"))
+    by_grp = fine.withColumn("lvl", lv).groupBy("lvl", up("fx").alias("cx"), up("fy").alias("cy"), "grp").agg(F.sum("c").alias("c"))
     cells = by_grp.groupBy("lvl", "cx", "cy").agg(F.sum("c").alias("tot"), F.max(F.struct("c", "grp")).alias("top"))
     cells = cells.select("lvl", "cx", "cy", "tot", F.col("top")["grp"].alias("dom"))
 
     q = queries.select("qid", "qgrp", "u", "v").withColumn("one", F.lit(1)).join(fr, "one")
+    q = q.withColumn("fx", _cell("u", "u0", top)).withColumn("fy", _cell("v", "v0", top))
     inside = (F.col("u") >= F.col("u0")) & (F.col("v") >= F.col("v0")) & (F.col("u") < F.col("u0") + F.col("side")) & (
         F.col("v") < F.col("v0") + F.col("side"))
-    ql = q.withColumn("lvl", lv)
-    ql = ql.withColumn("cx", _cell("u", "u0", F.col("lvl"))).withColumn("cy", _cell("v", "v0", F.col("lvl")))
-    # Foreign points per query-group and cell, counted once per (cell, group) rather than per query.
-    need = ql.groupBy("lvl", "cx", "cy", "qgrp").agg(F.lit(1).alias("__x")).join(cells, ["lvl", "cx", "cy"])
-    own = by_grp.withColumnRenamed("grp", "qgrp")
-    need = need.join(own, ["lvl", "cx", "cy", "qgrp"], "left")
-    enough = need.where(F.col("tot") - F.coalesce("c", F.lit(0)) >= k).select(
-        "lvl", "cx", "cy", "qgrp", F.lit(True).alias("__ok"))
-    on = [ql["lvl"] == enough["lvl"], ql["cx"] == enough["cx"], ql["cy"] == enough["cy"], ql["qgrp"].eqNullSafe(enough["qgrp"])]
-    cond = on[0] & on[1] & on[2] & on[3]
-    best = ql.join(enough, cond, "left_semi").groupBy("qid").agg(F.max("lvl").alias("lvl"))
+    # The level is decided once per finest cell and query group, not per query.
+    need = q.where(inside).select("fx", "fy", "qgrp").distinct().withColumn("lvl", lv)
+    need = need.withColumn("cx", up("fx")).withColumn("cy", up("fy")).join(cells.select("lvl", "cx", "cy", "tot"), ["lvl", "cx", "cy"])
+    need = need.join(by_grp.withColumnRenamed("grp", "qgrp"), ["lvl", "cx", "cy", "qgrp"], "left")
+    best = need.where(F.col("tot") - F.coalesce("c", F.lit(0)) >= k).groupBy("fx", "fy", "qgrp").agg(F.max("lvl").alias("lvl"))
+    bx = best.select(F.col("fx").alias("bx"), F.col("fy").alias("by"), F.col("qgrp").alias("bg"), "lvl")
+    q = q.join(bx, (F.col("fx") == F.col("bx")) & (F.col("fy") == F.col("by")) & F.col("qgrp").eqNullSafe(F.col("bg")), "left")
     # A query outside the square, or with fewer than k foreign points anywhere, searches from level 0.
-    q = q.join(best, "qid", "left").withColumn("lvl", F.when(inside, F.coalesce("lvl", F.lit(0))).otherwise(F.lit(0)))
+    q = q.withColumn("lvl", F.when(inside, F.coalesce("lvl", F.lit(0))).otherwise(F.lit(0)))
     q = q.withColumn("cx", _cell("u", "u0", F.col("lvl"))).withColumn("cy", _cell("v", "v0", F.col("lvl")))
     ring = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
     everywhere = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")))
@@ -89,11 +92,11 @@ def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exc
     q = q.select("qid", "qgrp", F.col("u").alias("qu"), F.col("v").alias("qv"), "lvl", "cx", "cy", F.explode(parts).alias("part"))
 
     used = q.select("lvl", "cx", "cy", "part").distinct()
-    tp = p.select("id", "grp", "u", "v", "u0", "v0", "side", lv.alias("lvl"))
-    tp = tp.withColumn("cx", _cell("u", "u0", F.col("lvl"))).withColumn("cy", _cell("v", "v0", F.col("lvl")))
-    tp = tp.join(cells.select("lvl", "cx", "cy", "dom"), ["lvl", "cx", "cy"])
-    tp = tp.select("id", "grp", "u", "v", "lvl", "cx", "cy", F.when(F.col("grp") == F.col("dom"), 1).otherwise(0).alias("part"))
-    tp = tp.join(used, ["lvl", "cx", "cy", "part"], "left_semi")
+    # Which levels a finest cell is asked for, then each point goes to those levels only.
+    asked = fine.select("fx", "fy").distinct().withColumn("lvl", lv).withColumn("cx", up("fx")).withColumn("cy", up("fy"))
+    asked = asked.join(used, ["lvl", "cx", "cy"]).join(cells.select("lvl", "cx", "cy", "dom"), ["lvl", "cx", "cy"])
+    tp = p.join(asked, ["fx", "fy"]).where(F.col("part") == (F.col("grp") == F.col("dom")).cast("int"))
+    tp = tp.select("id", "grp", "u", "v", "lvl", "cx", "cy", "part")
     j = q.join(tp, ["lvl", "cx", "cy", "part"]).where(~F.col("grp").eqNullSafe(F.col("qgrp")))
     j = j.select("qid", "id", F.hypot(F.col("u") - F.col("qu"), F.col("v") - F.col("qv")).alias("dist"))
     # Cut to k per query and salt before the final ranking.
