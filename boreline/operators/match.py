@@ -2,38 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordering import framed
-
-
-def path_matches(grids: DataFrame, key: str, tol: float, cell: float, min_rows: int = 10, cover: float = 0.5) -> DataFrame:
-    """Best near-copy of each path (columns key, g, x, y on a common grid): id, mean distance, coverage.
-
-    Candidates come from rows of equal grid number that are close in the plane, found through cells of
-    side `cell`, and never from all pairs of series.  A pair with mean L1 distance below `tol` must have at
-    least one row below `tol`, so with cell >= tol no match is lost.  The means are then taken over the
-    whole overlap.  A place shared by many paths is a hot cell: only one witness per pair leaves it."""
-    span = grids.groupBy(key).agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
-    cx, cy = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
-    a = grids.select(F.col(key).alias("a"), "g", F.col("x").alias("xa"), F.col("y").alias("ya"), cx.alias("cx"), cy.alias("cy"))
+from .quantiles import value_ranks
+
+
+def path_matches(grids: DataFrame, key: str, tol: float, checkpoint: Callable[[DataFrame], DataFrame], min_rows: int = 10,
+                 cover: float = 0.5, levels: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+    """Closest near-copy of each path (columns key, g, x, y on a common grid) with mean L1 distance below `tol`.
+
+    Exact, without pairing all series of one place:
+    * identical paths are found by hash and answered at once, one of them stands for all afterwards;
+    * tolerances go from tol/64 up to tol, and a series that has a match below a tolerance is finished,
+      so dense bundles of copies are settled in small cells;
+    * a mean below t means at least half of the overlap lies within 2t.  The overlap covers at least
+      `cover` of the series, so a share cover/2 of its rows must meet the match, and it is enough to
+      search from the rows in the least crowded cells.  Places that many series share are left out."""
+    span = grids.groupBy(key).agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count(F.lit(1)).alias("rows"), *[
+        F.sum(F.xxhash64("g", "x", "y", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)])
+    same = ["g0", "g1", "rows", "s1", "s2"]
+    grp = span.groupBy(*same).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    who = checkpoint(span.join(grp, same).select(key, "g0", "g1", "rep", "copies"))
+    long = F.col("g1") - F.col("g0") + 1 >= min_rows
+    second = who.where(F.col(key) != F.col("rep")).groupBy("rep").agg(F.min(key).alias("second"))
+    twin = who.where((F.col("copies") > 1) & long).join(second, "rep").select(
+        key, F.when(F.col(key) == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("match"), F.lit(0.0).alias("dist"), F.lit(1.0).alias("cover"))
+    reps = who.where(F.col(key) == F.col("rep"))
+    rows = checkpoint(grids.join(reps.select(key), key, "left_semi"))
+    todo = reps.where((F.col("copies") == 1) & long).select(key)
+    sa = reps.select(F.col(key).alias("a"), F.col("g0").alias("a0"), F.col("g1").alias("a1"))
+    sb = reps.select(F.col(key).alias("b"), F.col("g0").alias("b0"), F.col("g1").alias("b1"))
     off = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = grids.select(F.col(key).alias("b"), "g", F.col("x").alias("xb"), F.col("y").alias("yb"), cx.alias("c0"), cy.alias("d0"), F.inline(off))
-    b = b.select("b", "g", "xb", "yb", (F.col("c0") + F.col("dx")).alias("cx"), (F.col("d0") + F.col("dy")).alias("cy"))
     l1 = F.abs(F.col("xa") - F.col("xb")) + F.abs(F.col("ya") - F.col("yb"))
-    pairs = a.join(b, ["g", "cx", "cy"]).where((F.col("a") != F.col("b")) & (l1 < tol)).select("a", "b").distinct()
-    sa = span.select(F.col(key).alias("a"), F.col("g0").alias("a0"), F.col("g1").alias("a1"))
-    sb = span.select(F.col(key).alias("b"), F.col("g0").alias("b0"), F.col("g1").alias("b1"))
     lo, hi = F.greatest("a0", "b0"), F.least("a1", "b1")
-    pairs = pairs.join(sa, "a").join(sb, "b").where(
-        (F.col("a1") - F.col("a0") + 1 >= min_rows) & (hi - lo >= cover * (F.col("a1") - F.col("a0")))).select(
-        "a", "b", ((hi - lo) / (F.col("a1") - F.col("a0"))).alias("cover"))
-    full = pairs.join(a.drop("cx", "cy"), "a").join(b.select("b", "g", "xb", "yb").distinct(), ["b", "g"])
-    d = full.groupBy("a", "b", "cover").agg(F.avg(l1).alias("dist")).where(F.col("dist") < tol)
-    best = d.groupBy("a").agg(F.min(F.struct("dist", "b", "cover")).alias("m"))
-    return best.select(F.col("a").alias(key), F.col("m")["b"].alias("match"), F.col("m")["dist"].alias("dist"), F.col("m")["cover"].alias("cover"))
+    found = twin
+    for lv in levels:
+        t = tol / lv
+        side = 2 * t
+        b = rows.select(F.col(key).alias("b"), "g", F.col("x").alias("xb"), F.col("y").alias("yb"),
+                        F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+        crowd = b.select("g", "cx", "cy", F.inline(off)).groupBy(
+            "g", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).agg(F.count(F.lit(1)).alias("crowd"))
+        a = rows.join(todo, key, "left_semi").select(F.col(key).alias("a"), "g", F.col("x").alias("xa"), F.col("y").alias("ya"),
+                                                     F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+        a = a.join(crowd, ["g", "cx", "cy"])
+        # Crowding level up to which enough rows of the series are kept.
+        lim = value_ranks(a, ["a"], F.col("crowd"))
+        keep = F.floor(F.col("n") * (1 - cover / 2)) + 1
+        lim = lim.groupBy("a").agg(F.min(F.when(F.col("r0") + F.col("c") >= F.least(keep, F.col("n")), F.col("v"))).alias("lim"))
+        q = a.join(lim, "a").where(F.col("crowd") <= F.col("lim")).select("a", "g", "xa", "ya", "cx", "cy", F.inline(off))
+        q = q.select("a", "g", "xa", "ya", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+        pairs = q.join(b, ["g", "cx", "cy"]).where((F.col("a") != F.col("b")) & (l1 < side)).select("a", "b").distinct()
+        pairs = pairs.join(sa, "a").join(sb, "b").where(hi - lo >= cover * (F.col("a1") - F.col("a0"))).select(
+            "a", "b", ((hi - lo) / (F.col("a1") - F.col("a0"))).alias("cover"))
+        full = pairs.join(a.select("a", "g", "xa", "ya"), "a").join(b.select("b", "g", "xb", "yb"), ["b", "g"])
+        d = full.groupBy("a", "b", "cover").agg(F.avg(l1).alias("dist")).where(F.col("dist") < t)
+        best = d.groupBy("a").agg(F.min(F.struct("dist", "b", "cover")).alias("m"))
+        best = checkpoint(best.select(F.col("a").alias(key), F.col("m")["b"].alias("match"), F.col("m")["dist"].alias("dist"), F.col("m")["cover"].alias("cover")))
+        found = found.unionByName(best)
+        todo = checkpoint(todo.join(best, key, "left_anti"))
+    return found
 
 
 def grid_at(arr: Column, pos: Column) -> Column:

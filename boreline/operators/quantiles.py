@@ -15,7 +15,7 @@ from .ordering import CELL_ROWS, _cell
 
 def value_ranks(df: DataFrame, keys: list[str], value: Column, weight: Column | None = None,
                 cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per (keys, v): `c` rows, `w` weight, `r0` rows below v, `w0` weight below v, `n`, `wn` totals."""
+    """Keys must not be named like the result columns.  One row per (keys, v): `c` rows, `w` weight, `r0` rows below v, `w0` weight below v, `n`, `wn` totals."""
     wt = F.lit(1.0) if weight is None else weight
     freq = (df.select(*keys, value.cast("double").alias("v"), wt.cast("double").alias("__w"))
             .where(F.col("v").isNotNull())

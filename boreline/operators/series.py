@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip
 from .ordering import fill_linear, framed, neighbours_known, running_sum
 
 
@@ -170,5 +168,3 @@ def decimate_refill(df: DataFrame, keys: list[str], v: str, pos: Column, step: i
     t = df.withColumn("__d", F.when(F.pmod(pos, F.lit(step)) == 0, F.col(v)))
     return fill_linear(t, keys, "__d", out).drop("__d")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -86,7 +86,7 @@ def evaluate(wells: DataFrame, curves: DataFrame | None, fn: Callable[..., objec
         return pd.DataFrame({key: ids[0], "seq": known["seq"].to_numpy()[first:], "pred": pred})
 
     if curves is None:
-        curves = ok.select(key).where(F.lit(False))
+        curves = wells.sparkSession.createDataFrame([], f"{key} {kt}")
     return shown.groupBy(key).cogroup(curves.groupBy(key)).applyInPandas(
         lambda ids, a, b: run(ids, a, b) if len(a) else pd.DataFrame({key: [], "seq": [], "pred": []}), f"{key} {kt}, seq long, pred double")
 

@@ -313,10 +313,11 @@ def backtest_mix(spark, sf, fracs=(0.5, 0.65, 0.75)):
     pre, at = seq < cut, seq == cut - 1
     a = m.groupBy("well", "frac").agg(
         F.max(F.when(at, F.col("tvt"))).alias("f"), F.max(F.when(at, F.col("z"))).alias("z0"), F.avg(F.when(pre, F.col("tvt"))).alias("p"),
+        F.median(F.when(pre & (seq >= cut - B.TAIL), F.col("tvt"))).alias("s"),
         F.regr_slope(F.when(pre, F.col("tvt")), F.when(pre, F.col("md"))).alias("sl"),
         F.regr_intercept(F.when(pre, F.col("tvt")), F.when(pre, F.col("md"))).alias("ic"))
     return m.where(seq >= cut).join(a, ["well", "frac"]).select(
-        "well", "frac", F.col("tvt").alias("y"), (F.col("ic") + F.col("sl") * F.col("md")).alias("g"),
+        "well", "frac", "s", "p", F.col("tvt").alias("y"), (F.col("ic") + F.col("sl") * F.col("md")).alias("g"),
         (F.col("f") + F.col("z0") - F.col("z")).alias("l"), (F.col("p") + (F.col("event_id") * 7919 % 201 - 100) / 20.0).alias("m"))
 
 

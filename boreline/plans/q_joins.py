@@ -87,6 +87,10 @@ pr AS (SELECT a.well, b.well AS match, avg(abs(a.x - b.x) + abs(a.y - b.y)) AS d
 TOL = 400.0
 
 
+def ck(df):
+    return materialize(df, "match")
+
+
 def path_grids(s):
     return materialize(S.resample(s, ["well"], "md", ["x", "y"], 500.0), "grids")
 
@@ -95,7 +99,7 @@ def path_grids(s):
 WITH {GRID} SELECT well, arg_min(match, dist) AS match, min(dist) AS dist, arg_min(cover, dist) AS cover FROM pr WHERE dist < {TOL} GROUP BY well""", digits=4)
 def path_matches(spark, sf):
     """Series that follow nearly the same path on a common grid."""
-    return X.path_matches(path_grids(B.series(spark, sf, xy=True)), "well", TOL, TOL)
+    return X.path_matches(path_grids(B.series(spark, sf, xy=True)), "well", TOL, ck)
 
 
 @query("guarded_override", "D11", "well:l match:l c:d prermse:d accepted:b n:l", f"""
@@ -110,7 +114,7 @@ FROM q JOIN c USING (well) GROUP BY q.well, match""", digits=4)
 def guarded_override(spark, sf):
     """Values of the matched series read by depth, used only when they reproduce the known part."""
     s = materialize(B.series(spark, sf, xy=True), "series")
-    m = X.path_matches(path_grids(s), "well", TOL, TOL).select("well", "match")
+    m = X.path_matches(path_grids(s), "well", TOL, ck).select("well", "match")
     rows = B.evaluable(s).join(m, "well").select("well", "match", "seq", "cut", "x", "md")
     copy = s.select(F.col("well").alias("match"), F.col("md").alias("k"), F.col("x").alias("v"))
     t = L.curve_lookup(rows, F.col("md"), copy, ["match"], "s", 200.0)

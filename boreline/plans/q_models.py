@@ -14,16 +14,17 @@ from ..operators import fuse as U
 from ..operators import metrics as M
 from ..operators import validate as V
 from ..operators.lookup import curve_lookup
+from ..operators.calibrate import affine
 from ..operators.match import grid_at
 from ..operators.ordering import fill_linear, framed
 from ..operators.robust import project_parabola
 from ..operators.sequence import CheapestPath, Diffusion, Drift, smooth
-from ..operators.series import gradient, step_distance
+from ..operators.series import step_distance
 from ..sources.store import materialize
 from . import bindings as B
-from .q_fusion import MEM, MIX, NNLS, W_GLOBAL, backtest_scores, err2, mix
+from .q_fusion import BTM, MEM, MIX, W_GLOBAL, backtest_mix, err2, mix
 from .q_joins import with_curve
-from .q_stats import feature_rows
+from .q_stats import KEY, SEGS, prefix_ref, sql_lookup
 from .registry import query
 
 
@@ -87,19 +88,37 @@ def final_layers(spark, sf):
                                  F.count("o").alias("overridden"))
 
 
-POINT_COLS = ["dS", "dP", "dB", "dG", "dPS", "dSG", "dSB", "cstd", "cmean", "nn_real", "md_since", "hd_since", "frac", "dz", "dzdmd",
-              "gr", "grm21", "grs21", "grm101", "grs101", "gr_anchor", "lk", "btS", "btB", "btG", "btPS_ratio", "cutn", "npred", "slp700", "slp50"]
-PF_SQL = MIX + """, b0 AS (SELECT well, tvt, cut, seq, md, z, CAST(round_even(0.65 * cut, 0) AS BIGINT) AS c2 FROM ev WHERE seq < cut),
+# Fixed order of the feature columns.
+POINT_COLS = ["dS", "dP", "dZc", "dB", "dG", "dPS", "dPZ", "dSG", "dSB", "cstd", "cmean", "nn_real", "nn_aniso", "pstd", "zstd", "md_since", "hd_since",
+              "frac", "dz", "dzdmd", "gr", "grm21", "grs21", "grm101", "grs101", "gres_S", "twgr_S", "twgr_P", "gr_anchor", "lk", "btS", "btP", "btZ", "btB",
+              "btG", "btBlend", "btPS_ratio", "pfx_gr", "cutn", "npred", "slp700", "slp50", "tw_span"]
+PF_SQL = BTM + f""", {SEGS}, pre AS (SELECT * FROM ev WHERE seq < cut), {sql_lookup('pre', KEY.format(x='tvt'), 'ref', 'pr')},
+cal AS (SELECT well, CASE WHEN count(grn) >= 30 THEN regr_slope(grn, ref) ELSE 1 END AS a, CASE WHEN count(grn) >= 30 THEN regr_intercept(grn, ref) ELSE 0 END AS b,
+  CASE WHEN count(grn) >= 30 THEN least(greatest(sqrt(greatest(regr_syy(grn, ref) - regr_slope(grn, ref) * regr_sxy(grn, ref), 0) / count(grn)), 5), 60) END AS pfx_gr FROM pr WHERE grn IS NOT NULL GROUP BY well),
+b65 AS (SELECT bt.well, sqrt(avg((bt.y-bt.s)**2)) AS btS, sqrt(avg((bt.y-bt.p)**2)) AS btP, sqrt(avg((bt.y-btm.l)**2)) AS btZ, sqrt(avg((bt.y-btm.m)**2)) AS btB, sqrt(avg((bt.y-bt.g)**2)) AS btG,
+  sqrt(avg((bt.y - 0.25*bt.s - 0.75*bt.p)**2)) AS btBlend FROM bt JOIN btm ON btm.well = bt.well AND btm.frac = bt.frac AND btm.seq = bt.seq WHERE bt.frac = 0.65 GROUP BY bt.well),
+{sql_lookup('mix', KEY.format(x='s'), 'cs', 'l1')}, {sql_lookup('mix', KEY.format(x='p'), 'cp', 'l2')}, {sql_lookup('mix', KEY.format(x='f'), 'cf', 'l3')},
+sp AS (SELECT well, seq, stddev_pop(value) AS pstd FROM (SELECT well, seq, s + ((event_id * 7919 + seed * 104729) % 2001 - 1000) / 100.0 AS value FROM cand, (SELECT unnest(range(1, 9)) AS seed)) GROUP BY ALL),
 hs AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2), 0) AS st, (z - lag(z) OVER w) / (md - lag(md) OVER w) AS zb,
   avg(gr) OVER a AS grm21, stddev_samp(gr) OVER a AS grs21, avg(gr) OVER b AS grm101, stddev_samp(gr) OVER b AS grs101 FROM ev WINDOW w AS (PARTITION BY well ORDER BY seq),
   a AS (PARTITION BY well ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), b AS (PARTITION BY well ORDER BY seq ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)),
 hd AS (SELECT *, sum(st) OVER (PARTITION BY well ORDER BY seq) AS hd, avg(zb) OVER (PARTITION BY well ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS dzdmd FROM hs),
 an AS (SELECT well, max(hd) FILTER (seq = cut - 1) AS hd0, max(gr) FILTER (seq = cut - 1) AS gr0, regr_slope(tvt, hd) FILTER (seq < cut AND seq >= cut - 30) AS slp700,
   regr_slope(tvt, hd) FILTER (seq < cut AND seq >= cut - 15) AS slp50 FROM hd GROUP BY well)
-SELECT m.well, m.seq, s - f AS dS, p - f AS dP, m.m - f AS dB, g - f AS dG, p - s AS dPS, s - g AS dSG, s - m.m AS dSB, sqrt(list_var_pop([s, p, m.m, g])) AS cstd, (s + p + m.m + g) / 4 - f AS cmean,
-  nn AS nn_real, md_since, hd - hd0 AS hd_since, (m.seq - m.cut) / greatest(n_pred - 1, 1) AS frac, m.z - z0 AS dz, dzdmd, gr, grm21, grs21, grm101, grs101, gr - gr0 AS gr_anchor, f AS lk,
-  m.cut AS cutn, n_pred AS npred, slp700, slp50 FROM mix m JOIN hd ON hd.well = m.well AND hd.seq = m.seq JOIN an ON an.well = m.well"""
-PF_COLS = [c for c in POINT_COLS if not c.startswith("bt")]
+SELECT m.well, m.seq, m.s - m.f AS dS, m.p - m.f AS dP, m.l - m.f AS dZc, m.m - m.f AS dB, m.g - m.f AS dG, m.p - m.s AS dPS, m.p - m.l AS dPZ, m.s - m.g AS dSG, m.s - m.m AS dSB, sqrt(list_var_pop([m.s, m.p, m.l, m.m, m.g])) AS cstd, (m.s + m.p + m.l + m.m + m.g) / 5 - m.f AS cmean,
+  m.nn AS nn_real, 16 * m.nn AS nn_aniso, pstd, pstd AS zstd, m.md_since, hd - hd0 AS hd_since, (m.seq - m.cut) / greatest(m.n_pred - 1, 1) AS frac, m.z - m.z0 AS dz, dzdmd, gr, grm21, grs21, grm101, grs101, gr - (cal.a * cs + cal.b) AS gres_S, cal.a * cs + cal.b AS twgr_S, cal.a * cp + cal.b AS twgr_P,
+  gr - (cal.a * cf + cal.b) AS gr_anchor, m.f AS lk, btS, btP, btZ, btB, btG, btBlend, btP / (btS + 1e-6) AS btPS_ratio, pfx_gr,
+  m.cut AS cutn, m.n_pred AS npred, slp700, slp50, (SELECT max(k) - min(k) FROM curve) AS tw_span FROM mix m JOIN hd ON hd.well = m.well AND hd.seq = m.seq JOIN an ON an.well = m.well
+  JOIN l1 ON l1.well = m.well AND l1.seq = m.seq JOIN l2 ON l2.well = m.well AND l2.seq = m.seq JOIN l3 ON l3.well = m.well AND l3.seq = m.seq JOIN sp ON sp.well = m.well AND sp.seq = m.seq
+  LEFT JOIN cal ON cal.well = m.well LEFT JOIN b65 ON b65.well = m.well"""
+PF_COLS = POINT_COLS
+
+
+def backtest65(spark, sf):
+    """Masked-tail errors of every candidate at the 65 % cut."""
+    b = backtest_mix(spark, sf, (0.65,))
+    e = {"btS": F.col("s"), "btP": F.col("p"), "btZ": F.col("l"), "btB": F.col("m"), "btG": F.col("g"), "btBlend": 0.25 * F.col("s") + 0.75 * F.col("p")}
+    return b.groupBy("well").agg(*[F.sqrt(F.avg(err2(v))).alias(k) for k, v in e.items()])
 
 
 def point_features(spark, sf):
@@ -120,17 +139,29 @@ def point_features(spark, sf):
     a = s.groupBy("well").agg(F.max(F.when(at, F.col("hd"))).alias("hd0"), F.max(F.when(at, F.col("gr"))).alias("gr0"),
                               F.regr_slope(win(30, "tvt"), win(30, "hd")).alias("slp700"), F.regr_slope(win(15, "tvt"), win(15, "hd")).alias("slp50"))
     t = mix(spark, sf).join(s.where(~pre).select("well", "seq", "hd", "gr", "grm21", "grs21", "grm101", "grs101", "dzdmd"), ["well", "seq"]).join(a, "well")
+    crv = materialize(B.curve(spark, sf), "curve")
+    for name in ("s", "p", "f"):
+        t = curve_lookup(t, 1 + F.col(name) / 8, crv, [], f"tw_{name}", 8.0)
+    t = t.join(affine(prefix_ref(spark, sf), ["well"], F.col("grn"), F.col("ref"), min_pairs=30).drop("pairs"), "well", "left")
+    t = t.join(backtest65(spark, sf), "well", "left")
+    t = t.withColumn("one", F.lit(1)).join(crv.agg((F.max("k") - F.min("k")).alias("tw_span")).withColumn("one", F.lit(1)), "one")
+    pstd = B.ens(spark, sf).groupBy("well", "seq").agg(F.stddev_pop("value").alias("pstd"))
+    t = t.join(pstd, ["well", "seq"])
     c = F.col
-    st = [c("s"), c("p"), c("m"), c("g")]
-    f = {"dS": c("s") - c("f"), "dP": c("p") - c("f"), "dB": c("m") - c("f"), "dG": c("g") - c("f"), "dPS": c("p") - c("s"), "dSG": c("s") - c("g"),
+    st = [c("s"), c("p"), c("l"), c("m"), c("g")]
+    f = {"dS": c("s") - c("f"), "dP": c("p") - c("f"), "dZc": c("l") - c("f"), "dPZ": c("p") - c("l"), "nn_aniso": 16 * c("nn"), "pstd": c("pstd"), "zstd": c("pstd"),
+         "twgr_S": c("a") * c("tw_s") + c("b"), "twgr_P": c("a") * c("tw_p") + c("b"), "gres_S": c("gr") - (c("a") * c("tw_s") + c("b")),
+         "gr_anchor": c("gr") - (c("a") * c("tw_f") + c("b")), "pfx_gr": c("sigma"), "btPS_ratio": c("btP") / (c("btS") + 1e-6), "tw_span": c("tw_span"),
+         **{b: c(b) for b in ("btS", "btP", "btZ", "btB", "btG", "btBlend")},
+         "dB": c("m") - c("f"), "dG": c("g") - c("f"), "dPS": c("p") - c("s"), "dSG": c("s") - c("g"),
          "dSB": c("s") - c("m"), "cstd": row_std(st), "cmean": row_mean(st) - c("f"), "nn_real": c("nn"), "md_since": c("md_since"), "hd_since": c("hd") - c("hd0"),
          "frac": (c("seq") - c("cut")) / F.greatest(c("n_pred") - 1, F.lit(1)), "dz": c("z") - c("z0"), "dzdmd": c("dzdmd"), "gr": c("gr"), "grm21": c("grm21"),
-         "grs21": c("grs21"), "grm101": c("grm101"), "grs101": c("grs101"), "gr_anchor": c("gr") - c("gr0"), "lk": c("f"), "cutn": c("cut").cast("double"),
+         "grs21": c("grs21"), "grm101": c("grm101"), "grs101": c("grs101"), "lk": c("f"), "cutn": c("cut").cast("double"),
          "npred": c("n_pred").cast("double"), "slp700": c("slp700"), "slp50": c("slp50")}
     return t.select("well", "seq", "y", *[f[n].alias(n) for n in PF_COLS])
 
 
-@query("point_features", "H1", "well:l seq:l " + " ".join(f"{c}:d" for c in PF_COLS), PF_SQL and f"WITH {PF_SQL}", digits=4)
+@query("point_features", "H1", "well:l seq:l " + " ".join(f"{c}:d" for c in PF_COLS), f"WITH {PF_SQL}", digits=4)
 def point_feature_table(spark, sf):
     return point_features(spark, sf)
 
