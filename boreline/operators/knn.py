@@ -34,10 +34,12 @@ def thin_coincident(pts: DataFrame, k: int) -> DataFrame:
     At most k per group and place matter, and of those at most 2k per place in id order."""
     w1 = W.partitionBy("u", "v", "grp", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")
     w2 = W.partitionBy("u", "v", "grp").orderBy("id")
-    w3 = W.partitionBy("u", "v").orderBy("id")
+    w3 = W.partitionBy("u", "v", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")
+    w4 = W.partitionBy("u", "v").orderBy("id")
     t = pts.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k)
     t = t.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= k)
-    return t.withColumn("__r", F.row_number().over(w3)).where(F.col("__r") <= 2 * k).drop("__r")
+    t = t.withColumn("__r", F.row_number().over(w3)).where(F.col("__r") <= 2 * k)
+    return t.withColumn("__r", F.row_number().over(w4)).where(F.col("__r") <= 2 * k).drop("__r")
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exclude_own: bool = True) -> DataFrame:

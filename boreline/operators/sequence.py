@@ -139,7 +139,7 @@ def smooth(knots: DataFrame, key: str, model, block: int = 2048, fan: int = 64)
     """knots: key, j (0-based), seq, obs array<double>, aux double, init array<double> (state before j=0).
 
     Returns key, seq, est: posterior mean or cheapest path at every knot."""
-    kt = knots.schema[key].dataType.simpleString()
+    spark, kt = knots.sparkSession, knots.schema[key].dataType.simpleString()
     k = knots.withColumn("blk", F.floor(F.col("j") / block).cast("long"))
     long = k.groupBy(key).agg(F.max("blk").alias("__last")).where(F.col("__last") > 0)
     top = long.agg(F.max("__last").alias("m")).first()["m"]
@@ -151,6 +151,9 @@ def smooth(knots: DataFrame, key: str, model, block: int = 2048, fan: int = 64)
         start = k.where("j = 0").join(long.select(key), key, "left_semi").select(key, "init")
         ends = _scan(maps, start.withColumn("out", F.lit(None).cast("array<double>")), key, kt, model, int(top), fan)
         entered = k.join(ends, [key, "blk"], "left")
+    # Small inputs would be merged into one task, and the work per row is large.
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entered = entered.repartition(max(conf, spark.sparkContext.defaultParallelism), key, "blk")
     return entered.groupBy(key, "blk").applyInPandas(lambda ids, pdf: _inside(model, key, ids, pdf), f"{key} {kt}, seq long, est double")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import surface as SF
+from ..operators.clusters import clusters
 from ..operators.knn import knn
 from ..operators.quantiles import group_quantiles
 from ..sources.store import materialize
@@ -258,47 +259,9 @@ def quadratic_trend(spark, sf):
 def density_clusters(spark, sf):
     """Centroid clusters: neighbours within three median distances, cores have three, borders join the lowest label.
 
-    Edges come from buckets of side eps, never from all pairs.  A cell with many centroids is one clique of
-    cores once it is split to a diagonal of eps, so only a star is emitted there."""
+    Cells have a diagonal of eps, so the cores of a cell are one cluster and the graph has one node per cell."""
     c = materialize(centroids(spark, sf).select("id", "u", "v"), "centroids")
     q = c.withColumn("grp", F.col("id"))
     nn = knn(q.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v"), q, 1)
     eps = 3 * group_quantiles(nn, [], F.col("dist"), {"m": 0.5}).first()["m"]
     return clusters(c, eps, 3, lambda d: materialize(d, "cluster"))
-
-
-def clusters(c, eps, min_pts, checkpoint):
-    """Density clusters of points (id, u, v) as sizes per cluster; -1 counts the points in none."""
-    side = eps / 1.4142137
-    cell = c.withColumn("cx", F.floor(F.col("u") / side)).withColumn("cy", F.floor(F.col("v") / side))
-    size = cell.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("head"))
-    cell = cell.join(size, ["cx", "cy"])
-    # Points of one cell are within eps of each other: a full cell makes all of them cores.
-    full = F.col("k") >= min_pts
-    star = cell.where(full & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    off = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
-    # Counting only matters for points of thin cells.
-    thin = cell.where(~full).select("id", "u", "v", "cx", "cy", F.inline(off))
-    thin = thin.select("id", "u", "v", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    other = cell.select(F.col("id").alias("id2"), F.col("u").alias("u2"), F.col("v").alias("v2"), "cx", "cy")
-    close = thin.join(other, ["cx", "cy"]).where(F.hypot(F.col("u") - F.col("u2"), F.col("v") - F.col("v2")) <= eps)
-    deg = close.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
-    flags = checkpoint(cell.join(deg, "id", "left").select(
-        "id", "u", "v", "cx", "cy", (full | (F.coalesce("deg", F.lit(0)) >= min_pts)).alias("core")))
-    core = flags.where("core")
-    # Cells with a core are linked when some core pair across them is close: one edge per pair of cells.
-    a = core.select("id", "u", "v", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.inline(off))
-    a = a.select("id", "u", "v", "ax", "ay", (F.col("ax") + F.col("dx")).alias("cx"), (F.col("ay") + F.col("dy")).alias("cy"))
-    b = core.select(F.col("id").alias("id2"), F.col("u").alias("u2"), F.col("v").alias("v2"), "cx", "cy")
-    link = a.join(b, ["cx", "cy"]).where((F.col("id") < F.col("id2")) & (F.hypot(F.col("u") - F.col("u2"), F.col("v") - F.col("v2")) <= eps))
-    edges = link.groupBy("ax", "ay", "cx", "cy").agg(F.min(F.struct("id", "id2")).alias("e")).select(
-        F.col("e")["id"].alias("a"), F.col("e")["id2"].alias("b")).unionByName(
-        link.where((F.col("ax") == F.col("cx")) & (F.col("ay") == F.col("cy"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))).unionByName(star)
-    lab = SF.components(edges, core.select(F.col("id").alias("node")), checkpoint)
-    lab = checkpoint(lab)
-    border = thin.join(flags.where(~F.col("core")).select("id"), "id", "left_semi").join(
-        other.join(lab.select(F.col("node").alias("id2"), "label"), "id2"), ["cx", "cy"])
-    border = border.where(F.hypot(F.col("u") - F.col("u2"), F.col("v") - F.col("v2")) <= eps).groupBy("id").agg(F.min("label").alias("label"))
-    allp = flags.join(lab.select(F.col("node").alias("id"), F.col("label").alias("l1")), "id", "left").join(border.withColumnRenamed("label", "l2"), "id", "left")
-    return allp.groupBy(F.coalesce("l1", "l2", F.lit(-1)).alias("cluster")).agg(
-        F.count(F.lit(1)).alias("size"), F.sum(F.col("core").cast("long")).alias("core"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boreline.operators import match as X
 from boreline.operators import surface as SF
 from boreline.operators.knn import knn
-from boreline.plans.q_spatial import clusters
+from boreline.operators.clusters import clusters
 from boreline.sources.store import materialize
 
 RNG = np.random.default_rng(5)
