@@ -10,11 +10,16 @@ group never meet them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
+
 LEVELS = 12
+CROWD = 512
 
 
 def _frame(pts: DataFrame) -> DataFrame:
@@ -28,21 +33,114 @@ def _cell(c: str, origin: str, lvl: Column) -> Column:
     return F.floor((F.col(c) - F.col(origin)) / F.col("side") * F.pow(F.lit(2.0), lvl)).cast("long")
 
 
-def thin_coincident(pts: DataFrame, k: int) -> DataFrame:
+def thin_coincident(pts: DataFrame, k: int, whole: bool = True) -> DataFrame:
     """Of points at one place keep those that can be among k neighbours of any group.
 
-    At most k per group and place matter, and of those at most 2k per place in id order."""
+    At most k per group and place matter, and of those at most 2k per place in id order (left out with
+    whole=False, where every group counts for itself)."""
     w1 = W.partitionBy("u", "v", "grp", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")
     w2 = W.partitionBy("u", "v", "grp").orderBy("id")
     w3 = W.partitionBy("u", "v", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")
     w4 = W.partitionBy("u", "v").orderBy("id")
     t = pts.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k)
     t = t.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= k)
+    if not whole:
+        return t.drop("__r")
     t = t.withColumn("__r", F.row_number().over(w3)).where(F.col("__r") <= 2 * k)
     return t.withColumn("__r", F.row_number().over(w4)).where(F.col("__r") <= 2 * k).drop("__r")
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exclude_own: bool = True) -> DataFrame:
+def _reach(far: bool) -> Column:
+    """Smallest or largest distance from a query (u, v) to its candidate cell."""
+    s = F.col("side") / F.pow(F.lit(2.0), F.col("lvl"))
+
+    def axis(c, o, n):
+        lo, hi = F.col(o) + F.col(n) * s, F.col(o) + (F.col(n) + 1) * s
+        if far:
+            return F.greatest(F.abs(F.col(c) - lo), F.abs(F.col(c) - hi))
+        return F.greatest(F.lit(0.0), lo - F.col(c), F.col(c) - hi)
+
+    slack = 1.000001 if far else 0.999999
+    return F.hypot(axis("u", "u0", "cx"), axis("v", "v0", "cy")) * slack
+
+
+def refine(cand: DataFrame, part: list[str], k: int, levels: int, children: Callable[[DataFrame], DataFrame],
+           crowd: int) -> DataFrame:
+    """Replace crowded candidate cells by their quarters and drop what lies beyond the k-th bound.
+
+    The k-th bound of a search is the distance within which its nearest cells surely hold k points.  Rounds
+    run only while some candidate cell holds more than `crowd` (at least 4k) points, so even data needs none."""
+    cand = materialize(cand, "cells")
+    keep = cand.columns
+    crowded = (F.col("fc") > max(crowd, 4 * k)) & (F.col("lvl") < levels)
+    quarter = F.array(*[F.struct(F.lit(i).alias("qx"), F.lit(j).alias("qy")) for i in (0, 1) for j in (0, 1)])
+    for _ in range(levels):
+        if cand.where(crowded).limit(1).count() == 0:
+            break
+        rest = [c for c in keep if c not in ("lvl", "cx", "cy", "fc")]
+        sub = cand.where(crowded).select(*rest, (F.col("lvl") + 1).alias("lvl"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.inline(quarter))
+        sub = sub.select(*rest, "lvl", (2 * F.col("px") + F.col("qx")).alias("cx"), (2 * F.col("py") + F.col("qy")).alias("cy"))
+        nxt = cand.where(~crowded).unionByName(children(sub).select(*keep))
+        nxt = nxt.withColumn("__far", _reach(True))
+        upto = W.partitionBy(*part).orderBy("__far").rangeBetween(W.unboundedPreceding, 0)
+        nxt = nxt.withColumn("__sum", F.sum("fc").over(upto))
+        bound = F.min(F.when(F.col("__sum") >= k, F.col("__far"))).over(W.partitionBy(*part))
+        nxt = nxt.withColumn("__b", bound).where(F.col("__b").isNull() | (_reach(False) <= F.col("__b")))
+        cand = materialize(nxt.select(*keep), "cells")
+    return cand
+
+
+def nearest_groups(queries: DataFrame, points: DataFrame, m: int, levels: int = LEVELS, crowd: int = CROWD) -> DataFrame:
+    """queries(qid, qgrp, u, v) x points(id, grp, u, v) -> nearest point of each of the m nearest other groups.
+
+    The level of a query is the finest at which its cell holds m other groups, so the m-th group is within
+    the diagonal.  Candidates are (cell, group) with counts; crowded ones are refined per group."""
+    top = F.lit(levels)
+    fr = _frame(points)
+    p = thin_coincident(points.select("id", "grp", "u", "v"), 1, whole=False).withColumn("one", F.lit(1)).join(fr, "one")
+    p = p.withColumn("fx", _cell("u", "u0", top)).withColumn("fy", _cell("v", "v0", top))
+    lv = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+
+    def up(c):
+        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(levels) - F.col("lvl"))).cast("long")
+
+    fine = p.groupBy("fx", "fy", "grp").agg(F.count(F.lit(1)).alias("c"))
+    by_grp = fine.withColumn("lvl", lv).groupBy("lvl", up("fx").alias("cx"), up("fy").alias("cy"), "grp").agg(F.sum("c").alias("fc"))
+    kinds = by_grp.groupBy("lvl", "cx", "cy").agg(F.count(F.lit(1)).alias("kinds"))
+    q = queries.select("qid", "qgrp", "u", "v").withColumn("one", F.lit(1)).join(fr, "one").drop("one")
+    inside = (F.col("u") >= F.col("u0")) & (F.col("v") >= F.col("v0")) & (F.col("u") < F.col("u0") + F.col("side")) & (
+        F.col("v") < F.col("v0") + F.col("side"))
+    q = q.withColumn("fx", _cell("u", "u0", top)).withColumn("fy", _cell("v", "v0", top))
+    need = q.where(inside).select("fx", "fy", "qgrp").distinct().withColumn("lvl", lv)
+    need = need.withColumn("cx", up("fx")).withColumn("cy", up("fy")).join(kinds, ["lvl", "cx", "cy"])
+    mine = by_grp.select("lvl", "cx", "cy", F.col("grp").alias("qgrp"), F.lit(1).alias("__own"))
+    need = need.join(mine, ["lvl", "cx", "cy", "qgrp"], "left").where(F.col("kinds") - F.coalesce("__own", F.lit(0)) >= m)
+    best = need.groupBy("fx", "fy", "qgrp").agg(F.max("lvl").alias("lvl"))
+    q = q.join(best, ["fx", "fy", "qgrp"], "left").withColumn("lvl", F.when(inside, F.coalesce("lvl", F.lit(0))).otherwise(F.lit(0)))
+    root = F.col("lvl") == 0
+    ring = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
+    q = q.withColumn("cx", _cell("u", "u0", F.col("lvl"))).withColumn("cy", _cell("v", "v0", F.col("lvl"))).withColumn("__root", root)
+    q = q.select("*", F.inline(F.when(root, F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")))).otherwise(ring)))
+    q = q.withColumn("cx", F.when(F.col("__root"), F.lit(0)).otherwise(F.col("cx") + F.col("dx"))).withColumn(
+        "cy", F.when(F.col("__root"), F.lit(0)).otherwise(F.col("cy") + F.col("dy")))
+    s = F.col("side") / F.pow(F.lit(2.0), F.col("lvl"))
+    q = q.where(F.col("__root") | (_reach(False) <= s * 1.4142136 * 1.000001)).select("qid", "qgrp", "u", "v", "u0", "v0", "side", "lvl", "cx", "cy")
+    cand = q.join(by_grp, ["lvl", "cx", "cy"]).where(~F.col("grp").eqNullSafe(F.col("qgrp")))
+    cand = refine(cand, ["qid", "grp"], 1, levels, lambda d: d.join(by_grp, ["lvl", "cx", "cy", "grp"]), crowd)
+    used = cand.select("lvl", "cx", "cy", "grp").distinct()
+    asked = fine.select("fx", "fy", "grp").withColumn("lvl", lv).withColumn("cx", up("fx")).withColumn("cy", up("fy")).join(
+        used, ["lvl", "cx", "cy", "grp"])
+    tp = p.select("id", "grp", F.col("u").alias("pu"), F.col("v").alias("pv"), "fx", "fy").join(asked, ["fx", "fy", "grp"])
+    d = F.hypot(F.col("u") - F.col("pu"), F.col("v") - F.col("pv"))
+    g = cand.join(tp, ["lvl", "cx", "cy", "grp"]).groupBy("qid", "grp").agg(F.min(F.struct(d.alias("dist"), "id")).alias("m"))
+    g = g.select("qid", "grp", F.col("m")["dist"].alias("dist"), F.col("m")["id"].alias("id"))
+    salt = W.partitionBy("qid", F.pmod(F.xxhash64("grp"), F.lit(8))).orderBy("dist", "id")
+    g = g.withColumn("rank", F.row_number().over(salt)).where(F.col("rank") <= m)
+    return g.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "id"))).where(F.col("rank") <= m)
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exclude_own: bool = True,
+        crowd: int = CROWD) -> DataFrame:
     """queries(qid, qgrp, u, v) x points(id, grp, u, v) -> qid, id, dist, rank (1..k, ties by id)."""
     if not exclude_own:
         queries = queries.withColumn("qgrp", F.lit(None).cast(points.schema["grp"].dataType))
@@ -89,6 +187,16 @@ def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exc
                                      F.col(c) - (F.col(o) + (F.col(n) + 1) * s))
     near = F.hypot(gap("u", "u0", "cx"), gap("v", "v0", "cy")) <= s * 1.4142136 * 1.000001
     q = q.where(F.col("__root") | near)
+    cand = q.select("qid", "qgrp", "u", "v", "u0", "v0", "side", "lvl", "cx", "cy").join(
+        cells.select("lvl", "cx", "cy", "tot"), ["lvl", "cx", "cy"])
+    own = by_grp.select("lvl", "cx", "cy", F.col("grp").alias("qgrp"), "c")
+
+    def counted(df):
+        """Points of other groups per candidate cell."""
+        t = df.join(own, ["lvl", "cx", "cy", "qgrp"], "left").withColumn("fc", F.col("tot") - F.coalesce("c", F.lit(0)))
+        return t.where(F.col("fc") > 0).drop("c", "tot")
+
+    q = refine(counted(cand), ["qid"], k, levels, lambda d: counted(d.join(cells.select("lvl", "cx", "cy", "tot"), ["lvl", "cx", "cy"])), crowd)
     q = q.join(cells.select("lvl", "cx", "cy", "dom"), ["lvl", "cx", "cy"])
     parts = F.array_compact(F.array(F.lit(0), F.when(~F.col("qgrp").eqNullSafe(F.col("dom")), F.lit(1))))
     q = q.select("qid", "qgrp", F.col("u").alias("qu"), F.col("v").alias("qv"), "lvl", "cx", "cy", F.explode(parts).alias("part"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cols import clip
-from ..functions.small_solve import solve2, solve3
+from ..functions.small_solve import solve3
 
 FLOOR = 1e-3
 
@@ -54,14 +53,6 @@ def local_plane(nb: DataFrame, keys: list[str], value: str, lam: float, power: f
     return g.select(*keys, base.alias("base"), F.coalesce(out, base).alias("plane"))
 
 
-def nearest_per_group(nb: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """Of many neighbours keep the closest point of each foreign group, then the m closest groups."""
-    g = nb.groupBy(*keys, "grp").agg(F.min(F.struct("dist", "id")).alias("__m"))
-    g = g.select(*keys, "grp", F.col("__m")["dist"].alias("dist"), F.col("__m")["id"].alias("id"))
-    r = F.row_number().over(W.partitionBy(*keys).orderBy("dist", "id"))
-    return g.withColumn("rank", r).where(F.col("rank") <= m)
-
-
 def components(edges: DataFrame, nodes: DataFrame, checkpoint, rounds: int = 30) -> DataFrame:
     """Smallest reachable node per node (columns node, label), by label passing until nothing moves."""
     lab = nodes.select("node", F.col("node").alias("label"))

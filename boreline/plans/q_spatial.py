@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import surface as SF
 from ..operators.clusters import clusters
-from ..operators.knn import knn
+from ..operators.knn import knn, nearest_groups
 from ..operators.quantiles import group_quantiles
 from ..sources.store import materialize
 from . import bindings as B
@@ -161,23 +161,10 @@ gt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FR
 
 
 def one_per_group(spark, sf, m=4):
-    """Nearest point of each of the m nearest foreign groups.
-
-    Every group contributes its points as a cloud of its own, so a neighbour search per group is a
-    search keyed by group: k is set so that the m closest groups are all present."""
+    """Nearest point of each of the m nearest foreign groups."""
     p = small(spark, sf)
     q = p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v")
-    nb = None
-    # Points of one group can fill the list; widen it until every query has seen m groups.
-    k = 4 * m
-    total = p.count()
-    while True:
-        cand = knn(q, p, k).join(p.select("id", "grp"), "id")
-        nb = materialize(cand, "per-group")
-        if k >= total or nb.groupBy("qid").agg(F.countDistinct("grp").alias("g")).where(F.col("g") < m).limit(1).count() == 0:
-            break
-        k *= 4
-    near = SF.nearest_per_group(nb, ["qid"], m)
+    near = nearest_groups(q, p, m)
     v = p.select("id", F.col("u").alias("pu"), F.col("v").alias("pv"), (F.col("u") * F.col("v") / 100).alias("h2"))
     t = near.join(v, "id").join(q.select("qid", "u", "v"), "qid")
     return t.withColumn("du", F.col("pu") - F.col("u")).withColumn("dv", F.col("pv") - F.col("v"))

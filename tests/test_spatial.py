@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boreline.operators import match as X
 from boreline.operators import surface as SF
-from boreline.operators.knn import knn
+from boreline.operators.knn import knn, nearest_groups
 from boreline.operators.clusters import clusters
 from boreline.sources.store import materialize
 
@@ -56,6 +56,24 @@ def test_knn_matches_brute_force(spark, kind):
     assert (own.qgrp != own.grp).all()
 
 
+@pytest.mark.parametrize("kind", ["hot_group", "beside"])
+def test_refinement_of_crowded_cells(spark, kind):
+    """Queries of one group next to a dense spot of another: crowded cells are split, answers stay exact."""
+    p = cloud("hot_group")
+    if kind == "beside":
+        p.loc[:79, "grp"] = 3
+    q = p.sample(40, random_state=1).rename(columns={"id": "qid", "grp": "qgrp"})
+    q["u"], q["v"] = q["u"] + 7.0, q["v"] + 5.0
+    got = knn(spark.createDataFrame(q), spark.createDataFrame(p), 2, levels=10, crowd=4).toPandas()
+    for qid, near in brute(q, p, 2).items():
+        assert np.allclose(got[got.qid == qid].sort_values("rank")["dist"], [d for _, d in near])
+    near = nearest_groups(spark.createDataFrame(q), spark.createDataFrame(p), 3, levels=10, crowd=4).toPandas()
+    for r in q.itertuples():
+        c = p[p.grp != r.qgrp].assign(d=lambda t: np.hypot(t.u - r.u, t.v - r.v)).sort_values(["d", "id"]).groupby("grp").head(1).head(3)
+        g = near[near.qid == r.qid].sort_values("rank")
+        assert g["id"].tolist() == c["id"].tolist() and g["grp"].tolist() == c["grp"].tolist()
+
+
 def test_plane_with_large_ridge_is_inverse_distance(spark):
     nb = pd.DataFrame({"qid": 1, "dist": [1.0, 2.0, 3.0], "du": [1.0, 0, -3], "dv": [0.0, 2, 0], "h": [10.0, 20, 60]})
     df = spark.createDataFrame(nb)
