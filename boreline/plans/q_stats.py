@@ -345,7 +345,7 @@ def robust_trend_line(spark, sf):
 
 @query("robust_trend_plane", "E16", "well:l level:d gx:d gy:d")
 def robust_trend_plane(spark, sf):
-    """Reweighted plane in two coordinates with ridge on the gradient (20 rounds; checked in tests)."""
+    """Reweighted plane in two coordinates with ridge on the gradient (20 rounds)."""
     s = B.evaluable(B.series(spark, sf, xy=True))
     a = s.where(F.col("seq") == F.col("cut") - 1).select("well", F.col("x").alias("x0"), F.col("y").alias("y0"))
     t = s.join(a, "well")
