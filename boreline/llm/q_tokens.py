@@ -8,6 +8,7 @@ from boreline.llm.piece_viterbi import encode_texts
 from boreline.llm.registry import query, table
 from boreline.llm.shared import new_path
 from boreline.llm.token_cache import count_tokens
+from boreline.llm.token_files import read_index, write_tokens
 
 
 @query("op5_token_counts")
@@ -20,3 +21,11 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Piece ids of all documents and whether they decode to the text."""
     return encode_texts(table(spark, folder, "documents"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the ids of all documents as grammars, read the files back and tell where each document is."""
+    path = new_path(spark, "token-files")
+    write_tokens(table(spark, folder, "documents"), path)
+    return read_index(spark, path)

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boreline.llm.blocks import LOWER, U64, mix, prefix_hash, span_hash, text_blocks, word_spans
+from boreline.llm.ranges import as_number, begins, search
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -90,34 +91,18 @@ def as_text(s: np.ndarray) -> str:
     return s.astype(">u4").tobytes().hex()
 
 
-def _search(x: Column, cuts: list, low: int = 0) -> Column:
-    """Number of cuts (in order) up to x, as a tree of comparisons."""
-    if not cuts:
-        return F.lit(low)
-    mid = len(cuts) // 2
-    return F.when(x < F.lit(cuts[mid]), _search(x, cuts[:mid], low)).otherwise(_search(x, cuts[mid + 1:], low + mid + 1))
-
-
 def _with_successors(docs: DataFrame) -> tuple[DataFrame, int]:
     """key, text -> part, border, key, text, to be dealt by part: ranges of keys of about equal numbers of rows, each closed by
     a border row, the first row of the next range (of the first range after the last)."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    keys = docs.select(F.col("key").cast("double").alias("k"))
-    cuts = sorted({float(c) for c in keys.approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    # null keys come first; what is below the first cut too
-    k = F.coalesce(F.col("key").cast("double"), F.lit(float("-inf")))
-    # one row per range: where it begins
-    begins = docs.select(_search(k, cuts).alias("part"), k.alias("k")).groupBy("part").agg(F.min("k").alias("k")).orderBy("part").collect()
-    if not begins:
+    begin = begins(docs, "key")
+    if not begin:
         return docs.select(F.lit(0).alias("part"), F.lit(False).alias("border"), "key", "text"), 1
-    begin = [r["k"] for r in begins]
-    part = _search(k, begin[1:])
-    last = len(begin) - 1
-    first = k == F.element_at(F.array(*[F.lit(b) for b in begin]), part + 1)
+    k, last = as_number(F.col("key")), len(begin) - 1
+    part = search(k, begin[1:])
     before = F.when(part == 0, F.lit(last)).otherwise(part - 1)
-    places = F.when(first, F.array(F.struct(part.alias("part"), F.lit(False).alias("border")), F.struct(before.alias("part"), F.lit(True).alias("border")))) \
-        .otherwise(F.array(F.struct(part.alias("part"), F.lit(False).alias("border"))))
+    own = F.struct(part.alias("part"), F.lit(False).alias("border"))
+    is_first = k == F.element_at(F.array(*[F.lit(b) for b in begin]), part + 1)
+    places = F.when(is_first, F.array(own, F.struct(before.alias("part"), F.lit(True).alias("border")))).otherwise(F.array(own))
     return docs.select(F.explode(places).alias("p"), "key", "text").select("p.part", "p.border", "key", "text"), last + 1
 
 
