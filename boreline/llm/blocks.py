@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from boreline.llm.shared import per_worker
+
 BLOCK_BYTES = 4 << 20
 
 #: Bytes 0x20 and 0x09-0x0D separate words.
@@ -20,7 +22,6 @@ LOWER[65:91] += 32
 
 U64 = np.uint64
 _BASE, _BASE_INV = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_power = {1: np.ones(1, U64), -1: np.ones(1, U64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,12 +37,13 @@ BYTE_CODE = mix(np.arange(256, dtype=U64)) | U64(1)
 
 def powers(n: int, sign: int = 1) -> np.ndarray:
     """base**i (or its inverse) mod 2**64 for i < n."""
-    have = _power[sign]
+    kept = per_worker("powers", dict)
+    have = kept.get(sign, np.ones(1, U64))
     if len(have) < n:
         size = max(n, 2 * len(have))
         step = np.full(size, _BASE if sign > 0 else _BASE_INV, U64)
         step[0] = U64(1)
-        have = _power[sign] = np.multiply.accumulate(step)
+        have = kept[sign] = np.multiply.accumulate(step)
     return have[:n]
 
 

@@ -12,6 +12,8 @@ import os
 import re
 from collections.abc import Iterator
 
+from boreline.llm.shared import per_worker
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
 #: Characters of cached chunks after which a worker forgets them and starts anew.
@@ -89,12 +91,6 @@ class ChunkEncoder:
                 yield get((" ", c[0])) + b"".join(map(get, c[1:]))
 
 
-_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
-
-
 def encoder(path: str, counts_only: bool = False) -> ChunkEncoder:
     """The worker's encoder for a file."""
-    key = (path, counts_only)
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(path, counts_only)
-    return _encoders[key]
+    return per_worker(("chunks", path, counts_only), lambda: ChunkEncoder(path, counts_only))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from boreline.llm.chunks import default_path
 from boreline.llm.piece_file import BYTE, NORMAL, USER, read_model
+from boreline.llm.shared import per_worker
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -179,14 +180,9 @@ class PieceCoder:
         return data.decode("utf-8", "replace")
 
 
-_coders: dict[str, PieceCoder] = {}
-
-
 def coder(path: str) -> PieceCoder:
     """The worker's coder for a file."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    return per_worker(("pieces", path), lambda: PieceCoder(path))
 
 
 def encode_texts(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ ROUNDS = 8
 LEAST = 16
 #: Pairs are first counted in this many cells by a hash; only those in cells with LEAST are counted exactly.
 CELLS = 1 << 18
-_HEAD = struct.Struct("<4sBIIII")
+HEAD = "<4sBIIIIQ"
 
 
 @dataclass
@@ -135,17 +135,16 @@ def to_bytes(g: Grammar) -> bytes:
     """Header (magic, bytes a symbol, base, rounds, rules, documents, symbols), then the arrays in order."""
     wide = 2 if g.base + len(g.left) <= 1 << 16 else 4
     kind = "<u2" if wide == 2 else "<u4"
-    head = _HEAD.pack(MAGIC, wide, g.base, len(g.first), len(g.left), len(g.tokens)) + struct.pack("<Q", len(g.sequence))
+    head = struct.pack(HEAD, MAGIC, wide, g.base, len(g.first), len(g.left), len(g.tokens), len(g.sequence))
     return head + b"".join(x.astype(t).tobytes() for x, t in (
         (g.first, "<u4"), (g.left, kind), (g.right, kind), (g.lengths, "<u4"), (g.keys, "<i8"), (g.tokens, "<u4"), (g.spans, "<u4"), (g.sequence, kind)))
 
 
 def from_bytes(data: bytes) -> Grammar:
-    magic, wide, base, rounds, rules, docs = _HEAD.unpack_from(data)
+    magic, wide, base, rounds, rules, docs, symbols = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    symbols, = struct.unpack_from("<Q", data, _HEAD.size)
-    at, kind = _HEAD.size + 8, "<u2" if wide == 2 else "<u4"
+    at, kind = struct.calcsize(HEAD), "<u2" if wide == 2 else "<u4"
     out: list[np.ndarray] = []
     for n, t in ((rounds, "<u4"), (rules, kind), (rules, kind), (rules, "<u4"), (docs, "<i8"), (docs, "<u4"), (docs + 1, "<u4"), (symbols, kind)):
         out.append(np.frombuffer(data, t, n, at).astype(np.int32 if t == kind else np.int64))

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def per_worker(key: object, make: Callable):
+    """What a Python worker makes once and keeps for its later tasks.  It is kept on the interpreter, as the globals of a
+    function that is shipped by value are new in every task."""
+    kept = sys.__dict__.setdefault("_boreline_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests on one machine) a temporary folder takes its place."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
