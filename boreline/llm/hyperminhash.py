@@ -1,9 +1,9 @@
 """HyperMinHash sketches in numpy: registers, densification, band keys, similarity estimates.
 
-A shingle hash gives its bucket by its top BUCKET_BITS bits.  Of the smallest remaining value in a bucket the register
-keeps the count of leading zeros (6 bits) and the MANTISSA bits that follow the leading one.  Buckets without a
-shingle borrow the register of the first filled bucket on their own probe sequence, the same for every document, so
-every register of two documents agrees with a chance near their Jaccard similarity, for short documents too."""
+A shingle hash gives its bucket by its top bits.  Of the smallest remaining value in a bucket the register keeps the count
+of leading zeros (ZERO_BITS, saturating) and the MANTISSA bits that follow the leading one: a byte in all.  A bucket
+without a shingle borrows the register of the first filled bucket on its own probe sequence, the same for every
+document, so every register of two documents agrees with a chance near their Jaccard similarity, for short ones too."""
 
 from __future__ import annotations
 
@@ -11,52 +11,59 @@ import numpy as np
 
 from boreline.llm.blocks import U64, mix
 
-BUCKET_BITS = 9
+BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
-MANTISSA = 10
+ZERO_BITS, MANTISSA = 4, 4
 REST_BITS = 64 - BUCKET_BITS
-#: Registers in a band.  At similarity 0.75 a band agrees with chance 0.178, at 0.25 with 0.0002.
-BAND_ROWS = 6
+#: Registers in a band.  Two documents of similarity 0.75 share a band with a chance of 1 - 1e-6 or more, two of
+#: similarity 0.25 with 0.07.
+BAND_ROWS = 5
 BANDS = BUCKETS // BAND_ROWS
 
 
-def registers(h: np.ndarray) -> np.ndarray:
-    """Registers (uint16) of one document's sorted distinct shingle hashes; at least one hash."""
-    bucket = (h >> U64(REST_BITS)).astype(np.int64)
+def sketches(h: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Registers (rows x BUCKETS, uint8) of rows' sorted distinct hashes h[bound[i]:bound[i + 1]]; zeros for rows without."""
+    rows = len(bound) - 1
+    row = np.repeat(np.arange(rows), np.diff(bound))
+    cell = row * BUCKETS + (h >> U64(REST_BITS)).astype(np.int64)
     first = np.ones(len(h), bool)
-    first[1:] = bucket[1:] != bucket[:-1]
-    bucket, rest = bucket[first], h[first] & U64((1 << REST_BITS) - 1)
-    # a double holds the position of the leading one and the 52 bits after it; adding one keeps zero apart
+    first[1:] = cell[1:] != cell[:-1]
+    cell, rest = cell[first], h[first] & U64((1 << REST_BITS) - 1)
+    # the exponent of a double is the place of the leading one, its fraction what follows; adding one keeps zero apart
     bits = (rest + U64(1)).astype(np.float64).view(U64)
-    zeros = (REST_BITS - (bits >> U64(52)).astype(np.int64) + 1023).clip(0, 63)
-    value = ((zeros << MANTISSA) | ((bits >> U64(52 - MANTISSA)) & U64((1 << MANTISSA) - 1)).astype(np.int64))
-    out = np.full(BUCKETS, -1, np.int64)
-    out[bucket] = value
-    missing = np.flatnonzero(out < 0)
-    filled, probe = out >= 0, 0
+    zeros = (REST_BITS + 1023 - (bits >> U64(52)).astype(np.int64)).clip(0, (1 << ZERO_BITS) - 1)
+    part = (bits >> U64(52 - MANTISSA)).astype(np.int64) & ((1 << MANTISSA) - 1)
+    out = np.zeros(rows * BUCKETS, np.uint8)
+    out[cell] = (zeros << MANTISSA) | part
+    filled = np.zeros(rows * BUCKETS, bool)
+    filled[cell] = True
+    some = np.diff(bound) > 0
+    missing = np.flatnonzero(~filled & np.repeat(some, BUCKETS))
+    probe = 0
     while len(missing):
         probe += 1
-        at = (mix((missing + BUCKETS * probe).astype(U64)) >> U64(REST_BITS)).astype(np.int64)
+        column = missing % BUCKETS
+        at = missing - column + (mix((column + BUCKETS * probe).astype(U64)) >> U64(REST_BITS)).astype(np.int64)
         hit = filled[at]
         out[missing[hit]] = out[at[hit]]
         missing = missing[~hit]
-    return out.astype(np.uint16)
+    return out.reshape(rows, BUCKETS)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """64-bit keys (rows x BANDS); the band number is part of the key."""
     rows = regs[:, : BANDS * BAND_ROWS].reshape(len(regs), BANDS, BAND_ROWS).astype(U64)
-    key = mix(np.arange(BANDS, dtype=U64) + U64(1))[None, :]
-    for j in range(BAND_ROWS):
-        key = mix(key ^ rows[:, :, j])
-    return key
+    packed = rows[:, :, 0]
+    for j in range(1, BAND_ROWS):
+        packed = (packed << U64(8)) | rows[:, :, j]
+    return mix(mix(packed) + np.arange(BANDS, dtype=U64)[None, :])
 
 
-#: Chance that two different minima give one register: they agree in leading zeros (1/3) and mantissa.
+#: Chance that the registers of two different minima agree: leading zeros (1/3) and mantissa.
 COLLISION = 1.0 / (3 << MANTISSA)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of row pairs, corrected for registers that agree by chance."""
-    same = (a == b).mean(axis=1)
+    same = (a == b).mean(axis=-1)
     return ((same - COLLISION) / (1 - COLLISION)).clip(0, 1)
