@@ -1,4 +1,4 @@
-"""Queries on near-duplicate documents."""
+"""Queries on near-duplicate documents and repeated passages."""
 
 from __future__ import annotations
 
@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boreline.llm.near_dedup import link
 from boreline.llm.registry import query, table
+from boreline.llm.suffix_index import remove_repeats
 
 
 @query("op3_hyperminhash")
 def op3_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     """Components of near-duplicate documents among all documents."""
     return link(table(spark, folder, "documents"))
+
+
+@query("op6_suffix_arrays")
+def op6_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated 100-byte passages."""
+    return remove_repeats(table(spark, folder, "documents"))
