@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boreline.llm.shared import written
+
 MAX_RATE = 8.0
 #: At a mean of MAX_RATE a count beyond this has a chance below 1e-20, less than the uniform numbers resolve.
 MAX_COUNT = 60
@@ -69,7 +71,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, repeats: float
     docs named rate, copy or place are replaced."""
     docs = docs.drop("rate", "copy", "place")
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    drawn = docs.join(rates(docs, weights, repeats, source, size), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
+    # once written, the table's size is known: a small one is broadcast, and the texts stay where they are
+    drawn = docs.join(written(rates(docs, weights, repeats, source, size), "rates"), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
     n = _counts(seed, name, F.col("rate"))
     copies = drawn.withColumn("__n", n.cast("int")).filter(F.col("__n") > 0) \
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
