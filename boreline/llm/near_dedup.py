@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from boreline.llm.blocks import shingle_sets, text_blocks
 from boreline.llm.graph import components
 from boreline.llm.hyperminhash import BUCKETS, band_keys, estimate, sketches
-from boreline.llm.shared import written
+from boreline.llm.shared import split_by_keys, written
 
 WORDS = 5
 SIMILARITY = 75
@@ -35,8 +35,6 @@ SIMILARITY = 75
 ESTIMATE = 0.55
 SMALL = 32
 TILE = 1024
-#: Documents whose key falls into no cell of a wanted key are left out before texts are shuffled; so many cells at most.
-CELLS = 1 << 18
 ROWS = 4096
 
 
@@ -113,9 +111,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles (their hashes, binary) of the documents that name the wanted classes."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
-    cells = nodes.select(cell("node").alias("cell")).distinct()  # CELLS rows at most
-    some = docs.withColumn("cell", cell("key")).join(F.broadcast(cells), "cell", "left_semi").select("key", "text")
+    some, _ = split_by_keys(docs, "key", nodes, "node")
     held = some.join(nodes.select(F.col("node").alias("key")), "key")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

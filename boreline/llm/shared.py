@@ -7,7 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a broadcast table of cells, at most.
+CELLS = 1 << 20
 
 
 def per_worker(key: object, make: Callable):
@@ -37,3 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _cell(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CELLS))
+
+
+def split_by_keys(rows: DataFrame, key: str, ids: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+    """rows that may have a key among ids and rows that surely have none, told by cells of the keys' hashes.  At most CELLS
+    rows are broadcast whatever the input; the first part still has to be joined, but the second need not be shuffled."""
+    cells = F.broadcast(ids.select(_cell(F.col(id_)).alias("__cell")).distinct())
+    celled = rows.withColumn("__cell", _cell(F.col(key)))
+    return celled.join(cells, "__cell", "left_semi").drop("__cell"), celled.join(cells, "__cell", "left_anti").drop("__cell")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
+    """rows whose key is not among ids; a null key is a key like others."""
+    some, rest = split_by_keys(rows, key, ids, id_)
+    gone = ids.select(F.col(id_).alias("__id")).distinct()
+    return some.join(gone, F.col(key).eqNullSafe(F.col("__id")), "left_anti").union(rest)
