@@ -140,6 +140,12 @@ def to_bytes(g: Grammar) -> bytes:
         (g.first, "<u4"), (g.left, kind), (g.right, kind), (g.lengths, "<u4"), (g.keys, "<i8"), (g.tokens, "<u4"), (g.spans, "<u4"), (g.sequence, kind)))
 
 
+def count_tokens(data: bytes) -> int:
+    """The tokens of a block, without reading its sequence."""
+    _, wide, _, rounds, rules, docs, _ = struct.unpack_from(HEAD, data)
+    return int(np.frombuffer(data, "<u4", docs, struct.calcsize(HEAD) + 4 * rounds + (2 * wide + 4) * rules + 8 * docs).sum(dtype=np.int64))
+
+
 def from_bytes(data: bytes) -> Grammar:
     magic, wide, base, rounds, rules, docs, symbols = struct.unpack_from(HEAD, data)
     if magic != MAGIC:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from boreline.llm.chunks import default_path, encoder
 from boreline.llm.ranges import as_number, begins, search
-from boreline.llm.repair import build, expand, from_bytes, to_bytes
+from boreline.llm.repair import build, count_tokens, expand, from_bytes, to_bytes
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
@@ -92,7 +92,7 @@ def read_sizes(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int(from_bytes(d.as_py()).tokens.sum()) for d in batch.column("data")]
+            n = [count_tokens(d.as_py()) for d in batch.column("data")]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), pa.array(n, pa.int64())], ["part", "block", "n"])
 
     sizes = spark.read.schema(BLOCKS).parquet(path).mapInArrow(read, "part int, block int, n long")
