@@ -6,9 +6,9 @@
    larger one every class with the smallest.  Pairs whose sizes or estimated similarity rule a link out are dropped.
 3. Candidates are confirmed on their full shingle sets, first each class with its most similar candidate, then what is
    not connected yet.
-4. In larger buckets, pairs of classes that are still not connected are estimated too, in tiles of TILE x TILE sketches;
-   only those that pass leave the task and are confirmed.  So nothing is lost to the size of a bucket, and a group of
-   near copies of any size costs a pair or two per copy.
+4. In larger buckets, pairs of classes that are still not connected are estimated and confirmed in tiles of TILE x TILE
+   classes, each pair in the first of the bands it shares; only links leave a task.  So nothing is lost to the size of a
+   bucket, and no pair without a link is a row.
 5. Connected components of the confirmed links.
 
 Besides a miss of all bands (chance 1e-6 at similarity 0.75 exactly, less above) every link between different texts
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from boreline.llm.blocks import shingle_sets, text_blocks
 from boreline.llm.graph import components
-from boreline.llm.hyperminhash import BUCKETS, band_keys, estimate, sketches
+from boreline.llm.hyperminhash import BAND_ROWS, BANDS, BUCKETS, band_keys, estimate, sketches
 from boreline.llm.shared import split_by_keys, written
 
 WORDS = 5
@@ -124,20 +124,22 @@ def _shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.mapInArrow(make, "node long, shingles binary")
 
 
+def _linked(x: bytes, y: bytes) -> bool:
+    """Whether 100 * intersection >= SIMILARITY * union of two full sets."""
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= SIMILARITY * (len(both) - same)
+
+
 def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= SIMILARITY * union of their full sets."""
+    """The pairs (a, b) that are linked."""
     one = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("s_a"))
     two = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
 
-    def linked(x: bytes, y: bytes) -> bool:
-        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-        both.sort()
-        same = int((both[1:] == both[:-1]).sum())
-        return 100 * same >= SIMILARITY * (len(both) - same)
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [linked(x.as_py(), y.as_py()) for x, y in zip(batch.column("s_a"), batch.column("s_b"))]
+            ok = [_linked(x.as_py(), y.as_py()) for x, y in zip(batch.column("s_a"), batch.column("s_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
@@ -151,40 +153,62 @@ def _unconnected(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame
     return rows
 
 
-def _in_large(large: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of large buckets that are not connected and pass sizes and estimates."""
+def _mixed(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """band, node, group_node, tiles of the large buckets whose classes are not all connected."""
     rows = _unconnected(large, groups, "node")
     mixed = rows.groupBy("band").agg(F.min("group_node").alias("x"), F.max("group_node").alias("y"), F.count(F.lit(1)).alias("m")) \
         .filter(F.col("x") != F.col("y")).select("band", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(mixed, "band").join(classes.select("node", "n", "sketch"), "node") \
+    return rows.join(mixed, "band")
+
+
+def _tile_links(band: int, left: np.ndarray, right: np.ndarray, node: np.ndarray, group: np.ndarray, n: np.ndarray, regs: np.ndarray,
+                sets: list[bytes]) -> list[tuple[int, int]]:
+    """Links between left and right rows of different groups whose first shared band is this one.  Rows that become
+    connected here are not compared again."""
+    place = int(np.flatnonzero(band_keys(regs[:1])[0].view(np.int64) == band)[0])
+    root = {g: g for g in set(group.tolist())}
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            g = root[g]
+        return g
+
+    out = []
+    for k in left:
+        y = right[(group[right] != group[k]) & (100 * np.minimum(n[right], n[k]) >= SIMILARITY * np.maximum(n[right], n[k]))]
+        e = estimate(regs[k][None, :], regs[y])
+        y, e = y[e >= ESTIMATE], e[e >= ESTIMATE]
+        same = (regs[y][:, : BANDS * BAND_ROWS] == regs[k][: BANDS * BAND_ROWS]).reshape(len(y), BANDS, BAND_ROWS).all(axis=2)
+        ok = same.argmax(axis=1) == place if len(y) else np.zeros(0, bool)
+        y, e = y[ok], e[ok]
+        for i in y[np.argsort(-e, kind="stable")].tolist():
+            a, b = find(int(group[k])), find(int(group[i]))
+            if a != b and _linked(sets[k], sets[i]):
+                root[max(a, b)] = min(a, b)
+                out.append((int(min(node[k], node[i])), int(max(node[k], node[i]))))
+    return out
+
+
+def _in_large(mixed: DataFrame, classes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links (a, b) between groups inside large buckets."""
+    rows = mixed.join(classes.select("node", "n", "sketch"), "node").join(shingles, "node") \
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     rows = rows.select("*", other).select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node",
-                                          "group_node", "n", "sketch")
+                                          "group_node", "n", "sketch", "shingles")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "tile", "node")
 
     def compare(held: list) -> pa.RecordBatch:
         tile, node, group, n = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
         regs = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(-1, BUCKETS)
-        left = tile == held[0][1]
-        right = tile == held[0][2]
-        x = np.flatnonzero(left)
-        y = np.flatnonzero(right)
-        out_a, out_b = [], []
-        for k in x:
-            ok = y[(group[y] != group[k]) & (node[y] != node[k]) & (100 * np.minimum(n[y], n[k]) >= SIMILARITY * np.maximum(n[y], n[k]))]
-            if len(ok):
-                ok = ok[estimate(regs[k][None, :], regs[ok]) >= ESTIMATE]
-                out_a.append(np.minimum(node[k], node[ok]))
-                out_b.append(np.maximum(node[k], node[ok]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        left, right = np.flatnonzero(tile == held[0][1]), np.flatnonzero(tile == held[0][2])
+        links = _tile_links(held[0][0], left, right, node, group, n, regs, [r[8] for r in held])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "tile", "node", "group_node", "n", "sketch"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "tile", "node", "group_node", "n", "sketch", "shingles"))):
                 if held and held[0][:3] != r[:3]:
                     yield compare(held)
                     held = []
@@ -192,8 +216,7 @@ def _in_large(large: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFr
         if held:
             yield compare(held)
 
-    found = dealt.mapInArrow(search, "a long, b long")
-    return found.distinct()
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,10 +245,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rest = _unconnected(pairs.join(first, ["a", "b"], "left_anti"), groups, "a", "b").filter(F.col("group_a") != F.col("group_b"))
     links = links.union(written(_confirmed(rest, shingles), "links"))
     groups = written(components(links), "groups")
-    more = written(_in_large(large, groups, classes), "candidates")
-    new = written(more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(nodes, "node", "left_anti"), "nodes")
-    both = shingles.union(written(_shingles(rows, new), "shingles"))
-    links = links.union(written(_confirmed(more, both), "links"))
+    mixed = written(_mixed(large, groups), "mixed")
+    new = written(mixed.select("node").distinct().join(nodes, "node", "left_anti"), "nodes")
+    links = links.union(written(_in_large(mixed, classes, shingles.union(written(_shingles(rows, new), "shingles"))), "links"))
     # documents of a class hang on its node; rows of one key hang together
     same = sound.select("shingles", "key").join(classes.select("shingles", "node"), "shingles").select(F.col("key").alias("a"), F.col("node").alias("b"))
     groups = components(links.union(same.filter(F.col("a") != F.col("b"))))
