@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import add, bin_centers, clip, curve_value
+from ..functions.cols import add, bin_centers, clip, curve_value, row_mean, row_median
 from ..functions.small_solve import solve2, solve3
 
 W_MIN, W_MAX = 0.05, 0.9
@@ -125,31 +126,39 @@ def log_variance_model(df: DataFrame, e2: Column, f1: Column, f2: Column) -> Dat
     return coef.join(k.withColumn("one", F.lit(1)), "one")
 
 
+#: Aggregates that a task keeps at once.
+SWEEP = 250
+
+
 def wide_sweep(df: DataFrame, e2: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
-    """RMSE of many variants in one pass: one sum per variant, then columns to rows."""
-    if len(e2) > 250:
-        raise ValueError("split the sweep; one aggregate per variant is kept in each task")
+    """RMSE of many variants: one sum per variant, then columns to rows; SWEEP variants share a pass."""
+    if len(e2) > SWEEP:
+        names = list(e2)
+        parts = [wide_sweep(df, {k: e2[k] for k in names[i: i + SWEEP]}, keys) for i in range(0, len(names), SWEEP)]
+        return reduce(DataFrame.unionByName, parts)
     g = df.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in e2.items()])
     items = F.array(*[F.struct(F.lit(k).alias("variant"), F.sqrt(F.col(f"`{k}`") / F.col("n")).alias("rmse")) for k in e2])
     return g.select(*(keys or []), "n", F.inline(items))
 
 
 def combine(names: list[str], err: list[str], temp: float = 1.0) -> dict[str, Column]:
-    """Ways to merge several predictions by their known-part RMSE (columns `err`), one column each."""
-    p = [F.col(n) for n in names]
-    e = [F.greatest(F.col(x), F.lit(1e-3)) for x in err]
-    first = F.array_min(F.array(*[F.struct(F.col(x).alias("e"), F.lit(i).alias("i")) for i, x in enumerate(err)]))["i"]
-    order = F.array_sort(F.array(*[F.struct(F.col(x).alias("e"), F.lit(i).alias("i"), F.col(n).alias("v"))
-                                   for i, (x, n) in enumerate(zip(err, names))]))
+    """Ways to merge several predictions by their known-part RMSE (columns `err`), one column each.
+    A member without a prediction or an error is left out of its row; no member gives null."""
+    there = [F.col(n).isNotNull() & F.col(x).isNotNull() for n, x in zip(names, err)]
+    p = [F.when(t, F.col(n)) for t, n in zip(there, names)]
+    e = [F.when(t, F.greatest(F.col(x), F.lit(1e-3))) for t, x in zip(there, err)]
+    order = F.array_sort(F.array_compact(F.array(*[F.when(t, F.struct(F.col(x).alias("e"), F.lit(i).alias("i"), F.col(n).alias("v")))
+                                                   for i, (t, x, n) in enumerate(zip(there, err, names))])))
+    best, second = F.get(order, F.lit(0))["v"], F.get(order, F.lit(1))["v"]
 
     def mixed(w):
-        return add(*[a * b for a, b in zip(w, p)]) / add(*w)
+        w = [F.coalesce(x, F.lit(0.0)) for x in w]
+        return add(*[a * F.coalesce(b, F.lit(0.0)) for a, b in zip(w, p)]) / F.nullif(add(*w), F.lit(0.0))
 
     lowest = F.least(*e)
     low_mse = F.greatest(lowest * lowest, F.lit(1e-6))
-    from ..functions.cols import row_median
-    return {"mean": add(*p) / len(p), "median": row_median(p), "best": F.get(F.array(*p), first),
+    return {"mean": row_mean(p), "median": row_median(p), "best": best,
             "wrmse": mixed([1 / x for x in e]), "inv2": mixed([1 / (x * x) for x in e]),
             "inv4": mixed([1 / (x * x * x * x) for x in e]), "soft": mixed([F.exp(-(x / lowest)) for x in e]),
             "softmax": mixed([F.exp(-(x * x) / (temp * low_mse)) for x in e]),
-            "top2": (F.get(order, F.lit(0))["v"] + F.get(order, F.lit(1))["v"]) / 2}
+            "top2": (best + F.coalesce(second, best)) / 2}

@@ -53,12 +53,12 @@ def local_plane(nb: DataFrame, keys: list[str], value: str, lam: float, power: f
     return g.select(*keys, base.alias("base"), F.coalesce(out, base).alias("plane"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, checkpoint, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, checkpoint) -> DataFrame:
     """Smallest reachable node per node (columns node, label), by label passing until nothing moves."""
     lab = nodes.select("node", F.col("node").alias("label"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpoint(both)
-    for _ in range(rounds):
+    while True:
         via = both.join(lab, both["a"] == lab["node"]).groupBy("b").agg(F.min("label").alias("__m"))
         new = lab.join(via, lab["node"] == via["b"], "left").select(
             "node", F.least("label", F.coalesce("__m", "label")).alias("__n"), "label")
@@ -70,4 +70,3 @@ def components(edges: DataFrame, nodes: DataFrame, checkpoint, rounds: int = 30)
         lab = new.select("node", "label")
         if new.where("moved").limit(1).count() == 0:
             return lab
-    raise RuntimeError("labels still moving; raise `rounds`")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import number_rows
@@ -35,18 +36,41 @@ def folds(groups: DataFrame, order: Column, tie: str, k: int) -> DataFrame:
     return ranked(groups, order, tie).withColumn("fold", F.col("seq") % k).drop("seq", "n")
 
 
-def bootstrap(sse: DataFrame, cols: list[str], draws: int, size: int | None = None) -> DataFrame:
-    """Pooled RMSE per replicate: `size` groups (default all) drawn with replacement from (idx, n, cols).
+#: Cumulative chances of 0, 1, 2, ... for the Poisson distribution with mean 1; beyond the last below 1e-12.
+DRAW_CHANCES = [math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(15)]
 
-    Draws come from integer arithmetic on (replicate, position), so they repeat exactly; only the table
-    with one row per group is joined, never its rows.  idx runs from 0."""
-    tot = sse.agg(F.count(F.lit(1)).alias("__g")).withColumn("one", F.lit(1))
-    b = sse.sparkSession.range(draws).select(F.col("id").alias("rep"), F.lit(1).alias("one")).join(tot, "one")
-    per = F.col("__g") if size is None else F.lit(size).cast("long")
-    d = b.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), per - 1)))
-    pick = (F.col("rep") * 7919 + F.col("i") * 104729 + F.col("rep") * F.col("i") * 31 + 12345) % 1000003 % F.col("__g")
-    j = d.select("rep", pick.alias("idx")).join(sse.select("idx", "n", *cols), "idx")
-    return j.groupBy("rep").agg(*[F.sqrt(F.sum(c) / F.sum("n")).alias(c) for c in cols])
+
+def _uniform(rep: Column, idx: Column) -> Column:
+    """A number in [0, 1) from the MD5 digest of replicate and group; SQL can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", rep, idx).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _pooled(drawn: DataFrame, cols: list[str]) -> DataFrame:
+    """RMSE per replicate of groups that count `__c` times each: sums meet in the map tasks, a row per replicate is shuffled."""
+    n = F.sum(F.col("__c") * F.col("n"))
+    return drawn.groupBy("rep").agg(*[F.sqrt(F.sum(F.col("__c") * F.col(c)) / n).alias(c) for c in cols])
+
+
+def _replicates(sse: DataFrame, cols: list[str], draws: int) -> DataFrame:
+    t = sse.select("idx", "n", *cols, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep"))
+    return t.withColumn("__u", _uniform(F.col("rep").cast("string"), F.col("idx").cast("string")))
+
+
+def bootstrap(sse: DataFrame, cols: list[str], draws: int) -> DataFrame:
+    """Pooled RMSE per replicate of groups (idx, n, cols) drawn with replacement.
+
+    Each group's number of draws is Poisson with mean 1, independent of the others and of their number, so no replicate
+    is ever gathered; the number of groups in a replicate varies about its mean."""
+    u = F.col("__u")
+    count = sum((F.when(u >= c, 1).otherwise(0) for c in DRAW_CHANCES[1:]), F.when(u >= DRAW_CHANCES[0], 1).otherwise(0))
+    return _pooled(_replicates(sse, cols, draws).withColumn("__c", count), cols)
+
+
+def subsample(sse: DataFrame, cols: list[str], draws: int, size: int) -> DataFrame:
+    """Pooled RMSE per replicate of `size` groups drawn without replacement: those with the smallest numbers."""
+    order = Window.partitionBy("rep").orderBy("__u", "idx")
+    return _pooled(_replicates(sse, cols, draws).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size)
+                   .withColumn("__c", F.lit(1)), cols)
 
 
 def bootstrap_report(reps: DataFrame, model: str, base: str) -> DataFrame:
@@ -64,13 +88,12 @@ def evaluate(wells: DataFrame, curves: DataFrame | None, fn: Callable[..., objec
 
     `wells` has key, seq, tvt_input (null from the cut on), tvt and any visible columns.  fn(known, curve,
     series_id) gets pandas frames without `tvt` and returns one value per unknown row (or per row).  Only
-    this callback sees whole series; one above `max_rows` is refused, use a DataFrame predictor and
-    `score` for those.  Returns key, seq, pred."""
+    this callback sees whole series; those above `max_rows` are left out and listed by `refused`: use a
+    DataFrame predictor and `score` for them.  Returns key, seq, pred."""
     import numpy as np
     cut = wells.groupBy(key).agg(F.min(F.when(F.col("tvt_input").isNull(), F.col("seq"))).alias("cut"), F.count(F.lit(1)).alias("n"))
     ok = cut.where((F.col("cut") >= 20) & (F.col("cut") < F.col("n")))
-    guard = F.when(F.col("n") <= max_rows, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("series too long for a callback: "), F.col(key).cast("string"))).cast("long"))
-    shown = wells.drop("tvt").join(ok.select(key, guard.alias("__n")).where(F.col("__n") > 0).drop("__n"), key)
+    shown = wells.drop("tvt").join(ok.where(F.col("n") <= max_rows).select(key), key)
     kt = wells.schema[key].dataType.simpleString()
 
     def run(ids, known, curve):
@@ -91,6 +114,11 @@ def evaluate(wells: DataFrame, curves: DataFrame | None, fn: Callable[..., objec
         lambda ids, a, b: run(ids, a, b) if len(a) else pd.DataFrame({key: [], "seq": [], "pred": []}), f"{key} {kt}, seq long, pred double")
 
 
+def refused(wells: DataFrame, key: str = "well", max_rows: int = 2_000_000) -> DataFrame:
+    """key, n of the series that are too long for a callback."""
+    return wells.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows)
+
+
 def score(truth: DataFrame, pred: DataFrame, key: str = "well") -> DataFrame:
     """Per-series n, sse, rmse of predictions (key, seq, pred) against truth (key, seq, tvt)."""
     e = F.col("tvt") - F.col("pred")

@@ -98,10 +98,12 @@ def backtest(spark: SparkSession, sf: str, fracs=(0.5, 0.65, 0.75)) -> DataFrame
 
 
 def ens(spark: SparkSession, sf: str) -> DataFrame:
-    c = cand(spark, sf).select("well", "seq", "event_id", "y", "s")
+    """Two replica ensembles of eight seeds: value around s, value2 around p."""
+    c = cand(spark, sf).select("well", "seq", "event_id", "y", "s", "p")
     c = c.withColumn("seed", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))))
     noise = ((F.col("event_id") * 7919 + F.col("seed") * 104729) % 2001 - 1000) / 100.0
-    return c.withColumn("value", F.col("s") + noise).drop("event_id")
+    noise2 = ((F.col("event_id") * 6151 + F.col("seed") * 92821) % 1601 - 800) / 100.0
+    return c.withColumn("value", F.col("s") + noise).withColumn("value2", F.col("p") + noise2).drop("event_id", "p")
 
 
 def ens_ll(e: DataFrame) -> DataFrame:

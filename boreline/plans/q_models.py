@@ -98,7 +98,7 @@ cal AS (SELECT well, CASE WHEN count(grn) >= 30 THEN regr_slope(grn, ref) ELSE 1
 b65 AS (SELECT bt.well, sqrt(avg((bt.y-bt.s)**2)) AS btS, sqrt(avg((bt.y-bt.p)**2)) AS btP, sqrt(avg((bt.y-btm.l)**2)) AS btZ, sqrt(avg((bt.y-btm.m)**2)) AS btB, sqrt(avg((bt.y-bt.g)**2)) AS btG,
   sqrt(avg((bt.y - 0.25*bt.s - 0.75*bt.p)**2)) AS btBlend FROM bt JOIN btm ON btm.well = bt.well AND btm.frac = bt.frac AND btm.seq = bt.seq WHERE bt.frac = 0.65 GROUP BY bt.well),
 {sql_lookup('mix', KEY.format(x='s'), 'cs', 'l1')}, {sql_lookup('mix', KEY.format(x='p'), 'cp', 'l2')}, {sql_lookup('mix', KEY.format(x='f'), 'cf', 'l3')},
-sp AS (SELECT well, seq, stddev_pop(value) AS pstd FROM (SELECT well, seq, s + ((event_id * 7919 + seed * 104729) % 2001 - 1000) / 100.0 AS value FROM cand, (SELECT unnest(range(1, 9)) AS seed)) GROUP BY ALL),
+sp AS (SELECT well, seq, stddev_pop(value) AS pstd, stddev_pop(value2) AS zstd FROM (SELECT well, seq, s + ((event_id * 7919 + seed * 104729) % 2001 - 1000) / 100.0 AS value, p + ((event_id * 6151 + seed * 92821) % 1601 - 800) / 100.0 AS value2 FROM cand, (SELECT unnest(range(1, 9)) AS seed)) GROUP BY ALL),
 hs AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2), 0) AS st, (z - lag(z) OVER w) / (md - lag(md) OVER w) AS zb,
   avg(gr) OVER a AS grm21, stddev_samp(gr) OVER a AS grs21, avg(gr) OVER b AS grm101, stddev_samp(gr) OVER b AS grs101 FROM ev WINDOW w AS (PARTITION BY well ORDER BY seq),
   a AS (PARTITION BY well ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), b AS (PARTITION BY well ORDER BY seq ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)),
@@ -106,7 +106,7 @@ hd AS (SELECT *, sum(st) OVER (PARTITION BY well ORDER BY seq) AS hd, avg(zb) OV
 an AS (SELECT well, max(hd) FILTER (seq = cut - 1) AS hd0, max(gr) FILTER (seq = cut - 1) AS gr0, regr_slope(tvt, hd) FILTER (seq < cut AND seq >= cut - 30) AS slp700,
   regr_slope(tvt, hd) FILTER (seq < cut AND seq >= cut - 15) AS slp50 FROM hd GROUP BY well)
 SELECT m.well, m.seq, m.s - m.f AS dS, m.p - m.f AS dP, m.l - m.f AS dZc, m.m - m.f AS dB, m.g - m.f AS dG, m.p - m.s AS dPS, m.p - m.l AS dPZ, m.s - m.g AS dSG, m.s - m.m AS dSB, sqrt(list_var_pop([m.s, m.p, m.l, m.m, m.g])) AS cstd, (m.s + m.p + m.l + m.m + m.g) / 5 - m.f AS cmean,
-  m.nn AS nn_real, 16 * m.nn AS nn_aniso, pstd, pstd AS zstd, m.md_since, hd - hd0 AS hd_since, (m.seq - m.cut) / greatest(m.n_pred - 1, 1) AS frac, m.z - m.z0 AS dz, dzdmd, gr, grm21, grs21, grm101, grs101, gr - (cal.a * cs + cal.b) AS gres_S, cal.a * cs + cal.b AS twgr_S, cal.a * cp + cal.b AS twgr_P,
+  m.nn AS nn_real, 16 * m.nn AS nn_aniso, pstd, zstd, m.md_since, hd - hd0 AS hd_since, (m.seq - m.cut) / greatest(m.n_pred - 1, 1) AS frac, m.z - m.z0 AS dz, dzdmd, gr, grm21, grs21, grm101, grs101, gr - (cal.a * cs + cal.b) AS gres_S, cal.a * cs + cal.b AS twgr_S, cal.a * cp + cal.b AS twgr_P,
   gr - (cal.a * cf + cal.b) AS gr_anchor, m.f AS lk, btS, btP, btZ, btB, btG, btBlend, btP / (btS + 1e-6) AS btPS_ratio, pfx_gr,
   m.cut AS cutn, m.n_pred AS npred, slp700, slp50, (SELECT max(k) - min(k) FROM curve) AS tw_span FROM mix m JOIN hd ON hd.well = m.well AND hd.seq = m.seq JOIN an ON an.well = m.well
   JOIN l1 ON l1.well = m.well AND l1.seq = m.seq JOIN l2 ON l2.well = m.well AND l2.seq = m.seq JOIN l3 ON l3.well = m.well AND l3.seq = m.seq JOIN sp ON sp.well = m.well AND sp.seq = m.seq
@@ -145,11 +145,11 @@ def point_features(spark, sf):
     t = t.join(affine(prefix_ref(spark, sf), ["well"], F.col("grn"), F.col("ref"), min_pairs=30).drop("pairs"), "well", "left")
     t = t.join(backtest65(spark, sf), "well", "left")
     t = t.withColumn("one", F.lit(1)).join(crv.agg((F.max("k") - F.min("k")).alias("tw_span")).withColumn("one", F.lit(1)), "one")
-    pstd = B.ens(spark, sf).groupBy("well", "seq").agg(F.stddev_pop("value").alias("pstd"))
+    pstd = B.ens(spark, sf).groupBy("well", "seq").agg(F.stddev_pop("value").alias("pstd"), F.stddev_pop("value2").alias("zstd"))
     t = t.join(pstd, ["well", "seq"])
     c = F.col
     st = [c("s"), c("p"), c("l"), c("m"), c("g")]
-    f = {"dS": c("s") - c("f"), "dP": c("p") - c("f"), "dZc": c("l") - c("f"), "dPZ": c("p") - c("l"), "nn_aniso": 16 * c("nn"), "pstd": c("pstd"), "zstd": c("pstd"),
+    f = {"dS": c("s") - c("f"), "dP": c("p") - c("f"), "dZc": c("l") - c("f"), "dPZ": c("p") - c("l"), "nn_aniso": 16 * c("nn"), "pstd": c("pstd"), "zstd": c("zstd"),
          "twgr_S": c("a") * c("tw_s") + c("b"), "twgr_P": c("a") * c("tw_p") + c("b"), "gres_S": c("gr") - (c("a") * c("tw_s") + c("b")),
          "gr_anchor": c("gr") - (c("a") * c("tw_f") + c("b")), "pfx_gr": c("sigma"), "btPS_ratio": c("btP") / (c("btS") + 1e-6), "tw_span": c("tw_span"),
          **{b: c(b) for b in ("btS", "btP", "btZ", "btB", "btG", "btBlend")},
@@ -374,7 +374,7 @@ def smoother_sweep(spark, sf):
     return out
 
 
-# Fixed values: (move cost, scale) of the seven path settings.
+# (move cost, scale) of this query's seven settings.
 BEAMS = [(20.0, 144.0), (10.0, 144.0), (5.0, 100.0), (30.0, 200.0), (15.0, 64.0), (8.0, 256.0), (40.0, 144.0)]
 
 

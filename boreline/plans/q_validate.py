@@ -70,9 +70,13 @@ def subset_stability(spark, sf):
     return f.groupBy("model").agg(F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"), F.sqrt(F.sum("s") / F.sum("n")).alias("pooled"))
 
 
-BOOT = SS + """, dr AS (SELECT b, (b * 7919 + i * 104729 + b * i * 31 + 12345) % 1000003 % k AS idx FROM (SELECT unnest(range(200)) AS b), (SELECT idx AS i, k FROM rk)),
-rp AS (SELECT b, sqrt(sum(rk.g)/sum(n)) AS g, sqrt(sum(rk.m)/sum(n)) AS m, sqrt(sum(rk.b)/sum(n)) AS bl FROM dr JOIN rk USING (idx) GROUP BY dr.b)"""
-BOOT = BOOT.replace("SELECT b, sqrt(sum(rk.g)", "SELECT dr.b, sqrt(sum(rk.g)")
+UNIF = "CAST(('0x' || substr(md5(rep || ':' || idx), 1, 13)) AS BIGINT) / 4503599627370496.0"
+BOOT = SS + f""", dr AS (SELECT rep, idx, {UNIF} AS u FROM rk, (SELECT unnest(range(200)) AS rep)),
+dc AS (SELECT rep, idx, {' + '.join(f'CASE WHEN u >= {c!r} THEN 1 ELSE 0 END' for c in V.DRAW_CHANCES)} AS c FROM dr),
+rp AS (SELECT rep, sqrt(sum(c * rk.g) / sum(c * n)) AS g, sqrt(sum(c * rk.m) / sum(c * n)) AS m, sqrt(sum(c * rk.b) / sum(c * n)) AS bl FROM dc JOIN rk USING (idx) GROUP BY rep)"""
+SUBS = SS + f""", dr AS (SELECT rep, idx, {UNIF} AS u FROM rk, (SELECT unnest(range(200)) AS rep)),
+dc AS (SELECT rep, idx FROM dr QUALIFY row_number() OVER (PARTITION BY rep ORDER BY u, idx) <= 60),
+rp AS (SELECT rep, sqrt(sum(rk.m) / sum(n)) AS m, sqrt(sum(rk.b) / sum(n)) AS bl FROM dc JOIN rk USING (idx) GROUP BY rep)"""
 
 
 @query("paired_bootstrap", "G5", "mean:d sd:d delta:d sd_delta:d p_better:d lo:d hi:d", f"""
@@ -83,6 +87,15 @@ def paired_bootstrap(spark, sf):
     return V.bootstrap_report(V.bootstrap(r, ["g", "m", "b"], 200), "b", "m")
 
 
+@query("paired_subsample", "G5", "mean:d sd:d delta:d sd_delta:d p_better:d lo:d hi:d", f"""
+WITH {SUBS} SELECT avg(bl) AS mean, stddev_pop(bl) AS sd, avg(bl - m) AS delta, stddev_pop(bl - m) AS sd_delta,
+  avg(CASE WHEN bl < m THEN 1.0 ELSE 0 END) AS p_better, quantile_cont(bl, 0.025) AS lo, quantile_cont(bl, 0.975) AS hi FROM rp""")
+def paired_subsample(spark, sf):
+    """The same for 60 groups drawn without replacement."""
+    r = materialize(ranked_sse(spark, sf), "sse")
+    return V.bootstrap_report(V.subsample(r, ["m", "b"], 200, 60), "b", "m")
+
+
 @query("candidate_oracles", "G7", "oracle:s rmse:d", f"""
 WITH {MIX}, w AS (SELECT well, count(*) AS n, sum((y-g)**2) AS g, sum((y-l)**2) AS l, sum((y-m)**2) AS m,
   sum(least((y-g)**2, (y-l)**2, (y-m)**2)) AS row_best, sum((y - least(greatest(y, least(g,l,m)), greatest(g,l,m)))**2) AS hull,
