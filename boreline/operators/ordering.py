@@ -17,28 +17,62 @@ CELL_ROWS = 500_000
 BLOCK_ROWS = 250_000
 
 
-def _cell(value: Column, lo: Column, hi: Column, cells: Column) -> Column:
-    pos = F.floor((value - lo) / (hi - lo) * cells)
-    return F.when(hi > lo, F.least(pos, cells - 1)).otherwise(F.lit(0)).cast("long")
+#: Steps of the counted quantiles; a group of more than CUTS cells has larger cells.
+CUTS = 1000
+
+
+def _quantiles(value: Column) -> Column:
+    """Aggregate: values at steps of 1/CUTS, from a summary of bounded size that is merged map-side."""
+    return F.percentile_approx(value.cast("double"), [i / CUTS for i in range(1, CUTS)], 10 * CUTS)
+
+
+def _picked(quantiles: Column, cells: Column) -> Column:
+    """The distinct cuts between `cells` cells of alike numbers of rows."""
+    at = F.transform(F.sequence(F.lit(1), F.least(cells, F.lit(CUTS)) - 1), lambda i: F.get(quantiles, F.floor(i * CUTS / F.least(cells, F.lit(CUTS))).cast("int") - 1))
+    return F.array_distinct(F.when(cells > 1, at))
+
+
+def cell_of(value: Column, cuts: Column) -> Column:
+    """Cells in the order of values, nulls first: every cut is a cell of its own, and so is every gap between two; 0 without cuts."""
+    v = value.cast("double")
+    return F.when(cuts.isNull(), 0).otherwise(2 * F.size(F.filter(cuts, lambda c: c < v)) + F.coalesce(F.array_contains(cuts, v), F.lit(False)).cast("int")).cast("long")
+
+
+def value_cuts(df: DataFrame, keys: list[str], value: str, sizes: DataFrame, size: str, cell_rows: int) -> DataFrame:
+    """keys, __cuts of the groups with more than cell_rows rows; sizes: one row per group.  Nothing is read for the others."""
+    big = sizes.where(F.col(size) > cell_rows).select(*keys, F.ceil(F.col(size) / cell_rows).cast("int").alias("__cells"))
+    q = df.join(big, keys).groupBy(*keys).agg(_quantiles(F.col(value)).alias("__q"), F.max("__cells").alias("__cells"))
+    return q.select(*keys, _picked(F.col("__q"), F.col("__cells")).alias("__cuts"))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: str, tie: str,
                 cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Add `seq` (0-based rank by order, tie), `n` (rows of the series) and `order0` (first order value)."""
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("order0"), F.max(order).alias("__hi"))
-    placed = df.join(stats, keys).withColumn(
-        "__cell", _cell(F.col(order).cast("double"), F.col("order0").cast("double"),
-                        F.col("__hi").cast("double"), F.ceil(F.col("n") / cell_rows)))
-    sizes = placed.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__c"))
-    before = W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__cell",
+    """Add `seq` (0-based rank by order, tie), `n` (rows of the series) and `order0` (first order value).
+
+    Series above cell_rows are cut at counted quantiles of the order, so outliers and heavy tails do not fill a cell; order
+    values that more than cell_rows rows share are cut again by the tie, where that is a number."""
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("order0"))
+    cuts = value_cuts(df, keys, order, stats, "n", cell_rows)
+    placed = df.join(stats, keys).join(cuts, keys, "left").withColumn("__cell", cell_of(F.col(order), F.col("__cuts"))) \
+        .withColumn("__own", F.col("__cell") % 2 == 1).drop("__cuts")
+    place = [*keys, "__cell"]
+    numeric = dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    if numeric:
+        shared = placed.where("__own").groupBy(*place).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > cell_rows)
+        again = placed.where("__own").join(shared, place).groupBy(*place).agg(_quantiles(F.col(tie)).alias("__q"), F.max("__m").alias("__m"))
+        again = again.select(*place, _picked(F.col("__q"), F.ceil(F.col("__m") / cell_rows).cast("int")).alias("__cuts"))
+        placed = placed.join(again, place, "left").withColumn("__sub", cell_of(F.col(tie), F.col("__cuts"))).drop("__cuts")
+    else:
+        placed = placed.withColumn("__sub", F.lit(0).cast("long"))
+    sizes = placed.groupBy(*place, "__sub").agg(F.count(F.lit(1)).alias("__c"))
+    before = W.partitionBy(*keys).orderBy("__cell", "__sub").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*place, "__sub",
                            F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    inside = W.partitionBy(*keys, "__cell").orderBy(order, tie)
+    inside = W.partitionBy(*place, "__sub").orderBy(order, tie)
     return (placed.withColumn("__r", F.row_number().over(inside))
-            .join(offsets, [*keys, "__cell"])
+            .join(offsets, [*place, "__sub"])
             .withColumn("seq", F.col("__r") - 1 + F.col("__off"))
-            .drop("__r", "__off", "__cell", "__hi"))
+            .drop("__r", "__off", "__cell", "__sub", "__own"))
 
 
 def _blk(seq: str, block: int) -> Column:

@@ -1,7 +1,7 @@
 """Exact quantiles, ranks and top-k of groups of any size.
 
 Equal values are counted first (map-side), the distinct values of a group are
-spread over cells by value, and only cell totals are summed per group, so a
+spread over cells cut at their counted quantiles, and only cell totals are summed per group, so a
 group holding a third of all rows is still ranked by many tasks."""
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordering import CELL_ROWS, _cell
+from .ordering import CELL_ROWS, cell_of, value_cuts
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: Column, weight: Column | None = None,
@@ -20,16 +20,12 @@ def value_ranks(df: DataFrame, keys: list[str], value: Column, weight: Column |
     freq = (df.select(*keys, value.cast("double").alias("v"), wt.cast("double").alias("__w"))
             .where(F.col("v").isNotNull())
             .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"), F.sum("__w").alias("w")))
-    stats = freq.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.sum("w").alias("wn"), F.count(F.lit(1)).alias("__m"),
-        F.min("v").alias("__lo"), F.max("v").alias("__hi"))
-    if keys:
-        placed = freq.join(stats, keys)
-    else:
-        placed = freq.withColumn("__k", F.lit(1)).join(stats.withColumn("__k", F.lit(1)), "__k")
-    placed = placed.withColumn("__cell", _cell(F.col("v"), F.col("__lo"), F.col("__hi"),
-                                               F.ceil(F.col("__m") / cell_rows)))
     gk = keys or ["__k"]
+    if not keys:
+        freq = freq.withColumn("__k", F.lit(1))
+    stats = freq.groupBy(*gk).agg(F.sum("c").alias("n"), F.sum("w").alias("wn"), F.count(F.lit(1)).alias("__m"))
+    placed = freq.join(stats, gk).join(value_cuts(freq, gk, "v", stats, "__m", cell_rows), gk, "left") \
+        .withColumn("__cell", cell_of(F.col("v"), F.col("__cuts"))).drop("__cuts")
     cells = placed.groupBy(*gk, "__cell").agg(F.sum("c").alias("__cc"), F.sum("w").alias("__cw"))
     before = W.partitionBy(*gk).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select(*gk, "__cell", F.coalesce(F.sum("__cc").over(before), F.lit(0)).alias("__oc"),

@@ -79,3 +79,29 @@ def test_weighted_median_and_top(spark):
     assert Q.weighted_median(df, ["sid"], F.col("v"), F.col("q"), "m").first().m == 4.0
     top = Q.top_per_group(df, ["sid"], [F.desc("v"), F.asc("id")], 2).toPandas().sort_values("rank")
     assert top["v"].tolist() == [5.0, 4.0]
+
+
+@pytest.mark.parametrize("kind", ["outlier", "ties", "tail"])
+def test_no_cell_is_crowded(spark, kind):
+    n, cell = 4000, 200
+    x = {"outlier": np.r_[np.arange(n - 1.0), 1e12], "ties": np.r_[np.full(n - 10, 5.0), np.arange(10.0)], "tail": RNG.standard_cauchy(n) ** 2}[kind]
+    p = pd.DataFrame({"sid": 1, "t": x, "id": RNG.permutation(n)})
+    got = O.number_rows(spark.createDataFrame(p).repartition(3), ["sid"], "t", "id", cell_rows=cell)
+    want = p.sort_values(["t", "id"]).reset_index(drop=True)
+    assert (got.toPandas().sort_values("seq")["id"].to_numpy() == want["id"].to_numpy()).all()
+    df = spark.createDataFrame(p)
+    sizes = df.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.join(O.value_cuts(df, ["sid"], "t", sizes, "n", cell), "sid").groupBy(O.cell_of(F.col("t"), F.col("__cuts")).alias("c")).count().toPandas()
+    crowded = cells[cells["count"] > 2 * cell]
+    if kind == "ties":
+        assert len(crowded) == 1 and (crowded["c"] % 2 == 1).all()
+    else:
+        assert len(crowded) == 0 and len(cells) >= n / cell
+    r = Q.value_ranks(df, ["sid"], F.col("t"), cell_rows=cell).toPandas().sort_values("v")
+    assert (r["r0"].to_numpy() == np.r_[0, np.cumsum(r["c"])[:-1]]).all()
+
+
+def test_ties_are_cut_by_the_tie(spark):
+    df = spark.range(3000).select(F.lit(1).alias("sid"), F.lit(7.0).alias("t"), (F.col("id") * 7 % 3000).alias("id"))
+    got = O.number_rows(df, ["sid"], "t", "id", cell_rows=100).toPandas()
+    assert (got["seq"] == got["id"]).all()
