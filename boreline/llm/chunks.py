@@ -17,7 +17,7 @@ from boreline.llm.shared import per_worker
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
 #: Characters of cached chunks after which a worker forgets them and starts anew.
-CACHE_CHARS = 24_000_000
+CACHE_CHARS = 16_000_000
 
 
 def default_path(name: str) -> str:

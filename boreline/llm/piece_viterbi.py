@@ -29,9 +29,9 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of cached words after which a worker forgets them and starts anew.
-CACHE_CHARS = 20_000_000
+CACHE_CHARS = 10_000_000
 #: Kept verdicts on pairs of pieces, likewise.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 250_000
 ROWS = 256
 
 
