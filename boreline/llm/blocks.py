@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from boreline.llm.shared import per_worker
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Bytes 0x20 and 0x09-0x0D separate words.
 SPACE = np.zeros(256, dtype=bool)
