@@ -120,3 +120,11 @@ def test_levels_merge_like_a_counter(spark):
         sizes.append([n for n, _ in index.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
     assert sum(t.count() for _, t in index.levels) == len({0, 1, 2, 3, 100, 200, 201}) + 3
+
+
+def test_texts_that_share_a_key_do_not_break(spark):
+    long = prose("shared key", 300)
+    rows = [(1, long), (2, "short " * 5), (2, "x " + long), (3, long[500:900])]
+    got = remove_repeats(spark.createDataFrame([(*r, None, None, None) for r in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.n_bytes) for r in got) == sorted((k, len(t.encode())) for k, t in rows)
+    assert all(r.n_removed == 0 for r in got if r.doc_id == 1) and all(r.n_removed == r.n_bytes for r in got if r.doc_id == 3)
