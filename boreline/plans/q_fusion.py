@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.cols import add, clip, curve_value, bin_centers, ramp_up, sigmoid_gate, softmax
 from ..operators import fuse as U
 from ..operators import metrics as M
-from ..operators import series as S
-from ..operators.ordering import running_sum
 from . import bindings as B
 from .q_stats import MD_EDGES, MIN_BIN, NN_EDGES, binned_sql, sq, sql_bins
 from .registry import query

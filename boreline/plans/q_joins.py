@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cols import add
 from ..operators import lookup as L
 from ..operators import match as X
 from ..operators import series as S
-from ..operators.calibrate import affine
-from ..operators.ordering import number_rows
 from ..operators.quantiles import group_quantiles
 from ..sources.store import materialize
 from . import bindings as B
-from .q_stats import CAL, KEY, SEGS, prefix_ref, sql_lookup
+from .q_stats import SEGS, sql_lookup
 from .registry import query
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip, ramp_up, row_mean, row_median, row_std, rotate_stretch, rms
+from ..functions.cols import ramp_up, rms
 from ..operators import series as S
 from ..operators.ordering import fill_linear, framed
 from ..operators.quantiles import top_per_group, value_ranks

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cols as C
-from ..operators.ordering import framed
 from ..operators.quantiles import group_quantiles
 from ..sources import logs, store
 from . import bindings as B

@@ -233,7 +233,6 @@ def quadratic_trend(spark, sf):
     """Six-term trend of the first horizon over the whole cloud and the spread that remains."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
-    from pyspark.sql import SparkSession  # noqa: F401
     t = B.cloud(spark, sf).select((F.col("x") / 5000).alias("a"), (F.col("y") / 2500).alias("b"), F.col("h3").alias("label"))
     t = t.select("label", "a", "b", (F.col("a") * F.col("a")).alias("aa"), (F.col("a") * F.col("b")).alias("ab"), (F.col("b") * F.col("b")).alias("bb"))
     f = VectorAssembler(inputCols=["a", "b", "aa", "ab", "bb"], outputCol="features").transform(t)

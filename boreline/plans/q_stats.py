@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cols import add, row_mean, row_median, row_std
+from ..functions.cols import row_mean, row_median, row_std
 from ..operators import calibrate as K
 from ..operators import metrics as M
 from ..operators import series as S

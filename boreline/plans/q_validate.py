@@ -10,7 +10,6 @@ from ..operators import fuse as U
 from ..operators import metrics as M
 from ..operators import series as S
 from ..operators import validate as V
-from ..operators.quantiles import group_quantiles
 from ..sources.store import materialize
 from . import bindings as B
 from .q_fusion import MEM, MIX, err2, mix

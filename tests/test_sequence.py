@@ -1,7 +1,6 @@
 """State-space estimation: blocks and levels give what one pass over the whole series gives."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from boreline.operators.sequence import CheapestPath, Diffusion, Drift, _blur, smooth
