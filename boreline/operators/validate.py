@@ -83,17 +83,20 @@ def bootstrap_report(reps: DataFrame, model: str, base: str) -> DataFrame:
 
 
 def evaluate(wells: DataFrame, curves: DataFrame | None, fn: Callable[..., object], key: str = "well",
-             max_rows: int = 2_000_000) -> DataFrame:
+             max_rows: int = 2_000_000, leave_out: bool = False) -> DataFrame:
     """Run a user's predictor on every evaluable series as it would look at prediction time.
 
     `wells` has key, seq, tvt_input (null from the cut on), tvt and any visible columns.  fn(known, curve,
     series_id) gets pandas frames without `tvt` and returns one value per unknown row (or per row).  Only
-    this callback sees whole series; those above `max_rows` are left out and listed by `refused`: use a
-    DataFrame predictor and `score` for them.  Returns key, seq, pred."""
+    this callback sees whole series.  One above `max_rows` is an error, or with `leave_out` is left out and listed by
+    `refused`, so the others have their results: use a DataFrame predictor and `score` for it.  Returns key, seq, pred."""
     import numpy as np
     cut = wells.groupBy(key).agg(F.min(F.when(F.col("tvt_input").isNull(), F.col("seq"))).alias("cut"), F.count(F.lit(1)).alias("n"))
     ok = cut.where((F.col("cut") >= 20) & (F.col("cut") < F.col("n")))
-    shown = wells.drop("tvt").join(ok.where(F.col("n") <= max_rows).select(key), key)
+    if leave_out:
+        ok = ok.where(F.col("n") <= max_rows)
+    guard = F.when(F.col("n") <= max_rows, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("series too long for a callback: "), F.col(key).cast("string"))).cast("long"))
+    shown = wells.drop("tvt").join(ok.select(key, guard.alias("__n")).where(F.col("__n") > 0).drop("__n"), key)
     kt = wells.schema[key].dataType.simpleString()
 
     def run(ids, known, curve):
