@@ -86,38 +86,53 @@ def jaccard(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
     return same / (len(a) + len(b) - same)
 
 
+def node_of(s: np.ndarray) -> int:
+    """64 bits of the digest of a set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def as_text(s: np.ndarray) -> str:
     """A fingerprint: its signatures in order, eight hexadecimal digits each."""
     return s.astype(">u4").tobytes().hex()
 
 
-def _with_successors(docs: DataFrame) -> tuple[DataFrame, int]:
+def _with_successors(docs: DataFrame) -> tuple[DataFrame, list[float]]:
     """key, text -> part, border, key, text, to be dealt by part: ranges of keys of about equal numbers of rows, each closed by
-    a border row, the first row of the next range (of the first range after the last)."""
+    a border row, the first row of the next range (of the first range after the last); and the first keys of the ranges."""
     begin = begins(docs, "key")
     if not begin:
-        return docs.select(F.lit(0).alias("part"), F.lit(False).alias("border"), "key", "text"), 1
+        return docs.select(F.lit(0).alias("part"), F.lit(False).alias("border"), "key", "text"), begin
     k, last = as_number(F.col("key")), len(begin) - 1
     part = search(k, begin[1:])
     before = F.when(part == 0, F.lit(last)).otherwise(part - 1)
     own = F.struct(part.alias("part"), F.lit(False).alias("border"))
     is_first = k == F.element_at(F.array(*[F.lit(b) for b in begin]), part + 1)
     places = F.when(is_first, F.array(own, F.struct(before.alias("part"), F.lit(True).alias("border")))).otherwise(F.array(own))
-    return docs.select(F.explode(places).alias("p"), "key", "text").select("p.part", "p.border", "key", "text"), last + 1
+    return docs.select(F.explode(places).alias("p"), "key", "text").select("p.part", "p.border", "key", "text"), begin
 
 
-def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """`key`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: every text against itself
     with its last half replaced by the start of the next text, and against the next text, in the order of `key` (numeric).
 
     Null text: empty; an empty text's fingerprint is empty and alike to empty ones only.  Null keys come first.  Repeated keys
     are in the order of their texts.  A single row is followed by itself; an empty table gives an empty result.  Other
-    columns are ignored."""
-    kind = docs.schema[key].dataType.simpleString()
-    rows, parts = _with_successors(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "border", "key", "text")
+    columns are ignored.
 
-    def finish(keys: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
+    With `groups` (key, node, group_key, n_group, see `spot_match.match_groups`) there are also group_key and n_group.  Its
+    rows are dealt like the texts, each before those of its key, so texts are not shuffled for it."""
+    kind = docs.schema[key].dataType.simpleString()
+    rows, begin = _with_successors(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    order, names = ["part", "border", "key", "text"], ["part", "border", "key", "text"]
+    if groups is not None:
+        known = groups.select(search(as_number(F.col("key")), begin[1:]).alias("part"), F.lit(False).alias("border"), "key", F.lit(None).cast("string").alias("text"),
+                              F.struct("node", "group_key", "n_group").alias("known"))
+        rows = rows.withColumn("known", F.lit(None).cast(known.schema["known"].dataType)).union(known)
+        order, names = ["part", "border", "key", F.col("known").isNull(), "text"], names + ["known"]
+    grouped = groups is not None
+    dealt = rows.repartitionById(max(len(begin), 1), F.col("part")).sortWithinPartitions(*order)
+
+    def finish(keys: list, texts: list[str], nexts: list[str], known: list[dict]) -> pa.RecordBatch:
         halves = [len(t) // 2 for t in texts]
         edited = [t[: len(t) - h] + n[:h] for t, n, h in zip(texts, nexts, halves)]
         m = len(texts)
@@ -125,30 +140,42 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         sets = signature_sets(texts + edited + [n for n, f in zip(nexts, follows) if not f])
         own, other, more = sets[:m], sets[m: 2 * m], iter(sets[2 * m:])
         after = [own[i + 1] if f else next(more) for i, f in enumerate(follows)]
+        found = [g.get(node_of(s), (k, 1)) if g else (k, 1) for g, s, k in zip(known, own, keys)]
         return pa.RecordBatch.from_arrays(
             [pa.array(keys), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
              pa.array([as_text(s) for s in own]), pa.array([as_text(s) for s in other]),
-             pa.array([jaccard(a, b) for a, b in zip(own, other)], pa.float64()), pa.array([jaccard(a, b) for a, b in zip(own, after)], pa.float64())],
-            ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+             pa.array([jaccard(a, b) for a, b in zip(own, other)], pa.float64()), pa.array([jaccard(a, b) for a, b in zip(own, after)], pa.float64()),
+             *([pa.array([k for k, _ in found]), pa.array([m for _, m in found], pa.int64())] if grouped else [])],
+            ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *(["group_key", "n_group"] if grouped else [])])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+        at_key, own = None, {}
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                keys, texts, nexts = [], [], []
-                for p, border, k, t in zip(*(part.column(c).to_pylist() for c in ("part", "border", "key", "text"))):
+                keys, texts, nexts, known = [], [], [], []
+                for p, border, k, t, *g in zip(*(part.column(c).to_pylist() for c in names)):
+                    if at_key != (p, border, k):
+                        at_key, own = (p, border, k), {}
+                    if g and g[0] is not None:
+                        own[g[0]["node"]] = (g[0]["group_key"], g[0]["n_group"])
+                        continue
                     if held is not None and held[0] == p:
                         keys.append(held[1])
                         texts.append(held[2])
                         nexts.append(t)
-                    held = None if border else (p, k, t)
+                        known.append(held[3])
+                    held = None if border else (p, k, t, own)
                 if keys:
-                    out = finish(keys, texts, nexts)
-                    yield out.set_column(0, "key", out.column(0).cast(part.schema.field("key").type))
+                    out = finish(keys, texts, nexts, known)
+                    for c in ("key", "group_key")[: 1 + grouped]:
+                        out = out.set_column(out.schema.get_field_index(c), c, out.column(c).cast(part.schema.field("key").type))
+                    yield out
 
+    more = "" if groups is None else f", group_key {kind}, n_group long"
     return dealt.mapInArrow(compare, f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-                                     "near_edited double, near_next double").withColumnRenamed("key", key)
+                                     f"near_edited double, near_next double{more}").withColumnRenamed("key", key)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
