@@ -214,3 +214,39 @@ def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exc
     w2 = W.partitionBy("qid").orderBy("dist", "id")
     j = j.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k)
     return j.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+
+
+def knn_stretched(queries: DataFrame, points: DataFrame, k: int, stretch: float, levels: int = LEVELS) -> DataFrame:
+    """queries(qid, qgrp, u, v, theta) x points(id, grp, u, v) -> qid, id, dist, rank: k nearest points of other groups where
+    distances along a query's own direction theta count `stretch` (at least 1) times.
+
+    The farthest of k plain neighbours in the stretched metric bounds the k-th stretched distance, and a stretched distance is
+    no less than the plain one: the points within that radius are enough.  They are in the nine cells about the query of the
+    finest level whose cells are no smaller than the radius."""
+    fr, top = _frame(points), F.lit(float(levels))
+    q = queries.select("qid", "qgrp", F.col("u").alias("qu"), F.col("v").alias("qv"), "theta")
+    p = points.select("id", "grp", F.col("u").alias("pu"), F.col("v").alias("pv"))
+    du, dv = F.col("pu") - F.col("qu"), F.col("pv") - F.col("qv")
+    cos, sin = F.cos("theta"), F.sin("theta")
+    dist = F.hypot(stretch * (du * cos + dv * sin), dv * cos - du * sin)
+    near = knn(queries.select("qid", "qgrp", "u", "v"), points, k).select("qid", "id").join(p.select("id", "pu", "pv"), "id").join(q, "qid")
+    r = near.groupBy("qid").agg((F.max(dist) * 1.000001).alias("r"))
+    q = q.join(r, "qid").withColumn("one", F.lit(1)).join(fr, "one").drop("one")
+    lvl = F.when(F.col("r") <= 0, top).otherwise(F.greatest(F.lit(0.0), F.least(top, F.floor(F.log2(F.col("side") / F.col("r")) - 1e-9).cast("double"))))
+    q = q.withColumn("lvl", lvl).withColumn("cx", _cell("qu", "u0", F.col("lvl"))).withColumn("cy", _cell("qv", "v0", F.col("lvl")))
+    # level 0 is one cell: a larger radius, or a query outside, looks at it from wherever it is
+    q = q.withColumn("root", F.col("lvl") == 0)
+    ring = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    q = q.select("*", F.inline(F.when(F.col("root"), F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")))).otherwise(ring)))
+    zero = F.lit(0).cast("long")
+    q = q.select("qid", "qgrp", "qu", "qv", "theta", "r", F.when(F.col("root"), F.lit(0.0)).otherwise(F.col("lvl")).alias("lvl"),
+                 F.when(F.col("root"), zero).otherwise(F.col("cx") + F.col("dx")).alias("cx"), F.when(F.col("root"), zero).otherwise(F.col("cy") + F.col("dy")).alias("cy"))
+    q = materialize(q, "stretched")
+    used = q.select("lvl").distinct().withColumn("one", F.lit(1))
+    t = p.withColumn("one", F.lit(1)).join(fr, "one").join(used, "one").withColumn("cx", _cell("pu", "u0", F.col("lvl"))).withColumn("cy", _cell("pv", "v0", F.col("lvl")))
+    j = q.join(t.select("id", "grp", "pu", "pv", "lvl", "cx", "cy"), ["lvl", "cx", "cy"]).where(~F.col("grp").eqNullSafe(F.col("qgrp")))
+    j = j.where(F.hypot(du, dv) <= F.col("r")).select("qid", "id", dist.alias("dist"))
+    w1 = W.partitionBy("qid", F.pmod(F.xxhash64("id"), F.lit(4))).orderBy("dist", "id")
+    w2 = W.partitionBy("qid").orderBy("dist", "id")
+    j = j.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k)
+    return j.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
