@@ -187,7 +187,7 @@ def derived_point_features(spark, sf):
                     (c("gr") - c("gr21")).alias("rough"))
 
 
-FIT_COLS = ["dS", "dP", "dG", "cstd", "nn_real", "md_since", "hd_since", "frac", "dz"]
+FIT_COLS = PF_COLS
 
 
 def residual_table(spark, sf):
@@ -225,11 +225,8 @@ def permutation_importance(spark, sf):
     other = V.ranked(t.where("fold = 0").select("well", "seq", *FIT_COLS), F.xxhash64("seq", "well", F.lit(11)), "well")
     other = other.select(F.col("seq").alias("i"), *[F.col(c).alias(f"o_{c}") for c in FIT_COLS])
     j = materialize(r.join(other, "i"), "paired")
-    base = j.select("*", F.lit("").alias("feature"))
-    alls = [base] + [j.withColumn(c, F.col(f"o_{c}")).withColumn("feature", F.lit(c)) for c in FIT_COLS]
-    u = alls[0]
-    for d in alls[1:]:
-        u = u.unionByName(d)
+    u = j.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in ["", *FIT_COLS]])))
+    u = u.select("label", "feature", *[F.when(F.col("feature") == c, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in FIT_COLS])
     s = model.transform(u).groupBy("feature").agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("rmse"))
     b = s.where("feature = ''").select(F.col("rmse").alias("b"), F.lit(1).alias("one"))
     return s.where("feature <> ''").withColumn("one", F.lit(1)).join(b, "one").select("feature", (F.col("rmse") - F.col("b")).alias("delta"))
