@@ -2,7 +2,7 @@
 
 A block holds the ids of consecutive documents.  In a round every symbol is left or right by a bit of a hash of its id, so
 pairs of a left and a right symbol never overlap and all frequent ones are replaced at once; runs of one symbol are
-halved in the first round.  No pair crosses a document's end, so each document is a slice of the final sequence and can be
+halved in every RUNS-th round.  Rounds go on until no pair is left that is found LEAST times.  No pair crosses a document's end, so each document is a slice of the final sequence and can be
 decoded alone; the stored expansion lengths give the place of any token without decoding what is before it."""
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"RPG1"
-ROUNDS = 8
+#: Every so many rounds, the first included, runs of one symbol are halved instead.
+RUNS = 4
 #: A pair that is found less often does not pay for its rule.
 LEAST = 16
 #: Pairs are first counted in this many cells by a hash; only those in cells with LEAST are counted exactly.
@@ -42,6 +43,24 @@ def _side(symbols: np.ndarray, turn: int) -> np.ndarray:
     return (h >> np.uint32(31)).astype(bool)
 
 
+def _run_pairs(a: np.ndarray, b: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of every other pair of a run of one symbol."""
+    same = (a == b) & ~last[:-1]
+    change = np.ones(len(same), bool)
+    change[1:] = ~same[1:] | ~same[:-1]
+    start = np.maximum.accumulate(np.where(change, np.arange(len(same)), 0))
+    return np.flatnonzero(same & ((np.arange(len(same)) - start) % 2 == 0))
+
+
+def _frequent(seq: np.ndarray, last: np.ndarray) -> bool:
+    """Whether any pair is found LEAST times, pairs inside runs counted without overlap."""
+    a, b = seq[:-1], seq[1:]
+    at = np.r_[np.flatnonzero((a != b) & ~last[:-1]), _run_pairs(a, b, last)]
+    key = (a[at].astype(np.int64) << np.int64(32)) | b[at]
+    key.sort()
+    return len(key) >= LEAST and bool((key[LEAST - 1:] == key[: len(key) - LEAST + 1]).any())
+
+
 def build(ids: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> Grammar:
     """Grammar of documents with `tokens` ids each, laid one after the other in ids."""
     seq = ids.astype(np.int32)
@@ -55,16 +74,11 @@ def build(ids: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> Grammar:
         table = np.concatenate(lengths)
         return np.where(symbols < base, 1, table[np.maximum(symbols - base, 0)] if len(table) else 1)
 
-    for turn in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    turn = 0
+    while len(seq) >= 2:
         a, b = seq[:-1], seq[1:]
-        if turn == 0:  # runs of one symbol: every other pair of a run
-            same = (a == b) & ~last[:-1]
-            change = np.ones(len(same), bool)
-            change[1:] = ~same[1:] | ~same[:-1]
-            start = np.maximum.accumulate(np.where(change, np.arange(len(same)), 0))
-            at = np.flatnonzero(same & ((np.arange(len(same)) - start) % 2 == 0))
+        if turn % RUNS == 0:  # runs of one symbol: every other pair of a run
+            at = _run_pairs(a, b, last)
         else:
             side = _side(seq, turn)
             at = np.flatnonzero(~side[:-1] & side[1:] & ~last[:-1])
@@ -91,6 +105,9 @@ def build(ids: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> Grammar:
             keep = np.ones(len(seq), bool)
             keep[at + 1] = False
             seq, last = seq[keep], last[keep]
+        elif not _frequent(seq, last):
+            break
+        turn += 1
     spans = np.zeros(len(tokens) + 1, np.int64)
     spans[1:][tokens > 0] = np.flatnonzero(last) + 1
     spans = np.maximum.accumulate(spans)
