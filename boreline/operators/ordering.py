@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
+
 CELL_ROWS = 500_000
 BLOCK_ROWS = 250_000
 
@@ -33,9 +35,12 @@ def _picked(quantiles: Column, cells: Column) -> Column:
 
 
 def cell_of(value: Column, cuts: Column) -> Column:
-    """Cells in the order of values, nulls first: every cut is a cell of its own, and so is every gap between two; 0 without cuts."""
+    """Cells in the order of values, nulls first: every cut is a cell of its own, and so is every gap between two; 0 without cuts.
+    The cuts below a value are counted by halving steps."""
     v = value.cast("double")
-    return F.when(cuts.isNull(), 0).otherwise(2 * F.size(F.filter(cuts, lambda c: c < v)) + F.coalesce(F.array_contains(cuts, v), F.lit(False)).cast("int")).cast("long")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(CUTS.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < v, at + step).otherwise(at))
+    return F.when(cuts.isNull(), 0).otherwise(2 * below + F.coalesce(F.get(cuts, below) == v, F.lit(False)).cast("int")).cast("long")
 
 
 def value_cuts(df: DataFrame, keys: list[str], value: str, sizes: DataFrame, size: str, cell_rows: int) -> DataFrame:
@@ -45,34 +50,67 @@ def value_cuts(df: DataFrame, keys: list[str], value: str, sizes: DataFrame, siz
     return q.select(*keys, _picked(F.col("__q"), F.col("__cells")).alias("__cuts"))
 
 
+def same_keys(keys: list[str], left: str = "l", right: str = "r") -> Column:
+    """Join condition on keys where null equals null."""
+    e = F.lit(True)
+    for k in keys:
+        e = e & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return e
+
+
+def largest(counts: DataFrame, column: str) -> int:
+    """The greatest count of a table of counts; what comes to the driver is one number."""
+    return counts.agg(F.max(column)).first()[0] or 0
+
+
 def number_rows(df: DataFrame, keys: list[str], order: str, tie: str,
                 cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add `seq` (0-based rank by order, tie), `n` (rows of the series) and `order0` (first order value).
 
-    Series above cell_rows are cut at counted quantiles of the order, so outliers and heavy tails do not fill a cell; order
-    values that more than cell_rows rows share are cut again by the tie, where that is a number."""
+    The rows of every series are counted first, which reads the keys alone.  Series of up to cell_rows rows are numbered by
+    one window, so the input is read once; only larger ones are told apart and cut into cells."""
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("order0"))
-    cuts = value_cuts(df, keys, order, stats, "n", cell_rows)
-    placed = df.join(stats, keys).join(cuts, keys, "left").withColumn("__cell", cell_of(F.col(order), F.col("__cuts"))) \
-        .withColumn("__own", F.col("__cell") % 2 == 1).drop("__cuts")
+    if largest(stats, "n") <= cell_rows:
+        return _number_small(df, keys, order, tie)
+    big = materialize(stats.where(F.col("n") > cell_rows), "big")
+    small = df.alias("l").join(big.alias("r"), same_keys(keys), "left_anti")
+    return _number_small(small, keys, order, tie).unionByName(_number_large(df, keys, order, tie, big, cell_rows))
+
+
+def _number_small(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
+    w = W.partitionBy(*keys)
+    return df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("order0", F.min(order).over(w)) \
+        .withColumn("seq", F.row_number().over(w.orderBy(order, tie)).cast("long") - 1)
+
+
+def _number_large(df: DataFrame, keys: list[str], order: str, tie: str, big: DataFrame, cell_rows: int) -> DataFrame:
+    """Series of `big` are cut at counted quantiles of the order, so outliers and heavy tails do not fill a cell; order
+    values that more than cell_rows rows share are cut again by the tie, where that is a number."""
+    names = df.columns
+    rows = df.alias("l").join(big.alias("r"), same_keys(keys)).select("l.*", "r.n", "r.order0")
+    q = rows.groupBy(*keys).agg(_quantiles(F.col(order)).alias("__q"), F.ceil(F.max("n") / cell_rows).cast("int").alias("__cells"))
+    cuts = q.select(*keys, _picked(F.col("__q"), F.col("__cells")).alias("__cuts"))
+    placed = rows.alias("l").join(cuts.alias("r"), same_keys(keys)).select("l.*", cell_of(F.col(f"l.{order}"), F.col("__cuts")).alias("__cell"))
+    placed = materialize(placed, "placed")
     place = [*keys, "__cell"]
     numeric = dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    sub = F.lit(0).cast("long")
     if numeric:
-        shared = placed.where("__own").groupBy(*place).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > cell_rows)
-        again = placed.where("__own").join(shared, place).groupBy(*place).agg(_quantiles(F.col(tie)).alias("__q"), F.max("__m").alias("__m"))
-        again = again.select(*place, _picked(F.col("__q"), F.ceil(F.col("__m") / cell_rows).cast("int")).alias("__cuts"))
-        placed = placed.join(again, place, "left").withColumn("__sub", cell_of(F.col(tie), F.col("__cuts"))).drop("__cuts")
-    else:
-        placed = placed.withColumn("__sub", F.lit(0).cast("long"))
-    sizes = placed.groupBy(*place, "__sub").agg(F.count(F.lit(1)).alias("__c"))
+        own = placed.where(F.col("__cell") % 2 == 1)
+        shared = own.groupBy(*place).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > cell_rows)
+        again = own.alias("l").join(shared.alias("r"), same_keys(place)).select("l.*", "r.__m").groupBy(*place) \
+            .agg(_quantiles(F.col(tie)).alias("__q"), F.max("__m").alias("__m"))
+        again = materialize(again.select(*place, _picked(F.col("__q"), F.ceil(F.col("__m") / cell_rows).cast("int")).alias("__cuts")), "tie-cuts")
+        placed = placed.alias("l").join(again.alias("r"), same_keys(place), "left").select("l.*", "r.__cuts")
+        sub = cell_of(F.col(tie), F.col("__cuts"))
+    placed = placed.withColumn("__sub", sub).select(*names, "n", "order0", "__cell", "__sub")
+    cell = [*place, "__sub"]
     before = W.partitionBy(*keys).orderBy("__cell", "__sub").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*place, "__sub",
-                           F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    inside = W.partitionBy(*place, "__sub").orderBy(order, tie)
-    return (placed.withColumn("__r", F.row_number().over(inside))
-            .join(offsets, [*place, "__sub"])
-            .withColumn("seq", F.col("__r") - 1 + F.col("__off"))
-            .drop("__r", "__off", "__cell", "__sub", "__own"))
+    offsets = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("__c")) \
+        .select(*cell, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    ranked = placed.withColumn("__r", F.row_number().over(W.partitionBy(*cell).orderBy(order, tie)))
+    return ranked.alias("l").join(offsets.alias("r"), same_keys(cell)) \
+        .select(*[f"l.{c}" for c in names], "l.n", "l.order0", (F.col("l.__r") - 1 + F.col("r.__off")).alias("seq"))
 
 
 def _blk(seq: str, block: int) -> Column:

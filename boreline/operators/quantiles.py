@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordering import CELL_ROWS, cell_of, value_cuts
+from ..sources.store import materialize
+from .ordering import CELL_ROWS, cell_of, largest, same_keys, value_cuts
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: Column, weight: Column | None = None,
                 cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Keys must not be named like the result columns.  One row per (keys, v): `c` rows, `w` weight, `r0` rows below v, `w0` weight below v, `n`, `wn` totals."""
+    """Keys must not be named like the result columns.  One row per (keys, v): `c` rows, `w` weight, `r0` rows below v, `w0` weight below v, `n`, `wn` totals.
+
+    The counted values are written once and the input is not read again; where no group has more than cell_rows distinct
+    values, one window ranks them."""
     wt = F.lit(1.0) if weight is None else weight
     freq = (df.select(*keys, value.cast("double").alias("v"), wt.cast("double").alias("__w"))
             .where(F.col("v").isNotNull())
@@ -23,16 +27,25 @@ def value_ranks(df: DataFrame, keys: list[str], value: Column, weight: Column |
     gk = keys or ["__k"]
     if not keys:
         freq = freq.withColumn("__k", F.lit(1))
+    freq = materialize(freq, "counts")
     stats = freq.groupBy(*gk).agg(F.sum("c").alias("n"), F.sum("w").alias("wn"), F.count(F.lit(1)).alias("__m"))
-    placed = freq.join(stats, gk).join(value_cuts(freq, gk, "v", stats, "__m", cell_rows), gk, "left") \
-        .withColumn("__cell", cell_of(F.col("v"), F.col("__cuts"))).drop("__cuts")
+    if largest(stats, "__m") <= cell_rows:
+        w = W.partitionBy(*gk)
+        below = w.orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+        return freq.select(*keys, "v", "c", "w", F.coalesce(F.sum("c").over(below), F.lit(0)).alias("r0"),
+                           F.coalesce(F.sum("w").over(below), F.lit(0.0)).alias("w0"), F.sum("c").over(w).alias("n"), F.sum("w").over(w).alias("wn"))
+    stats = materialize(stats, "totals")
+    cuts = value_cuts(freq, gk, "v", stats, "__m", cell_rows)
+    placed = freq.alias("l").join(stats.alias("r"), same_keys(gk)).select("l.*", "r.n", "r.wn")
+    placed = placed.alias("l").join(cuts.alias("r"), same_keys(gk), "left").select("l.*", cell_of(F.col("l.v"), F.col("__cuts")).alias("__cell"))
+    placed = materialize(placed, "placed")
     cells = placed.groupBy(*gk, "__cell").agg(F.sum("c").alias("__cc"), F.sum("w").alias("__cw"))
     before = W.partitionBy(*gk).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select(*gk, "__cell", F.coalesce(F.sum("__cc").over(before), F.lit(0)).alias("__oc"),
                          F.coalesce(F.sum("__cw").over(before), F.lit(0.0)).alias("__ow"))
     upto = W.partitionBy(*gk, "__cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    out = (placed.withColumn("__rc", F.sum("c").over(upto)).withColumn("__rw", F.sum("w").over(upto))
-           .join(cells, [*gk, "__cell"]))
+    out = placed.withColumn("__rc", F.sum("c").over(upto)).withColumn("__rw", F.sum("w").over(upto))
+    out = out.alias("l").join(cells.alias("r"), same_keys([*gk, "__cell"])).select("l.*", "r.__oc", "r.__ow")
     return out.select(*keys, "v", "c", "w", (F.col("__oc") + F.col("__rc") - F.col("c")).alias("r0"),
                       (F.col("__ow") + F.col("__rw") - F.col("w")).alias("w0"), "n", "wn")
 
