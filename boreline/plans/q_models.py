@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import row_mean, row_std
 from ..operators import fuse as U
 from ..operators import metrics as M
+from ..operators import residual as R
 from ..operators import validate as V
 from ..operators.lookup import curve_lookup
 from ..operators.calibrate import affine
@@ -20,7 +21,7 @@ from ..operators.ordering import fill_linear, framed
 from ..operators.robust import project_parabola
 from ..operators.sequence import CheapestPath, Diffusion, Drift, smooth
 from ..operators.series import step_distance
-from ..sources.store import materialize
+from ..sources.store import materialize, new_path
 from . import bindings as B
 from .q_fusion import BTM, MEM, MIX, W_GLOBAL, backtest_mix, err2, mix
 from .q_joins import with_curve
@@ -216,6 +217,29 @@ def residual_model(spark, sf):
     return U.wide_sweep(o, {k: v * v for k, v in e.items()}).withColumnRenamed("variant", "model")
 
 
+FOLD_SPEC = R.Spec(features=tuple(POINT_COLS))
+
+
+@query("residual_out_of_fold", "H3", "target:s fold:l n:l rmse_base:d rmse_model:d")
+def residual_out_of_fold(spark, sf):
+    """Three targets, each with its stored models and its out-of-fold table, judged by fold (rows-only: tree training)."""
+    path = new_path(spark, "residual-models")
+    t = residual_table(spark, sf).drop("base", "label")
+    e2 = lambda p: F.sqrt(F.avg((F.col("d") - F.col(p)) ** 2))
+    parts = [R.out_of_fold(t, target, FOLD_SPEC, path).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), e2("base").alias("rmse_base"), e2("pred").alias("rmse_model"))
+             .withColumn("target", F.lit(target)) for target in R.TARGETS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("residual_applied", "H3", "well:l seq:l base:d pred:d")
+def residual_applied(spark, sf):
+    """A stored model applied to series that were not in its training, without their truth (rows-only: tree training)."""
+    path = new_path(spark, "residual-model")
+    t = residual_table(spark, sf).drop("base", "label")
+    R.fit(t.where("well % 5 <> 0"), "resid_adapt", FOLD_SPEC, path)
+    return R.apply(spark, path, t.where("well % 5 = 0").drop("d", "y"), FOLD_SPEC)
+
+
 @query("permutation_importance", "G6", "feature:s delta:d")
 def permutation_importance(spark, sf):
     """Loss when one feature is shuffled across rows: rows are paired by two seeded orderings."""
