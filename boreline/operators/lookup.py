@@ -1,78 +1,90 @@
-"""Curve lookups: range joins turned into equi-joins on buckets of the key."""
+"""Curve lookups: a row finds its segment by going down the knots' ranks, FAN to one, in equi-joins.
+
+The knots of a curve are numbered; every FAN-th of them, every FAN**2-th and so on are the upper levels.  At each level a row
+meets the at most FAN knots below the one it has come to, so neither wide gaps nor crowded places cost anything, and a curve
+of up to FAN knots is one join, which Spark broadcasts where the curves are small."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ONE = "__one"
+from ..sources.store import materialize
+from .ordering import framed, largest, number_rows
 
+ONE = "__one"
+FAN = 64
 
-def segments(curve: DataFrame, keys: list[str], step: float, k: str = "k", v: str = "v") -> DataFrame:
-    """Knots averaged per key, each with its successor (k1, v1; null on the last knot).
 
-    The successor is found inside a bucket, or as the first knot of the next bucket in use."""
+def _knots(curve: DataFrame, keys: list[str], k: str, v: str) -> DataFrame:
+    """Knots averaged per key and numbered within their curve."""
     c = curve.where(F.col(k).isNotNull() & F.col(v).isNotNull())
     c = c.groupBy(*keys, F.col(k).cast("double").alias("k0")).agg(F.avg(v).alias("v0"))
-    gk = keys or [ONE]
     if not keys:
         c = c.withColumn(ONE, F.lit(1))
-    c = c.withColumn("__b", F.floor(F.col("k0") / step).cast("long"))
-    first = c.groupBy(*gk, "__b").agg(F.min(F.struct("k0", "v0")).alias("__f"))
-    first = first.select(*gk, "__b", F.lead("__f").over(W.partitionBy(*gk).orderBy("__b")).alias("__nf"))
-    nxt = F.lead(F.struct("k0", "v0")).over(W.partitionBy(*gk, "__b").orderBy("k0"))
-    c = c.withColumn("__n", nxt).join(first, [*gk, "__b"])
-    n = F.coalesce("__n", "__nf")
-    return c.select(*gk, "k0", "v0", n["k0"].alias("k1"), n["v0"].alias("v1"))
+    return number_rows(materialize(c, "knots"), keys or [ONE], "k0", "k0").drop("order0")
 
 
-def segment_join(df: DataFrame, key: Column, curve: DataFrame, keys: list[str], step: float,
-                 k: str = "k", v: str = "v") -> DataFrame:
+def _with_next(knots: DataFrame, gk: list[str], every: int = 1) -> DataFrame:
+    """Every so many-th knot with the next of these (k1, v1; null on the last)."""
+    some = knots.where(F.col("seq") % every == 0).withColumn("__at", (F.col("seq") / every).cast("long"))
+    return framed(some, gk, 1, lambda w: {"k1": F.lead("k0").over(w), "v1": F.lead("v0").over(w)}, seq="__at").drop("__at")
+
+
+def segments(curve: DataFrame, keys: list[str], k: str = "k", v: str = "v") -> DataFrame:
+    """Knots averaged per key, each with its successor (k1, v1; null on the last knot)."""
+    gk = keys or [ONE]
+    return _with_next(_knots(curve, keys, k, v), gk).select(*gk, "k0", "v0", "k1", "v1")
+
+
+def segment_join(df: DataFrame, key: Column, curve: DataFrame, keys: list[str], k: str = "k", v: str = "v") -> DataFrame:
     """Each row with the segment its key falls in (columns key, k0, v0, k1, v1).
 
     Keys beyond an end get the end segment with `key` moved to the end; a null key gets nulls."""
-    seg = segments(curve, keys, step, k, v)
     gk = keys or [ONE]
-    ends = seg.groupBy(*gk).agg(F.min("k0").alias("__lo"), F.max("k0").alias("__hi"))
-    b0 = F.floor(F.col("k0") / step).cast("long")
-    b1 = F.coalesce(F.floor(F.col("k1") / step).cast("long"), b0)
-    seg = seg.withColumn("__b", F.explode(F.sequence(b0, b1)))
+    knots = materialize(_knots(curve, keys, k, v), "numbered-knots")
+    most, levels = largest(knots, "n"), 1
+    while FAN ** levels < most:
+        levels += 1
     rows = df if keys else df.withColumn(ONE, F.lit(1))
-    rows = rows.join(ends, gk, "left").withColumn("__q", key.cast("double")).withColumn("key", F.when(
-        F.col("__q").isNotNull() & F.col("__lo").isNotNull(),
-        F.least(F.greatest(F.col("__q"), F.col("__lo")), F.col("__hi"))))
-    rows = rows.withColumn("__b", F.floor(F.col("key") / step).cast("long")).drop("__lo", "__hi", "__q")
-    r, s = rows.alias("r"), seg.alias("s")
-    on = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in [*gk, "__b"]]
-    on += [F.col("r.key") >= F.col("s.k0"), F.col("s.k1").isNull() | (F.col("r.key") < F.col("s.k1"))]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    out = [F.col(f"r.{c}") for c in df.columns]
-    return r.join(s, cond, "left").select(*out, "r.key", "s.k0", "s.v0", "s.k1", "s.v1")
-
-
-def curve_lookup(df: DataFrame, key: Column, curve: DataFrame, keys: list[str], out: str, step: float,
+    rows = rows.withColumn("__q", key.cast("double")).withColumn("__c", F.lit(0).cast("long"))
+    for level in reversed(range(levels)):
+        every = FAN ** level
+        s = _with_next(knots, gk, every).select(
+            *gk, F.floor(F.col("seq") / (every * FAN)).cast("long").alias("__p"), F.floor(F.col("seq") / every).cast("long").alias("__i"), "k0", "v0", "k1", "v1",
+            F.when(F.col("seq") == 0, F.lit(float("-inf"))).otherwise(F.col("k0")).alias("__from"))
+        on = F.col("r.__c") == F.col("s.__p")
+        for c in gk:
+            on = on & (F.col(f"r.{c}") == F.col(f"s.{c}"))
+        on = on & (F.col("r.__q") >= F.col("s.__from")) & (F.col("s.k1").isNull() | (F.col("r.__q") < F.col("s.k1")))
+        met = rows.alias("r").join(s.alias("s"), on, "left")
+        if level:
+            rows = met.select(*[f"r.{c}" for c in rows.columns if c != "__c"], F.col("s.__i").alias("__c"))
+        else:
+            at = F.when((F.col("r.__q") < F.col("s.k0")) | F.col("s.k1").isNull(), F.col("s.k0")).otherwise(F.col("r.__q"))
+            return met.select(*[f"r.{c}" for c in df.columns], at.alias("key"), "s.k0", "s.v0", "s.k1", "s.v1")
+
+
+def curve_lookup(df: DataFrame, key: Column, curve: DataFrame, keys: list[str], out: str,
                  k: str = "k", v: str = "v") -> DataFrame:
     """Piecewise-linear value of the curve at `key`, held constant outside its range."""
-    t = segment_join(df, key, curve, keys, step, k, v)
+    t = segment_join(df, key, curve, keys, k, v)
     val = F.coalesce(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("key") - F.col("k0"))
                      / (F.col("k1") - F.col("k0")), F.col("v0"))
     return t.select(*df.columns, val.alias(out))
 
 
-def nearest_knot(df: DataFrame, key: Column, curve: DataFrame, keys: list[str], step: float) -> DataFrame:
+def nearest_knot(df: DataFrame, key: Column, curve: DataFrame, keys: list[str]) -> DataFrame:
     """Closest knot (`near_k`, `near_v`); the lower one wins ties."""
-    t = segment_join(df, key, curve, keys, step)
+    t = segment_join(df, key, curve, keys)
     low = F.col("k1").isNull() | (F.col("key") - F.col("k0") <= F.col("k1") - F.col("key"))
     return t.select(*df.columns, F.when(low, F.col("k0")).otherwise(F.col("k1")).alias("near_k"),
                     F.when(low, F.col("v0")).otherwise(F.col("v1")).alias("near_v"))
 
 
-def dense_grid(curve: DataFrame, keys: list[str], cell: float, step: float) -> DataFrame:
+def dense_grid(curve: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """Curve values on the grid kmin + i*cell; the last grid point may pass the end and is held there."""
-    seg = segments(curve, keys, step)
+    seg = segments(curve, keys)
     gk = keys or [ONE]
     ends = seg.groupBy(*gk).agg(F.min("k0").alias("kmin"), F.max("k0").alias("kmax"))
     s = seg.join(ends, gk)

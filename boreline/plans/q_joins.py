@@ -35,7 +35,7 @@ SELECT l_suppkey, count(*) AS n, avg(v) AS mean, min(v) AS lo, max(v) AS hi FROM
 def curve_lookup(spark, sf):
     """Every lineitem row looked up on the price-by-size curve, linear between knots and held at the ends."""
     l = B.table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") + 10 * F.col("l_discount")).alias("q"))
-    t = L.curve_lookup(l, F.col("q"), B.curve(spark, sf), [], "out", 8.0)
+    t = L.curve_lookup(l, F.col("q"), B.curve(spark, sf), [], "out")
     return t.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg("out").alias("mean"), F.min("out").alias("lo"), F.max("out").alias("hi"))
 
 
@@ -49,7 +49,7 @@ def own_curve_lookup(spark, sf):
     """Curve per series, built from its own known part."""
     s = B.evaluable(B.series(spark, sf))
     k = s.where(F.col("seq") < F.col("cut")).select("well", F.round("tvt", 0).alias("k"), F.col("md").alias("v"))
-    t = L.curve_lookup(s.where(F.col("seq") >= F.col("cut")).select("well", "tvt"), F.col("tvt"), k, ["well"], "out", 25.0)
+    t = L.curve_lookup(s.where(F.col("seq") >= F.col("cut")).select("well", "tvt"), F.col("tvt"), k, ["well"], "out")
     return t.groupBy("well").agg(F.count(F.lit(1)).alias("n"), F.avg("out").alias("mean"))
 
 
@@ -60,7 +60,7 @@ p AS (SELECT l_suppkey, least(greatest((key - lo) / 0.2::DOUBLE, 0), (SELECT max
 q AS (SELECT *, least(CAST(floor(p) AS BIGINT), (SELECT max(g) FROM gr) - 1) AS i FROM p)
 SELECT l_suppkey, count(*) AS n, avg(a.v + (c.v - a.v) * (p - i)) AS mean FROM q JOIN gv a ON a.g = i JOIN gv c ON c.g = i + 1 GROUP BY l_suppkey""", digits=5)
 def dense_grid_lookup(spark, sf):
-    grid = L.dense_grid(B.curve(spark, sf), [], 0.2, 8.0)
+    grid = L.dense_grid(B.curve(spark, sf), [], 0.2)
     l = B.table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") + 10 * F.col("l_discount")).alias("q"))
     t = L.grid_lookup(l, F.col("q"), grid, [], 0.2, "out")
     return t.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg("out").alias("mean"))
@@ -71,7 +71,7 @@ WITH {LI}, d AS (SELECT DISTINCT key FROM li), nk AS (SELECT key, arg_min(k, abs
 SELECT near_k, count(*) AS n FROM li JOIN nk USING (key) GROUP BY near_k""")
 def nearest_key(spark, sf):
     l = B.table(spark, sf, "lineitem").select((F.col("l_quantity") + 10 * F.col("l_discount")).alias("q"))
-    return L.nearest_knot(l, F.col("q"), B.curve(spark, sf), [], 8.0).groupBy("near_k").agg(F.count(F.lit(1)).alias("n"))
+    return L.nearest_knot(l, F.col("q"), B.curve(spark, sf), []).groupBy("near_k").agg(F.count(F.lit(1)).alias("n"))
 
 
 GRID = B.SERIES + """, sg AS (SELECT well, md, x, y, lead(md) OVER w AS k1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM series WINDOW w AS (PARTITION BY well ORDER BY seq)),
@@ -114,7 +114,7 @@ def guarded_override(spark, sf):
     m = X.path_matches(path_grids(s), "well", TOL, ck).select("well", "match")
     rows = B.evaluable(s).join(m, "well").select("well", "match", "seq", "cut", "x", "md")
     copy = s.select(F.col("well").alias("match"), F.col("md").alias("k"), F.col("x").alias("v"))
-    t = L.curve_lookup(rows, F.col("md"), copy, ["match"], "s", 200.0)
+    t = L.curve_lookup(rows, F.col("md"), copy, ["match"], "s")
     ends = copy.groupBy("match").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     t = t.join(ends, "match").withColumn("cov", F.col("md").between(F.col("lo") - 0.5, F.col("hi") + 0.5))
     pre = F.col("cov") & (F.col("seq") < F.col("cut"))
@@ -145,7 +145,7 @@ def disjoint_sample(spark, sf):
 
 def curve_row(spark, sf):
     """The curve on a unit grid as one row; its length is bounded by the range of sizes (1 to 50)."""
-    g = L.dense_grid(B.curve(spark, sf), [], 1.0, 8.0)
+    g = L.dense_grid(B.curve(spark, sf), [], 1.0)
     arr = F.transform(F.array_sort(F.collect_list(F.struct("g", "gv"))), lambda s: s["gv"])
     return g.agg(arr.alias("crv"), F.count(F.lit(1)).alias("knots")).withColumn("one", F.lit(1))
 

@@ -142,7 +142,7 @@ def point_features(spark, sf):
     t = mix(spark, sf).join(s.where(~pre).select("well", "seq", "hd", "gr", "grm21", "grs21", "grm101", "grs101", "dzdmd"), ["well", "seq"]).join(a, "well")
     crv = materialize(B.curve(spark, sf), "curve")
     for name in ("s", "p", "f"):
-        t = curve_lookup(t, 1 + F.col(name) / 8, crv, [], f"tw_{name}", 8.0)
+        t = curve_lookup(t, 1 + F.col(name) / 8, crv, [], f"tw_{name}")
     t = t.join(affine(prefix_ref(spark, sf), ["well"], F.col("grn"), F.col("ref"), min_pairs=30).drop("pairs"), "well", "left")
     t = t.join(backtest65(spark, sf), "well", "left")
     t = t.withColumn("one", F.lit(1)).join(crv.agg((F.max("k") - F.min("k")).alias("tw_span")).withColumn("one", F.lit(1)), "one")

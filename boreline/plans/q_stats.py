@@ -186,7 +186,7 @@ CAL = f"{B.SERIES}, {SEGS}, pre AS (SELECT * FROM ev WHERE seq < cut), {sql_look
 
 def prefix_ref(spark, sf):
     s = B.evaluable(B.series(spark, sf)).where(F.col("seq") < F.col("cut"))
-    return curve_lookup(s, 1 + F.col("tvt") / 8, B.curve(spark, sf), [], "ref", 8.0)
+    return curve_lookup(s, 1 + F.col("tvt") / 8, B.curve(spark, sf), [], "ref")
 
 
 @query("affine_calibration", "E8", "well:l pairs:l a:d b:d sigma:d", f"""
