@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import add, bin_centers, clip, curve_value, row_mean, row_median
-from ..functions.small_solve import solve2, solve3
+from ..functions.small_solve import solve2, solve3, solve_definite
 
 W_MIN, W_MAX = 0.05, 0.9
 
@@ -55,6 +55,35 @@ def covariance_weights(s: list[Column], rho12: Column, rho13: Column, rho23: Col
     return [x / tot for x in w]
 
 
+def covariance_weights_of(df: DataFrame, sigma: list[Column], rho: dict[tuple[int, int], Column], out: list[str]) -> DataFrame:
+    """As `covariance_weights` for any number of members: adds their weights under the names `out`.  rho: by (i, j) with j < i.
+    Where the covariance is singular all members weigh the same."""
+    p = len(sigma)
+    t = df.withColumns({f"__s{i}": e for i, e in enumerate(sigma)} | {f"__r{i}_{j}": rho[i, j] for i in range(p) for j in range(i)})
+    t = t.withColumns({f"__a{i}_{j}": F.col(f"__s{i}") * F.col(f"__s{j}") * (F.col(f"__r{i}_{j}") if j < i else F.lit(1.0)) for i in range(p) for j in range(i + 1)})
+    t = t.withColumn("__b", F.lit(1.0))
+    t = solve_definite(t, [[f"__a{i}_{j}" for j in range(i + 1)] for i in range(p)], ["__b"] * p, [f"__w{i}" for i in range(p)])
+    t = t.withColumns({f"__w{i}": F.when(F.col("__w0").isNotNull(), F.greatest(F.col(f"__w{i}"), F.lit(0.0))).otherwise(1.0) for i in range(p)})
+    total = F.greatest(add(*[F.col(f"__w{i}") for i in range(p)]), F.lit(1e-12))
+    return t.select(*df.columns, *[(F.col(f"__w{i}") / total).alias(n) for i, n in enumerate(out)])
+
+
+def convex_sse(rr: Column, r1: Column, r2: Column, d11: Column, d12: Column, d22: Column) -> Column:
+    """Least squared error of r = w1 * d1 + w2 * d2 over w1, w2 >= 0 with w1 + w2 <= 1, from the sums of products: the inside of
+    the triangle if its optimum lies there, else the best of its three sides."""
+    def at(w1, w2):
+        return rr - 2 * (w1 * r1 + w2 * r2) + w1 * w1 * d11 + 2 * w1 * w2 * d12 + w2 * w2 * d22
+
+    def side(num, den):
+        return F.when(den > 0, clip(num / den, 0, 1)).otherwise(0.0)
+
+    w1, w2 = solve2(d11, d12, d22, r1, r2)
+    inside = F.when((w1 >= 0) & (w2 >= 0) & (w1 + w2 <= 1), at(w1, w2))
+    a, b = side(r1, d11), side(r2, d22)
+    c = side(r1 - r2 - d12 + d22, d11 - 2 * d12 + d22)
+    return F.coalesce(inside, F.least(at(a, F.lit(0.0)), at(F.lit(0.0), b), at(c, 1 - c)))
+
+
 def moments(df: DataFrame, keys: list[str], y: str, members: list[str]) -> DataFrame:
     """Gram sums of members and target per group: n, yy, b_i, a_ij."""
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy")]

@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from . import bindings as B
 from .q_stats import MD_EDGES, MIN_BIN, NN_EDGES, binned_sql, sq, sql_bins
 from .registry import query
+from .sql_solve import sql_solve
 
 # Three members that vary inside a series: line g, flat layer l, jittered mean m.
 MIX = B.CAND + """, mix AS (SELECT *, f + z0 - z AS l, p + (event_id * 7919 % 201 - 100) / 20.0 AS m FROM cand)"""
@@ -187,6 +188,49 @@ LN, LM = "ln(greatest(nn, 1))", "ln(greatest(md_since, 1))"
 TG = list(product([0.5, 1.0], [0.5, 1.0, 2.0]))
 
 
+MANY = {4: ["g", "m", "l", "s"], 5: ["g", "m", "l", "s", "p"]}
+
+
+def many_sql(members):
+    nb, n = len(RHO_EDGES) - 1, len(members)
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    mid = [f"greatest({sql_curve('md_since', RHO_EDGES, [f's{i}_{k}' for k in range(nb)])}, 0.001) AS s{i}" for i in range(n)] + [
+        f"0.5 * {sql_curve('md_since', RHO_EDGES, [f'r{i}_{j}_{k}' for k in range(nb)])} AS r{i}_{j}" for i, j in pairs]
+    cov = [f"s{i} * s{j} * {f'r{i}_{j}' if j < i else '1.0'} AS a{i}_{j}" for i in range(n) for j in range(i + 1)]
+    steps, last = sql_solve("mc", "mw", [[f"a{i}_{j}" for j in range(i + 1)] for i in range(n)], ["one"] * n, [f"x{i}" for i in range(n)])
+    total = " + ".join(f"greatest(x{i}, 0)" for i in range(n))
+    return f"""WITH {MIX}, rb AS (SELECT {sql_bins('md_since', RHO_EDGES)} AS b, {', '.join(f"sqrt(avg((y - {m}) ** 2)) AS s{i}" for i, m in enumerate(members))},
+  {', '.join(f"corr(y - {members[i]}, y - {members[j]}) AS r{i}_{j}" for i, j in pairs)} FROM mix GROUP BY 1),
+rr AS (SELECT {', '.join(f"coalesce(max(s{i}) FILTER (b = {k}), 1) AS s{i}_{k}" for i in range(n) for k in range(nb))}, {', '.join(f"coalesce(max(r{i}_{j}) FILTER (b = {k}), 0) AS r{i}_{j}_{k}" for i, j in pairs for k in range(nb))} FROM rb),
+mk AS (SELECT well, seq, y, {', '.join(f"{m} AS v{i}" for i, m in enumerate(members))}, {', '.join(mid)} FROM mix, rr), mc AS (SELECT *, 1.0 AS one, {', '.join(cov)} FROM mk), {', '.join(steps)}
+SELECT well, seq, {', '.join(f"greatest(x{i}, 0) / ({total}) AS w_{m}" for i, m in enumerate(members))}, ({' + '.join(f"greatest(x{i}, 0) * v{i}" for i in range(n))}) / ({total}) AS pred FROM {last}"""
+
+
+def many_query(n, members):
+    @query(f"covariance_blend_{n}", "F6", "well:l seq:l " + " ".join(f"w_{m}:d" for m in members) + " pred:d", many_sql(members), digits=5)
+    def run(spark, sf):
+        """Weights of four or five members from their error curves and residual correlations per depth bin, shrunk by half."""
+        t = mix(spark, sf).withColumn("bin", M.clipped_bin(F.col("md_since"), RHO_EDGES))
+        nb, ctr = len(RHO_EDGES) - 1, bin_centers(RHO_EDGES)
+        e = {m: F.col("y") - F.col(m) for m in members}
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        g = t.groupBy("bin").agg(*[F.sqrt(F.avg(x * x)).alias(f"s{i}") for i, x in enumerate(e.values())],
+                                 *[F.corr(e[members[i]], e[members[j]]).alias(f"r{i}_{j}") for i, j in pairs])
+        known = [(f"s{i}", 1.0) for i in range(n)] + [(f"r{i}_{j}", 0.0) for i, j in pairs]
+        r = one(g.agg(*[F.coalesce(F.max(F.when((F.col("bin") == k) & ~F.isnan(c), F.col(c))), F.lit(d)).alias(f"{c}_{k}") for c, d in known for k in range(nb)]))
+        value = lambda c: curve_value(F.col("md_since"), ctr, [F.col(f"{c}_{k}") for k in range(nb)])
+        rows = one(t).join(r, "one")
+        w = U.covariance_weights_of(rows, [F.greatest(value(f"s{i}"), F.lit(1e-3)) for i in range(n)], {(i, j): 0.5 * value(f"r{i}_{j}") for i, j in pairs},
+                                    [f"w_{m}" for m in members])
+        return w.withColumn("pred", blend([F.col(f"w_{m}") for m in members], members))
+
+    return run
+
+
+for _n, _members in MANY.items():
+    many_query(_n, _members)
+
+
 @query("variance_model_blend", "F7", "variant:s n:l rmse:d", f"""
 WITH {MIX}, {sql_var('s', 'g', LN, LM)}, {sql_var('p', 'm', LM, LN)},
 v AS (SELECT y, g, m, ks.k * exp(least(greatest(cs.c0 + cs.c1*{LN} + cs.c2*{LM}, -20), 20)) AS vs, kp.k * exp(least(greatest(cp.c0 + cp.c1*{LM} + cp.c2*{LN}, -20), 20)) AS vp

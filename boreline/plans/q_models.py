@@ -18,7 +18,7 @@ from ..operators.lookup import curve_lookup
 from ..operators.calibrate import affine
 from ..operators.match import grid_at
 from ..operators.ordering import fill_linear, framed
-from ..operators.robust import project_parabola
+from ..operators.robust import project, project_parabola
 from ..operators.sequence import CheapestPath, Diffusion, Drift, smooth
 from ..operators.series import step_distance
 from ..sources.store import materialize, new_path
@@ -27,6 +27,7 @@ from .q_fusion import BTM, MEM, MIX, W_GLOBAL, backtest_mix, err2, mix
 from .q_joins import with_curve
 from .q_stats import KEY, SEGS, prefix_ref, sql_lookup
 from .registry import query
+from .sql_solve import sql_solve
 
 
 def ck(df):
@@ -50,19 +51,25 @@ w{i + 1} AS MATERIALIZED (SELECT well, seq, t, u, 1 / (1 + (r / (4 * (1.4826 * d
     return ",\n".join(out)
 
 
-PROJ = B.CAND + f""", dom AS (SELECT well, seq, md, tvt + z AS u FROM ev WHERE seq < cut AND seq >= cut - 1500 UNION ALL SELECT well, seq, md, g + z FROM cand),
-pj AS (SELECT well, seq, u, 2 * (md - min(md) OVER w) / (max(md) OVER w - min(md) OVER w) - 1 AS t FROM dom WINDOW w AS (PARTITION BY well)), {irls_sql(4)}"""
+PJ = B.CAND + """, dom AS (SELECT well, seq, md, tvt + z AS u FROM ev WHERE seq < cut AND seq >= cut - 1500 UNION ALL SELECT well, seq, md, g + z FROM cand),
+pj AS (SELECT well, seq, u, 2 * (md - min(md) OVER w) / (max(md) OVER w - min(md) OVER w) - 1 AS t FROM dom WINDOW w AS (PARTITION BY well))"""
+PROJ = f"{PJ}, {irls_sql(4)}"
 
 
-def projected(spark, sf):
-    """Candidate rows with the robust projection of value plus elevation over known tail and prediction."""
+def projection_rows(spark, sf):
+    """The known tail and the predicted rows, with value plus elevation as u."""
     s = materialize(B.evaluable(B.series(spark, sf)), "series")
     a = B.anchors(s).drop("n", "cut")
     seq, cut = F.col("seq"), F.col("cut")
     t = s.where(seq >= cut - 1500).join(a, "well")
     t = t.withColumn("g", F.col("ic") + F.col("sl") * F.col("md"))
     t = t.withColumn("u", F.when(seq < cut, F.col("tvt")).otherwise(F.col("g")) + F.col("z"))
-    p = project_parabola(t.select("well", "seq", "cut", "md", "z", "tvt", "f", "md0", "g", "u"), "well", "md", "u", ck)
+    return t.select("well", "seq", "cut", "md", "z", "tvt", "f", "md0", "g", "u")
+
+
+def projected(spark, sf):
+    """Candidate rows with the robust projection of value plus elevation over known tail and prediction."""
+    p = project_parabola(projection_rows(spark, sf), "well", "md", "u", ck)
     q = p.where(F.col("seq") >= F.col("cut"))
     return q.withColumn("proj", F.coalesce(0.6 * (F.col("fit") - F.col("z")) + 0.4 * F.col("g"), F.col("g")))
 
@@ -74,6 +81,42 @@ def robust_projection(spark, sf):
     return projected(spark, sf)
 
 
+def poly_sql(degree: int, loss: str, rounds: int = 4) -> str:
+    """Unrolled reweighted fits over pj(well, t, u): power sums and a Cholesky factor, one step of it a relation."""
+    m = degree + 1
+    steps = []
+    for i in range(rounds):
+        src, w = ("pj", "1.0") if i == 0 else (f"pw{i}", "w * w")
+        sums = [f"sum(q * t ** {k}) AS s{k}" for k in range(2 * degree + 1)] + [f"sum(q * u * t ** {k}) AS b{k}" for k in range(m)]
+        steps.append(f"ps{i} AS MATERIALIZED (SELECT well, {', '.join(sums)} FROM (SELECT *, {w} AS q FROM {src}) GROUP BY well)")
+        names = [f"c{k}" for k in range(m)]
+        more, last = sql_solve(f"ps{i}", f"p{i}_", [[f"s{r + j}" for j in range(r + 1)] for r in range(m)], [f"b{k}" for k in range(m)], names)
+        steps += more
+        steps.append(f"pb{i} AS MATERIALIZED (SELECT well, {', '.join(names)} FROM {last})")
+        value = " + ".join(f"c{k} * t ** {k}" for k in range(m))
+        steps.append(f"pr{i} AS MATERIALIZED (SELECT pj.*, u - ({value}) AS r FROM pj JOIN pb{i} USING (well))")
+        if i < rounds - 1:
+            e = "abs(r) / (4 * (1.4826 * d + 1e-6))"
+            steps.append(f"""pm{i} AS MATERIALIZED (SELECT well, median(r) AS m FROM pr{i} GROUP BY well), pe{i} AS MATERIALIZED (SELECT pr{i}.well, median(abs(r - m)) AS d FROM pr{i} JOIN pm{i} USING (well) GROUP BY pr{i}.well),
+pw{i + 1} AS MATERIALIZED (SELECT well, seq, t, u, {f"1 / (1 + ({e}) ** 2)" if loss == "cauchy" else f"1 / greatest(1, {e})"} AS w FROM pr{i} JOIN pe{i} USING (well))""")
+    return ",\n".join(steps)
+
+
+def poly_query(degree: int, loss: str):
+    @query(f"projection_{degree}_{loss}", "E17", "well:l seq:l proj:d",
+           f"WITH {PJ}, {poly_sql(degree, loss)} SELECT c.well, c.seq, 0.5 * (p.u - p.r - c.z) + 0.5 * c.g AS proj FROM cand c JOIN pr3 p ON p.well = c.well AND p.seq = c.seq", digits=2)
+    def run(spark, sf):
+        """Reweighted polynomial of a given degree and loss over known tail and prediction, half and half with the prediction."""
+        t = project(projection_rows(spark, sf), "well", "md", "u", ck, degree=degree, loss=loss).where(F.col("seq") >= F.col("cut"))
+        return t.withColumn("proj", F.coalesce(0.5 * (F.col("fit") - F.col("z")) + 0.5 * F.col("g"), F.col("g")))
+
+    return run
+
+
+for _degree, _loss in ((2, "huber"), (3, "cauchy"), (3, "huber"), (4, "cauchy"), (4, "huber")):
+    poly_query(_degree, _loss)
+
+
 @query("final_layers", "F22", "well:l n:l rmse:d overridden:l", f"""
 WITH {PROJ}, p AS (SELECT c.*, 0.6 * (r3.u - r3.r - c.z) + 0.4 * c.g AS proj FROM cand c JOIN r3 ON r3.well = c.well AND r3.seq = c.seq),
 f AS (SELECT well, proj AS p0 FROM p WHERE seq = cut), q AS (SELECT p.well, y, CASE WHEN p.seq % 7 = 0 THEN y ELSE proj + (f - p0) * exp(-md_since / 1200) END AS v, p.seq % 7 = 0 AS o FROM p JOIN f USING (well))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.small_solve import solve2
 from ..operators import fuse as U
 from ..operators import metrics as M
 from ..operators import series as S
@@ -116,6 +117,71 @@ def candidate_oracles(spark, sf):
     return M.unpivot(w.agg(*[F.sqrt(F.sum(c_) / F.sum("n")).alias(c_) for c_ in names]), [], names, "oracle", "rmse")
 
 
+@query("blend_oracles", "G7", "oracle:s n:l rmse:d", f"""
+WITH {MIX}, c AS (SELECT well, count(*) AS n, sum((y-l)**2) AS rr, sum((y-l)*(g-l)) AS r1, sum((y-l)*(m-l)) AS r2, sum((g-l)**2) AS d11, sum((g-l)*(m-l)) AS d12, sum((m-l)**2) AS d22,
+  sum(y*y) AS yy, sum(g*g) AS gg, sum(g*m) AS gm, sum(m*m) AS mm, sum(y*g) AS yg, sum(y*m) AS ym FROM mix GROUP BY well),
+w AS (SELECT *, (r1*d22 - r2*d12) / (d11*d22 - d12*d12) AS w1, (r2*d11 - r1*d12) / (d11*d22 - d12*d12) AS w2, CASE WHEN d11 > 0 THEN least(greatest(r1 / d11, 0), 1) ELSE 0 END AS a,
+  CASE WHEN d22 > 0 THEN least(greatest(r2 / d22, 0), 1) ELSE 0 END AS b, CASE WHEN d11 - 2*d12 + d22 > 0 THEN least(greatest((r1 - r2 - d12 + d22) / (d11 - 2*d12 + d22), 0), 1) ELSE 0 END AS e FROM c),
+s AS (SELECT n, CASE WHEN w1 >= 0 AND w2 >= 0 AND w1 + w2 <= 1 THEN rr - 2*(w1*r1 + w2*r2) + w1*w1*d11 + 2*w1*w2*d12 + w2*w2*d22
+  ELSE least(rr - 2*a*r1 + a*a*d11, rr - 2*b*r2 + b*b*d22, rr - 2*(e*r1 + (1-e)*r2) + e*e*d11 + 2*e*(1-e)*d12 + (1-e)*(1-e)*d22) END AS convex,
+  rr - w1*r1 - w2*r2 AS sum_one, yy - (yg*(yg*mm - ym*gm) + ym*(ym*gg - yg*gm)) / (gg*mm - gm*gm) AS pair FROM w)
+SELECT 'convex' AS oracle, sum(n) AS n, sqrt(sum(convex) / sum(n)) AS rmse FROM s UNION ALL SELECT 'sum_one', sum(n), sqrt(sum(sum_one) / sum(n)) FROM s UNION ALL SELECT 'pair', sum(n), sqrt(sum(pair) / sum(n)) FROM s""", digits=5)
+def blend_oracles(spark, sf):
+    """Best blend per series from one pass of sums: weights in the hull, weights of sum one, two free weights."""
+    y, g, m, l = (F.col(c) for c in ("y", "g", "m", "l"))
+    r, d1, d2 = y - l, g - l, m - l
+    sums = {"rr": r * r, "r1": r * d1, "r2": r * d2, "d11": d1 * d1, "d12": d1 * d2, "d22": d2 * d2,
+            "yy": y * y, "gg": g * g, "gm": g * m, "mm": m * m, "yg": y * g, "ym": y * m}
+    t = mix(spark, sf).groupBy("well").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()])
+    c = F.col
+    convex = U.convex_sse(*[c(k) for k in ("rr", "r1", "r2", "d11", "d12", "d22")])
+    w, v = solve2(c("d11"), c("d12"), c("d22"), c("r1"), c("r2")), solve2(c("gg"), c("gm"), c("mm"), c("yg"), c("ym"))
+    free = c("rr") - F.coalesce(w[0] * c("r1") + w[1] * c("r2"), F.lit(0.0))
+    pair = c("yy") - F.coalesce(v[0] * c("yg") + v[1] * c("ym"), F.lit(0.0))
+    names = ["convex", "sum_one", "pair"]
+    t = t.select("n", convex.alias("convex"), free.alias("sum_one"), pair.alias("pair"))
+    return M.unpivot(t.agg(F.sum("n").alias("n"), *[F.sqrt(F.sum(k) / F.sum("n")).alias(k) for k in names]), ["n"], names, "oracle", "rmse")
+
+
+SHIFTS = 12
+
+
+@query("shape_oracles", "G8", "well:l n:l quadratic:d plane:d shift:l shifted:d", f"""
+WITH {ANCH}{B.CAND[len(B.SERIES):]}, o AS (SELECT pa.*, e.x, e.y AS yy FROM pa JOIN ev e ON e.well = pa.well AND e.seq = pa.seq WHERE pa.seq >= pa.cut),
+m AS (SELECT well, count(*) AS n, var_pop(r) AS rr, var_pop(h) AS hh, var_pop(h*h) AS qq, covar_pop(h, h*h) AS hq, covar_pop(h, r) AS hr, covar_pop(h*h, r) AS qr,
+  var_pop(x) AS xx, var_pop(yy) AS vy, covar_pop(x, yy) AS xy, covar_pop(x, r) AS xr, covar_pop(yy, r) AS yr FROM o GROUP BY well),
+c AS (SELECT well, seq, cut, n, y, g, row_number() OVER (PARTITION BY well ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY well) AS k FROM cand),
+s AS (SELECT a.well, d, sum((a.y - b.g)**2) AS sse FROM c a, (SELECT unnest(range(-{SHIFTS}, {SHIFTS + 1})) AS d) JOIN c b ON b.well = a.well AND b.i = greatest(0, least(a.k - 1, a.i - d)) GROUP BY a.well, d),
+b AS (SELECT well, arg_min(d, (round(sse, 6), abs(d), d)) AS shift, min(sse) AS shifted FROM s GROUP BY well)
+SELECT m.well, n, n * (rr - (qq*hr*hr - 2*hq*hr*qr + hh*qr*qr) / (hh*qq - hq*hq)) AS quadratic, n * (rr - (vy*xr*xr - 2*xy*xr*yr + xx*yr*yr) / (xx*vy - xy*xy)) AS plane, shift, shifted
+FROM m JOIN b USING (well)""", digits=2)
+def shape_oracles(spark, sf):
+    """Error left after the best parabola, the best plane in the path's coordinates, and the best shift of a candidate along the
+    series (its ends held); all from one pass of sums each."""
+    r, h = F.col("r"), F.col("h")
+    t = anchored(spark, sf).where(F.col("seq") >= F.col("cut"))
+    xy = B.evaluable(B.series(spark, sf, xy=True)).select("well", "seq", F.col("x").alias("px"), F.col("y").alias("py"))
+
+    def left(df, u, v):
+        a = df.groupBy("well").agg(F.count(F.lit(1)).alias("n"), F.var_pop(r).alias("rr"), F.var_pop(u).alias("uu"), F.var_pop(v).alias("vv"), F.covar_pop(u, v).alias("uv"),
+                                   F.covar_pop(u, r).alias("ur"), F.covar_pop(v, r).alias("vr"))
+        w = solve2(F.col("uu"), F.col("uv"), F.col("vv"), F.col("ur"), F.col("vr"))
+        return a.select("well", "n", (F.col("n") * (F.col("rr") - w[0] * F.col("ur") - w[1] * F.col("vr"))).alias("sse"))
+
+    both = t.select("well", "seq", "r", "h").join(xy, ["well", "seq"])
+    quad = left(both, h, h * h).withColumnRenamed("sse", "quadratic")
+    plane = left(both, F.col("px"), F.col("py")).select("well", F.col("sse").alias("plane"))
+    c = B.cand(spark, sf).select("well", "y", "g", (F.col("seq") - F.col("cut")).alias("i"))
+    ends = c.groupBy("well").agg(F.max(F.struct("i", "g")).alias("e"), F.min(F.struct("i", "g")).alias("b"))
+    c = c.join(ends.select("well", F.col("e.g").alias("ge"), F.col("b.g").alias("gb")), "well")
+    lags = [d for d in range(-SHIFTS, SHIFTS + 1)]
+    c = S.framed(c, ["well"], SHIFTS, lambda w: {f"g{d}": F.lag("g", d).over(w) for d in lags}, seq="i")
+    e = [F.sum((F.col("y") - F.coalesce(F.col(f"g{d}"), F.col("gb") if d > 0 else F.col("ge"))) ** 2).alias(f"s{d}") for d in lags]
+    best = F.least(*[F.struct(F.round(F.col(f"s{d}"), 6).alias("k"), F.lit(abs(d)).alias("a"), F.lit(d).alias("d"), F.col(f"s{d}").alias("s")) for d in lags])
+    shift = c.groupBy("well").agg(*e).select("well", best.alias("o")).select("well", F.col("o.d").alias("shift"), F.col("o.s").alias("shifted"))
+    return quad.join(plane, "well").join(shift, "well")
+
+
 @query("trend_oracles", "G8", "well:l n:l base:d const:d line:d anchored:d", f"""
 WITH {ANCH} SELECT well, count(*) AS n, sum(r*r) AS base, count(*) * var_pop(r) AS const,
   count(*) * (var_pop(r) - coalesce(covar_pop(r, h)**2 / nullif(var_pop(h), 0), 0)) AS line, sum(r*r) - sum(r*h)**2 / sum(h*h) AS anchored
