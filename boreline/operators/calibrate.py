@@ -36,9 +36,8 @@ def _quantile(sorted_arr: Column, p: float) -> Column:
 
 def tail_arrays(df: DataFrame, keys: list[str], rows: int, fields: dict[str, Column], cut: str = "cut",
                 seq: str = "seq") -> DataFrame:
-    """One row per series with `tail`: array of structs of its last `rows` known rows, in order."""
-    if rows > 2000:
-        raise ValueError("tails are meant to stay short; use the aggregate forms for long windows")
+    """One row per series with `tail`: array of structs of its last `rows` known rows, in order.  A row is as long as the tail that
+    is asked for; `levels` has the same estimators for tails of any length."""
     t = df.where((F.col(seq) < F.col(cut)) & (F.col(seq) >= F.col(cut) - rows))
     st = F.struct(F.col(seq).alias("i"), *[e.cast("double").alias(n) for n, e in fields.items()])
     return t.groupBy(*keys).agg(F.array_sort(F.collect_list(st)).alias("tail"))

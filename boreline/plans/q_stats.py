@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import row_mean, row_median, row_std
 from ..operators import calibrate as K
+from ..operators import levels as LV
 from ..operators import metrics as M
 from ..operators import series as S
 from ..operators.lookup import curve_lookup
 from ..operators.quantiles import group_quantiles
 from . import bindings as B
 from .registry import query
+from .sql_solve import sql_solve
 
 PREDS = ["f", "s", "p", "g"]
 NN_EDGES = [0, 50, 100, 200, 300, 450, 600, 800, 1000]
@@ -117,6 +119,20 @@ def robust_levels(spark, sf):
     return K.robust_levels(K.tail_arrays(s, ["well"], 30, {"v": F.col("tvt"), "w": w}), ["well"])
 
 
+LONG_LEVELS = LEVELS.replace("WHERE seq < cut AND seq >= cut - 30", "WHERE seq < cut")
+
+
+@query("robust_levels_long", "E5", "well:l wmedian:d mean:d trim10:d huber:d last:d", f"""
+WITH {LONG_LEVELS} SELECT t.well, any_value(wm.c) AS wmedian, sum(v * w) / sum(w) AS mean,
+  sum(v * w) FILTER (v >= lo AND v <= hi) / sum(w) FILTER (v >= lo AND v <= hi) AS trim10, any_value(c14.c) AS huber,
+  max(v) FILTER (seq = cut - 1) AS last
+FROM t JOIN wm USING (well) JOIN q USING (well) JOIN c14 USING (well) GROUP BY t.well""", digits=4)
+def robust_levels_long(spark, sf):
+    """Levels over the whole known part, however long it is."""
+    s = B.evaluable(B.series(spark, sf)).where(F.col("seq") < F.col("cut"))
+    return LV.robust_levels(s, ["well"], F.col("tvt"), F.exp(-(F.col("cut") - 1 - F.col("seq")) / 40.0))
+
+
 @query("observation_weights", "E6", "well:l seq:l inv1:d inv2:d recent:d", f"""
 WITH {B.SERIES}, a AS (SELECT well, max(z) AS z0 FROM ev WHERE seq = cut - 1 GROUP BY well)
 SELECT ev.well, seq, 1 / (1 + 10 * abs(z - z0) / 300) AS inv1, 1 / (1 + (10 * abs(z - z0) / 300) ** 2) AS inv2,
@@ -288,6 +304,16 @@ def theil_sen_slope(spark, sf):
     return K.theil_sen(t, ["well"], every=2, min_gap=100.0, limit=0.5)
 
 
+@query("theil_sen_long", "E14", "well:l slope:d", f"""
+WITH {ANCH}, k AS (SELECT well, h, r FROM pa WHERE seq < cut AND seq % CAST(ceil(cut / 20.0) AS BIGINT) = 0),
+w AS (SELECT DISTINCT well FROM pa), m AS (SELECT a.well, median((b.r - a.r) / (b.h - a.h)) AS s FROM k a JOIN k b ON a.well = b.well AND b.h - a.h > 50 GROUP BY a.well)
+SELECT well, CASE WHEN s IS NULL THEN 0 ELSE least(greatest(s, -0.5), 0.5) END AS slope FROM w LEFT JOIN m USING (well)""")
+def theil_sen_long(spark, sf):
+    """Median slope between twenty rows at even steps of the whole known part."""
+    t = anchored(spark, sf).where(F.col("seq") < F.col("cut"))
+    return LV.theil_sen(t, ["well"], F.col("h"), F.col("r"), F.col("seq"), F.col("cut"), points=20)
+
+
 @query("median_rate", "E15", "well:l rate:d slope:d icpt:d", f"""
 WITH {B.SERIES}, d AS (SELECT well, seq, cut, tvt + z - lag(tvt + z) OVER w AS du, md - lag(md) OVER w AS dm, z - lag(z) OVER w AS dz,
   tvt - lag(tvt) OVER w AS dt FROM ev WHERE seq < cut WINDOW w AS (PARTITION BY well ORDER BY seq))
@@ -342,6 +368,35 @@ def robust_trend_line(spark, sf):
         F.sqrt(F.avg((F.col("r") - F.col("level") - F.col("slope") * far) ** 2)).alias("rmse"))
 
 
+def huber_plane_sql(rounds: int, ridge: float) -> str:
+    """Unrolled reweighted plane fits over hp(well, u, v, y)."""
+    def fit(i, w, frm):
+        sums = {"a00": "1", "a10": "u", "a11": "u*u", "a20": "v", "a21": "u*v", "a22": "v*v", "r0": "y", "r1": "u*y", "r2": "v*y"}
+        items = ", ".join(f"sum({w} * {e}) + {ridge if k in ('a11', 'a22') else 0} AS {k}" for k, e in sums.items())
+        steps, last = sql_solve(f"hs{i}", f"hf{i}_", [["a00"], ["a10", "a11"], ["a20", "a21", "a22"]], ["r0", "r1", "r2"], ["b0", "b1", "b2"])
+        return [f"hs{i} AS MATERIALIZED (SELECT b.well, {items} FROM {frm} GROUP BY b.well)", *steps, f"hn{i} AS MATERIALIZED (SELECT well, b0, b1, b2 FROM {last})"]
+    out = [*fit(0, "1", "hp b"), "hb0 AS MATERIALIZED (SELECT *, false AS done FROM hn0)"]
+    for i in range(1, rounds):
+        out.append(f"hk{i} AS MATERIALIZED (SELECT b.well, 1.345 * (1.4826 * median(abs(y - b0 - b1*u - b2*v)) + 1e-9) AS k FROM hp b JOIN hb{i-1} USING (well) GROUP BY b.well)")
+        out += fit(i, "least(1.0, k / greatest(abs(y - p.b0 - p.b1*u - p.b2*v), 1e-12))", f"hp b JOIN hb{i-1} p USING (well) JOIN hk{i} USING (well)")
+        new = ", ".join(f"CASE WHEN p.done THEN p.{c} ELSE q.{c} END AS {c}" for c in ("b0", "b1", "b2"))
+        out.append(f"hb{i} AS MATERIALIZED (SELECT p.well, {new}, p.done OR greatest(abs(p.b0 - q.b0), abs(p.b1 - q.b1), abs(p.b2 - q.b2)) < 1e-8 AS done FROM hb{i-1} p JOIN hn{i} q USING (well))")
+    return ",\n".join(out)
+
+
+@query("robust_plane_long", "E16", "well:l level:d gx:d gy:d", f"""
+WITH {B.SERIES}, ax AS (SELECT well, max(x) AS x0, max(y) AS y0 FROM ev WHERE seq = cut - 1 GROUP BY well),
+hp AS (SELECT ev.well, (x - x0) / 1000 AS u, (ev.y - y0) / 1000 AS v, tvt + z AS y FROM ev JOIN ax USING (well) WHERE seq < cut), {huber_plane_sql(6, 0.5)}
+SELECT well, b0 AS level, b1 AS gx, b2 AS gy FROM hb5""", digits=3)
+def robust_plane_long(spark, sf):
+    """Reweighted plane over the whole known part, ridge on the gradient (six rounds)."""
+    s = B.evaluable(B.series(spark, sf, xy=True))
+    a = s.where(F.col("seq") == F.col("cut") - 1).select("well", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    t = s.where(F.col("seq") < F.col("cut")).join(a, "well")
+    b = LV.huber_trend(t, ["well"], F.col("tvt") + F.col("z"), [(F.col("x") - F.col("x0")) / 1000, (F.col("y") - F.col("y0")) / 1000], rounds=6, ridge=0.5)
+    return b.select("well", F.col("b0").alias("level"), F.col("b1").alias("gx"), F.col("b2").alias("gy"))
+
+
 @query("robust_trend_plane", "E16", "well:l level:d gx:d gy:d")
 def robust_trend_plane(spark, sf):
     """Reweighted plane in two coordinates with ridge on the gradient (20 rounds)."""
