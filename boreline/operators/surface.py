@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import clip
@@ -53,6 +53,35 @@ def local_plane(nb: DataFrame, keys: list[str], value: str, lam: float, power: f
     return g.select(*keys, base.alias("base"), F.coalesce(out, base).alias("plane"))
 
 
+def neighbour_grid(nb: DataFrame, keys: list[str], value: str, ks: list[int], powers: list[float], lam: float,
+                   limit: float | None = None) -> DataFrame:
+    """keys, k, power, base, plane: inverse distance and local plane for every k and power, from one list of neighbours at the
+    largest k (columns rank from 1, dist, du, dv).
+
+    The sums of each power run along the ranks, so every k is a row of them; a query with fewer neighbours takes all it has.
+    Sums over a list of at most max(ks) rows, nothing is searched or multiplied again per setting."""
+    run = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    v, a, b = F.col(value), F.col("du"), F.col("dv")
+    cols = {"h": F.greatest(F.avg(F.hypot(a, b)).over(run), F.lit(1e-6))}
+    for i, power in enumerate(powers):
+        w = F.when(v.isNotNull(), idw_weight(F.col("dist"), power))
+        for n, e in {"s": w, "a": w * a, "b": w * b, "aa": w * a * a, "ab": w * a * b, "bb": w * b * b, "z": w * v, "az": w * a * v, "bz": w * b * v}.items():
+            cols[f"{n}{i}"] = F.sum(e).over(run)
+    t = nb.where(F.col("rank") <= max(ks)).withColumn("__n", F.max("rank").over(Window.partitionBy(*keys)))
+    own = F.filter(F.array(*[F.lit(k) for k in sorted(ks)]), lambda k: F.least(k, F.col("__n")) == F.col("rank"))
+    t = t.select(*keys, "rank", own.alias("__k"), *[e.alias(n) for n, e in cols.items()]).where(F.size("__k") > 0).withColumn("k", F.explode("__k"))
+    each = F.inline(F.array(*[F.struct(F.lit(float(power)).alias("power"), *[F.col(f"{n}{i}").alias(n) for n in ("s", "a", "b", "aa", "ab", "bb", "z", "az", "bz")])
+                              for i, power in enumerate(powers)]))
+    c = F.col
+    t = t.select(*keys, "k", "h", each)
+    h, s = c("h"), c("s")
+    sol = solve3(F.lit(1.0), c("a") / h / s, c("b") / h / s, c("aa") / h / h / s + lam, c("ab") / h / h / s,
+                 c("bb") / h / h / s + lam, c("z") / s, c("az") / h / s, c("bz") / h / s)
+    base = c("z") / s
+    out = sol[0] if limit is None else base + clip(sol[0] - base, -limit, limit)
+    return t.select(*keys, "k", "power", base.alias("base"), F.coalesce(out, base).alias("plane"))
+
+
 def components(edges: DataFrame, nodes: DataFrame, checkpoint) -> DataFrame:
     """Smallest reachable node per node (columns node, label), by label passing until nothing moves."""
     lab = nodes.select("node", F.col("node").alias("label"))

@@ -26,6 +26,17 @@ def scan_key_from_file(spark, sf):
     return u.groupBy("src").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("k").alias("keys"))
 
 
+@query("series_files", "A1", "well:l seq:l md:d gr:d tvt_input:d", f"""
+WITH {B.SERIES} SELECT well, seq, md, gr, CASE WHEN seq < cut THEN tvt END AS tvt_input FROM ev""")
+def series_files(spark, sf):
+    """The series as a collection of CSV files, read back by a glob; ids come from the files' paths, rows are numbered anew."""
+    path = store.new_path(spark, "series-files")
+    s = B.evaluable(B.series(spark, sf)).select("well", "seq", "md", "z", "gr", F.when(F.col("seq") < F.col("cut"), F.col("tvt")).alias("tvt_input"))
+    logs.write_wells(s.withColumn("x", F.lit(0.0)).withColumn("y", F.col("seq").cast("double")), path)
+    t = logs.read_wells(spark, path, truth=False, order="Y", files="*/*.csv", key=logs.folder_key())
+    return t.withColumn("well", F.col("well").cast("long"))
+
+
 @query("pruned_scan", "A2", "l_suppkey:l qty:d", """
 SELECT l_suppkey, sum(l_quantity) AS qty FROM lineitem WHERE l_discount >= 0.05 GROUP BY l_suppkey""")
 def pruned_scan(spark, sf):

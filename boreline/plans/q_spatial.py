@@ -151,6 +151,31 @@ pm AS (SELECT qid, z / s AS base, a / s AS p, b / s AS q, aa / s + 0.01 AS r, ab
 SELECT qid, base, base + least(greatest(((r*u-t*t)*x + (q*t-p*u)*y + (p*t-q*r)*v) / ((r*u-t*t) + p*(q*t-p*u) + q*(p*t-q*r)) - base, -500), 500) AS plane FROM pm"""
 
 
+GRID_K, GRID_P = [2, 4, 6, 8], [1.0, 1.5, 2.0, 3.0]
+
+
+@query("neighbour_grid", "G11", "k:l power:d method:s n:l rmse:d", f"""
+WITH {SMALL}, nb AS (SELECT a.id AS qid, a.u * a.v / 100 AS truth, sqrt((a.u-b.u)**2 + (a.v-b.v)**2) AS dist, b.u - a.u AS du, b.v - a.v AS dv, CASE WHEN b.id % 5 <> 0 THEN b.u * b.v / 100 END AS val,
+  row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.u-b.u)**2 + (a.v-b.v)**2), b.id) AS rank FROM sp a JOIN sp b ON a.grp <> b.grp QUALIFY rank <= 8),
+s AS (SELECT *, avg(sqrt(du*du+dv*dv)) OVER (PARTITION BY qid, k, power) AS h, CASE WHEN val IS NOT NULL THEN 1 / greatest(dist, 0.001) ** power END AS w
+  FROM nb, (SELECT unnest({GRID_K}) AS k), (SELECT unnest({GRID_P})::DOUBLE AS power) WHERE rank <= k),
+g AS (SELECT qid, k, power, any_value(truth) AS truth, sum(w) AS s, sum(w*du/h) AS a, sum(w*dv/h) AS b, sum(w*du*du/h/h) AS aa, sum(w*du*dv/h/h) AS ab, sum(w*dv*dv/h/h) AS bb,
+  sum(w*val) AS z, sum(w*du*val/h) AS az, sum(w*dv*val/h) AS bz FROM s GROUP BY qid, k, power),
+m AS (SELECT qid, k, power, truth, a / s AS p, b / s AS q, aa / s + 0.01 AS r, ab / s AS t, bb / s + 0.01 AS u, z / s AS x, az / s AS y, bz / s AS v FROM g),
+e AS (SELECT k, power, truth, x AS base, x + least(greatest(((r*u-t*t)*x + (q*t-p*u)*y + (p*t-q*r)*v) / ((r*u-t*t) + p*(q*t-p*u) + q*(p*t-q*r)) - x, -500), 500) AS plane FROM m WHERE x IS NOT NULL)
+SELECT k, power, 'idw' AS method, count(*) AS n, sqrt(avg((base - truth) ** 2)) AS rmse FROM e GROUP BY k, power
+UNION ALL SELECT k, power, 'plane', count(*), sqrt(avg((plane - truth) ** 2)) FROM e GROUP BY k, power""", digits=4)
+def neighbour_grid(spark, sf):
+    """32 settings of neighbours, power and surface from one search at the largest k, scored at the query points."""
+    p = small(spark, sf).withColumn("truth", F.col("u") * F.col("v") / 100)
+    nb = small_knn(spark, sf, max(GRID_K)).join(p.select("id", F.col("u").alias("pu"), F.col("v").alias("pv"), F.when(F.col("id") % 5 != 0, F.col("truth")).alias("val")), "id")
+    q = p.select(F.col("id").alias("qid"), "u", "v", "truth")
+    nb = nb.join(q.drop("truth"), "qid").withColumn("du", F.col("pu") - F.col("u")).withColumn("dv", F.col("pv") - F.col("v"))
+    g = SF.neighbour_grid(nb, ["qid"], "val", GRID_K, GRID_P, 0.01, limit=500.0).where(F.col("base").isNotNull()).join(q.select("qid", "truth"), "qid")
+    e = g.groupBy("k", "power").agg(F.count(F.lit(1)).alias("n"), *[F.sqrt(F.avg((F.col(c) - F.col("truth")) ** 2)).alias(c) for c in ("base", "plane")])
+    return e.select("k", "power", "n", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("rmse")) for m, c in (("idw", "base"), ("plane", "plane"))])))
+
+
 @query("local_ridge_plane", "I4", "qid:l base:d plane:d", f"WITH {VAL}, {sql_plane('nv')}", digits=4)
 def local_ridge_plane(spark, sf):
     return SF.local_plane(supplier_values(spark, sf), ["qid"], "h2", 0.01, limit=500.0)

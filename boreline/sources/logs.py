@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,17 +21,31 @@ def file_key(sep: str = "__"):
     return F.split(F.col("_metadata.file_name"), sep)[0]
 
 
+def folder_key(name: str = "well"):
+    """Series id: the value in the `name=value` folder of a file's path."""
+    return F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=([^/]*)/", 1)
+
+
+def write_wells(wells: DataFrame, path: str, rows: int = 500_000) -> None:
+    """One folder `well=<id>` of CSV files with a header per series; a series of more than `rows` rows is written by several tasks."""
+    names = [c for c in KNOWN + TRUTH if c.lower() in wells.columns]
+    t = wells.select("well", "seq", *[F.col(c.lower()).alias(c) for c in names])
+    t.repartition("well", F.floor(F.col("seq") / rows)).drop("seq").write.partitionBy("well").option("header", True).csv(path)
+
+
 def read_wells(spark: SparkSession, path: str, truth: bool = True, columns: list[str] | None = None,
-               order: str | None = "MD") -> DataFrame:
+               order: str | None = "MD", files: str = "*__horizontal_well.csv", key: Column | None = None) -> DataFrame:
     """Horizontal wells as one DataFrame with lower-case columns, `well` and 0-based `seq` (by depth).
 
+    `files` is the glob of the collection; the id comes from the file's name, or from `key`, an expression on `_metadata`.
+
     Columns are matched by header name, so files with and without the truth columns both read; NaN
     becomes null.  Only the requested columns are parsed.  `order=None` skips the numbering."""
     names = KNOWN + (TRUTH if truth else [])
     keep = [c for c in names if columns is None or c in columns or c == order]
     df = (spark.read.option("header", True).option("enforceSchema", False).option("nanValue", "NaN")
-          .schema(_double_schema(names)).csv(f"{path}/*__horizontal_well.csv")
-          .select(file_key().alias("well"), *[F.nanvl(c, F.lit(None).cast("double")).alias(c.lower()) for c in keep]))
+          .schema(_double_schema(names)).csv(f"{path}/{files}")
+          .select((file_key() if key is None else key).alias("well"), *[F.nanvl(c, F.lit(None).cast("double")).alias(c.lower()) for c in keep]))
     if order is None:
         return df
     return number_rows(df.withColumn("__tie", F.xxhash64(*df.columns)), ["well"], order.lower(), "__tie").drop("__tie", "order0")
