@@ -104,13 +104,71 @@ class CheapestPath:
         return float(self.values[int(np.argmin(np.round(alpha + beta, 9)))])
 
 
+class CheapestPaths:
+    """Cheapest paths under several settings in one pass: setting s costs (value - curve)**2 / scale[s] + move[s] * |d| for a step
+    of at most `reach[s]` knots of the curve.  The state is (setting, knot); settings never mix, so the map of a block holds one
+    matrix a setting.  A row brings the values (column `values`, one per setting), the first row of a block the curve
+    (column `curve`); the costs are made inside the block.  est: the knot's number under every setting, ties to the lower."""
+
+    plus, est = False, "array<double>"
+
+    def __init__(self, knots: int, move: list[float], scale: list[float], reach: list[int]):
+        self.knots, self.settings = knots, len(move)
+        self.size = knots * self.settings
+        self.move, self.scale = np.asarray(move, float), np.asarray(scale, float)
+        self.reach = np.asarray(reach)
+
+    def observe(self, pdf):
+        curve = np.asarray(next(c for c in pdf["curve"] if c is not None), float)
+        value = np.stack([np.asarray(v, float) for v in pdf["values"]])
+        return ((value[:, :, None] - curve) ** 2 / self.scale[:, None]).reshape(len(value), -1)
+
+    def _step(self, x):
+        cube = x.reshape(self.settings, self.knots, -1)
+        out = np.full_like(cube, np.inf)
+        for d in range(-int(self.reach.max()), int(self.reach.max()) + 1):
+            a, b = max(0, d), min(self.knots, self.knots + d)
+            cost = np.where(self.reach >= abs(d), self.move * abs(d), np.inf)[:, None, None]
+            if a < b:
+                out[:, a:b] = np.minimum(out[:, a:b], cube[:, a - d:b - d] + cost)
+        return out.reshape(x.shape)
+
+    def forward(self, x, obs, aux, first):
+        return self._step(x) + obs[:, None]
+
+    def backward(self, x, obs, aux):
+        return self._step(x + obs[:, None])
+
+    def scaled(self, x):
+        cube = x.reshape(self.settings, -1)
+        low = cube.min(1, keepdims=True)
+        return (cube - np.where(np.isfinite(low), low, 0.0)).reshape(x.shape)
+
+    def eye(self):
+        return np.tile(np.where(np.eye(self.knots) > 0, 0.0, np.inf), (self.settings, 1))
+
+    def apply(self, m, v):
+        return (m.reshape(self.settings, self.knots, self.knots) + v.reshape(self.settings, 1, self.knots)).min(2).ravel()
+
+    def chain(self, a, b):
+        a, b = (x.reshape(self.settings, self.knots, self.knots) for x in (a, b))
+        return np.stack([np.min(q[:, :, None] + p[None, :, :], axis=1) for p, q in zip(a, b)]).reshape(self.size, self.knots)
+
+    def estimate(self, alpha, beta):
+        return np.argmin(np.round(alpha + beta, 9).reshape(self.settings, self.knots), axis=1).astype(float).tolist()
+
+
 def _eye(model):
+    if hasattr(model, "eye"):
+        return model.eye()
     if model.plus:
         return np.eye(model.size)
     return np.where(np.eye(model.size) > 0, 0.0, np.inf)
 
 
 def _scaled(model, x):
+    if hasattr(model, "scaled"):
+        return model.scaled(x)
     if model.plus:
         top = x.max()
         return x / top if top > 0 else np.full_like(x, 1.0)
@@ -119,11 +177,15 @@ def _scaled(model, x):
 
 
 def _apply(model, m, v):
+    if hasattr(model, "apply"):
+        return model.apply(m, v)
     return m @ v if model.plus else (m + v[None, :]).min(1)
 
 
 def _chain(model, a, b):
     """Map of `a` followed by `b`."""
+    if hasattr(model, "chain"):
+        return model.chain(a, b)
     return b @ a if model.plus else np.min(b[:, :, None] + a[None, :, :], axis=1)
 
 
@@ -135,8 +197,13 @@ def _rows(pdf, name):
     return [np.asarray(v, float) for v in pdf[name]]
 
 
+def _observed(model, pdf):
+    return model.observe(pdf) if hasattr(model, "observe") else _rows(pdf, "obs")
+
+
 def smooth(knots: DataFrame, key: str, model, block: int = 2048, fan: int = 64) -> DataFrame:
-    """knots: key, j (0-based), seq, obs array<double>, aux double, init array<double> (state before j=0).
+    """knots: key, j (0-based), seq, obs array<double>, aux double, init array<double> (state before j=0; needed where j is 0 only).
+    A model that observes by itself names its own columns in place of obs.
 
     Returns key, seq, est: posterior mean or cheapest path at every knot."""
     spark, kt = knots.sparkSession, knots.schema[key].dataType.simpleString()
@@ -154,12 +221,12 @@ def smooth(knots: DataFrame, key: str, model, block: int = 2048, fan: int = 64)
     # Small inputs would be merged into one task, and the work per row is large.
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entered = entered.repartition(max(conf, spark.sparkContext.defaultParallelism), key, "blk")
-    return entered.groupBy(key, "blk").applyInPandas(lambda ids, pdf: _inside(model, key, ids, pdf), f"{key} {kt}, seq long, est double")
+    return entered.groupBy(key, "blk").applyInPandas(lambda ids, pdf: _inside(model, key, ids, pdf), f"{key} {kt}, seq long, est {getattr(model, 'est', 'double')}")
 
 
 def _block_map(model, key, ids, pdf):
     pdf = pdf.sort_values("j")
-    obs, aux, j = _rows(pdf, "obs"), pdf["aux"].to_numpy(float), pdf["j"].to_numpy()
+    obs, aux, j = _observed(model, pdf), pdf["aux"].to_numpy(float), pdf["j"].to_numpy()
     f, g = _eye(model), _eye(model)
     for o, a, i in zip(obs, aux, j):
         f = _scaled(model, model.forward(f, o, a, i == 0))
@@ -175,7 +242,7 @@ def _scan(maps, start, key, kt, model, top, fan):
 
     def fold(ids, pdf):
         pdf = pdf.sort_values("blk")
-        f, g = [x.reshape(n, n) for x in _rows(pdf, "f")], [x.reshape(n, n) for x in _rows(pdf, "g")]
+        f, g = [x.reshape(n, -1) for x in _rows(pdf, "f")], [x.reshape(n, -1) for x in _rows(pdf, "g")]
         v = np.asarray(pdf["init"].iloc[0], float)
         o = pdf["out"].iloc[0]
         u = _neutral(model) if o is None else np.asarray(o, float)
@@ -195,7 +262,7 @@ def _scan(maps, start, key, kt, model, top, fan):
         pdf = pdf.sort_values("blk")
         f, g = None, None
         for a, b in zip(_rows(pdf, "f"), _rows(pdf, "g")):
-            a, b = a.reshape(n, n), b.reshape(n, n)
+            a, b = a.reshape(n, -1), b.reshape(n, -1)
             f = a if f is None else _scaled(model, _chain(model, f, a))
             g = b if g is None else _scaled(model, _chain(model, b, g))
         return pd.DataFrame({key: [ids[0]], "blk": [ids[1]], "f": [f.ravel()], "g": [g.ravel()]})
@@ -209,7 +276,7 @@ def _scan(maps, start, key, kt, model, top, fan):
 
 def _inside(model, key, ids, pdf):
     pdf = pdf.sort_values("j")
-    obs, aux, j = _rows(pdf, "obs"), pdf["aux"].to_numpy(float), pdf["j"].to_numpy()
+    obs, aux, j = _observed(model, pdf), pdf["aux"].to_numpy(float), pdf["j"].to_numpy()
     fin, out = pdf["fin"].iloc[0], pdf["bin"].iloc[0]
     x = np.asarray(pdf["init"].iloc[0] if fin is None else fin, float)[:, None]
     alpha = []

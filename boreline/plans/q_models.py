@@ -19,7 +19,7 @@ from ..operators.calibrate import affine
 from ..operators.match import grid_at
 from ..operators.ordering import fill_linear, framed
 from ..operators.robust import project, project_parabola
-from ..operators.sequence import CheapestPath, Diffusion, Drift, smooth
+from ..operators.sequence import CheapestPath, CheapestPaths, Diffusion, Drift, smooth
 from ..operators.series import step_distance
 from ..sources.store import materialize, new_path
 from . import bindings as B
@@ -460,3 +460,41 @@ def cheapest_path(spark, sf):
         e = smooth(path_knots(spark, sf, scale), "well", CheapestPath(list(range(1, 51)), move)).withColumn("cfg", F.lit(i))
         out = e if out is None else out.unionByName(e)
     return out.groupBy("well", "seq").agg(F.avg("est").alias("mean"), F.max(F.when(F.col("cfg") == 0, F.col("est"))).alias("first"))
+
+
+# The seven settings of the path search (move cost, scale, radius of the rolling mean before it); steps reach two knots.
+PATHS = [(20.0, 144.0, 2), (8.0, 64.0, 2), (35.0, 220.0, 1), (14.0, 90.0, 5), (4.0, 36.0, 3), (12.0, 100.0, 3), (25.0, 180.0, 2)]
+RADII = sorted({r for _, _, r in PATHS})
+PATH_BLOCK = 2048
+_VALUES = ", ".join(f"r{r}" for _, _, r in PATHS)
+_STEP = "list_min([" + ", ".join(f"CASE WHEN i + {d} BETWEEN 1 AND 50 THEN {{a}}[CAST(greatest(least(i + {d}, 50), 1) AS BIGINT)] + {abs(d)} * mv END" for d in range(-2, 3)) + "])"
+PATH_SQL = f"""
+WITH RECURSIVE {B.CAND}, {B.CURVE}, crv AS (SELECT list(v ORDER BY k) AS c FROM curve), o0 AS (SELECT well, seq, seq - cut AS j, f, y / 10 + 900 AS o FROM cand),
+o AS (SELECT well, seq, j, f, {', '.join(f"avg(o) OVER (PARTITION BY well ORDER BY j ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS r{r}" for r in RADII)} FROM o0),
+k AS MATERIALIZED (SELECT well, seq, j, s, v, mv, sc, least(greatest(round(f / 8), 0), 49) + 1 AS near FROM (SELECT well, seq, j, f, unnest(range(7)) AS s, unnest([{_VALUES}]) AS v, unnest([{', '.join(str(float(m)) for m, _, _ in PATHS)}]::DOUBLE[]) AS mv, unnest([{', '.join(str(float(x)) for _, x, _ in PATHS)}]::DOUBLE[]) AS sc FROM o)),
+e AS MATERIALIZED (SELECT k.*, list_transform(c, lambda x: (v - x) ** 2 / sc) AS cost, max(j) OVER (PARTITION BY well, s) AS top FROM k, crv),
+fw AS (SELECT well, s, j, list_transform(range(1, 51), lambda i: {_STEP.format(a='z')} + cost[i]) AS a FROM (SELECT *, list_transform(range(1, 51), lambda i: CASE WHEN i = near THEN 0::DOUBLE ELSE 1e30::DOUBLE END) AS z FROM e WHERE j = 0)
+  UNION ALL SELECT e.well, e.s, e.j, list_transform(range(1, 51), lambda i: {_STEP.format(a='a')} + cost[i]) FROM fw JOIN e ON e.well = fw.well AND e.s = fw.s AND e.j = fw.j + 1),
+bw AS (SELECT well, s, j, list_transform(range(1, 51), lambda i: 0::DOUBLE) AS b FROM e WHERE j = top
+  UNION ALL SELECT e.well, e.s, e.j - 1, list_transform(range(1, 51), lambda i: {_STEP.format(a='q')}) FROM (SELECT e.*, list_transform(range(1, 51), lambda i: b[i] + cost[i]) AS q FROM bw JOIN e ON e.well = bw.well AND e.s = bw.s AND e.j = bw.j) e WHERE e.j > 0),
+t AS (SELECT fw.well, fw.s, fw.j, list_transform(range(1, 51), lambda i: round(a[i] + b[i], 6)) AS w FROM fw JOIN bw USING (well, s, j)),
+p AS (SELECT well, s, j, list_position(w, list_min(w)) AS kn FROM t)
+SELECT e.well, e.seq, avg(kn) AS mean, max(kn) FILTER (e.s = 0) AS first, max(kn) - min(kn) AS spread FROM p JOIN e USING (well, s, j) GROUP BY e.well, e.seq"""
+
+
+@query("cheapest_paths", "J4", "well:l seq:l mean:d first:d spread:d", PATH_SQL)
+def cheapest_paths(spark, sf):
+    """All seven settings in one pass: mean knot of the paths, the first setting's knot, and how far they lie apart."""
+    c = B.cand(spark, sf).withColumn("j", F.col("seq") - F.col("cut"))
+    o = c.withColumn("o", F.col("y") / 10 + 900)
+    o = framed(o, ["well"], max(RADII), lambda w: {f"r{r}": F.avg("o").over(w.rowsBetween(-r, r)) for r in RADII}, seq="j")
+    rows = with_curve(o, spark, sf)
+    near = F.least(F.greatest(F.round(F.col("f") / 8), F.lit(0.0)), F.lit(49.0)).cast("int")
+    start = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.when(i == near, F.lit(0.0)).otherwise(F.lit(float("inf"))))
+    init = F.flatten(F.array(*[start] * len(PATHS)))
+    k = rows.select("well", "j", "seq", F.array(*[F.col(f"r{r}") for _, _, r in PATHS]).alias("values"), F.lit(0.0).alias("aux"),
+                    F.when(F.col("j") % PATH_BLOCK == 0, F.col("crv")).alias("curve"), F.when(F.col("j") == 0, init).alias("init"))
+    model = CheapestPaths(50, [m for m, _, _ in PATHS], [x for _, x, _ in PATHS], [2] * len(PATHS))
+    e = smooth(k, "well", model, PATH_BLOCK).withColumn("est", F.transform("est", lambda x: x + 1))
+    mean = F.aggregate("est", F.lit(0.0), lambda a, x: a + x) / len(PATHS)
+    return e.select("well", "seq", mean.alias("mean"), F.get("est", F.lit(0)).alias("first"), (F.array_max("est") - F.array_min("est")).alias("spread"))

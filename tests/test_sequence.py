@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from boreline.operators.sequence import CheapestPath, Diffusion, Drift, _blur, smooth
+from boreline.operators.sequence import CheapestPath, CheapestPaths, Diffusion, Drift, _blur, smooth
 
 RNG = np.random.default_rng(9)
 GRID = np.linspace(-4, 4, 9)
@@ -63,6 +63,22 @@ def test_cheapest_path_by_blocks(spark):
         assert got[got.w == 1].sort_values("seq")["est"].tolist() == [float(x) for x in reversed(path)]
 
 
+def test_settings_in_one_pass_are_those_of_single_passes(spark):
+    n, length, move, scale = 12, 35, [0.7, 3.0, 0.0], [2.0, 9.0, 0.5]
+    curve, value = RNG.uniform(0, 20, n).round(2), RNG.uniform(0, 20, (length, 3)).round(2)
+    init = np.where(np.arange(n) == 5, 0.0, np.inf)
+    for block, fan in [(100, 8), (4, 8), (3, 3)]:
+        rows = [(1, j, 10 * j, [float(x) for x in value[j]], 0.0, [float(x) for x in curve] if j % block == 0 else None, [float(x) for x in np.tile(init, 3)] if j == 0 else None)
+                for j in range(length)]
+        df = spark.createDataFrame(rows, "w long, j long, seq long, values array<double>, aux double, curve array<double>, init array<double>")
+        got = smooth(df, "w", CheapestPaths(n, move, scale, [2, 2, 1]), block, fan).toPandas().sort_values("seq")
+        for s in range(3):
+            one = CheapestPath(np.arange(n), move[s], [2, 2, 1][s])
+            obs = (value[:, s, None] - curve) ** 2 / scale[s]
+            want = smooth(knots(spark, obs, np.zeros(length), init), "w", one, 100).toPandas()
+            assert [e[s] for e in got["est"]] == want[want.w == 1].sort_values("seq")["est"].tolist()
+
+
 def test_blur_keeps_constants_and_mass_inside():
     assert np.allclose(_blur(np.full(9, 2.0)[:, None], 1.3), 2.0)
     x = np.zeros(41)
