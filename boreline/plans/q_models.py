@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from ..operators.lookup import curve_lookup
 from ..operators.calibrate import affine
 from ..operators.match import grid_at
 from ..operators.ordering import fill_linear, framed
+from ..operators.quantiles import group_quantiles
 from ..operators.robust import project, project_parabola
 from ..operators.sequence import CheapestPath, CheapestPaths, Diffusion, Drift, smooth
 from ..operators.series import step_distance
@@ -323,6 +324,95 @@ def series_feature_table(spark, sf):
     return series_features(spark, sf)
 
 
+# The names of the series features, in their order.
+SER_ALL = ["n_pred", "cut_len", "ps_frac", "md_post", "off_bt", "off_bt_tail", "off_bt_end", "bt_slope", "bt_rmse", "bt_len", "has_bt", "sstd_mean", "sstd_p90",
+           "ll_mean_n", "ll_std_n", "ll_rng_n", "nn_mean", "nn_p90", "nnr_mean", "nnr_p90", "dis_mean", "dis_abs", "dis_slope", "dis_std", "dip30", "dip200", "gr_res_std", "gr_corr"]
+SER_TARGETS = ["off_true", "off_med", "rmse_blend"]
+#: A masked tail of fewer rows gives no backtest; the end of it has a tenth of its rows, at least END_ROWS.
+BT_ROWS, END_ROWS = 10, 5
+SFA_SQL = f"""{B.ENS}, {B.BACKTEST[len(B.SERIES) + 2:]}, {SEGS}, pre AS (SELECT * FROM ev WHERE seq < cut), {sql_lookup('pre', KEY.format(x='tvt'), 'ref', 'pr')},
+b0 AS (SELECT well, seq, md_since, y - 0.45 * s - 0.55 * g AS r, count(*) OVER (PARTITION BY well) AS nb, seq - min(seq) OVER (PARTITION BY well) AS i FROM bt WHERE frac = 0.65),
+b1 AS (SELECT well, avg(r) AS off_bt, avg(r) FILTER (i >= nb // 2) AS off_bt_tail, avg(r) FILTER (i >= nb - greatest(nb // 10, {END_ROWS})) AS off_bt_end, regr_slope(r, md_since / 1000) AS bt_slope,
+  sqrt(avg(r * r)) AS bt_rmse, max(nb) AS bt_len FROM b0 GROUP BY well),
+sd AS (SELECT well, seq, stddev_pop(value) AS sd FROM ens GROUP BY well, seq), s1 AS (SELECT well, avg(sd) AS sstd_mean, quantile_cont(sd, 0.9) AS sstd_p90 FROM sd GROUP BY well),
+l1 AS (SELECT well, avg(ll) AS ll_mean_n, stddev_pop(ll) AS ll_std_n, max(ll) - min(ll) AS ll_rng_n FROM ensll GROUP BY well),
+gc AS (SELECT well, CASE WHEN count(grn) >= 30 THEN sqrt(greatest(var_pop(grn) - covar_pop(grn, ref) ** 2 / var_pop(ref), 0)) END AS gr_res_std, CASE WHEN count(grn) >= 30 THEN abs(corr(grn, ref)) END AS gr_corr FROM pr WHERE grn IS NOT NULL GROUP BY well),
+dd AS (SELECT well, seq, tvt + z - lag(tvt + z) OVER w AS du, md - lag(md) OVER w AS dm, cut FROM ev WHERE seq < cut WINDOW w AS (PARTITION BY well ORDER BY seq)),
+dp AS (SELECT well, {', '.join(f"CASE WHEN count(*) FILTER (seq > cut - {n} AND dm > 0) >= 3 THEN median(du / dm) FILTER (seq > cut - {n} AND dm > 0) ELSE 0 END AS dip{n}" for n in (30, 200))} FROM dd GROUP BY well),
+mm AS (SELECT well, count(*) AS n_pred, max(cut) AS cut_len, 1 - count(*) / max(n) AS ps_frac, max(md) - min(md) AS md_post, avg(nn) AS nn_mean, quantile_cont(nn, 0.9) AS nn_p90,
+  avg(nn / 16) FILTER ((seq - cut) % 10 = 0) AS nnr_mean, quantile_cont(nn / 16, 0.9) FILTER ((seq - cut) % 10 = 0) AS nnr_p90, avg(s - g) AS dis_mean, abs(avg(s - g)) AS dis_abs, regr_slope(s - g, md_since / 1000) AS dis_slope,
+  stddev_pop(s - g) AS dis_std, avg(y - 0.45 * s - 0.55 * g) AS off_true, median(y - 0.45 * s - 0.55 * g) AS off_med, sqrt(avg((y - 0.45 * s - 0.55 * g) ** 2)) AS rmse_blend FROM cand GROUP BY well)
+SELECT mm.well, n_pred, cut_len, ps_frac, md_post, {', '.join(f"CASE WHEN coalesce(bt_len, 0) >= {BT_ROWS} THEN {c} ELSE 0 END AS {c}" for c in ("off_bt", "off_bt_tail", "off_bt_end", "bt_slope", "bt_rmse"))}, coalesce(bt_len, 0) AS bt_len,
+  CASE WHEN coalesce(bt_len, 0) >= {BT_ROWS} THEN 1 ELSE 0 END AS has_bt, sstd_mean, sstd_p90, ll_mean_n, ll_std_n, ll_rng_n, nn_mean, nn_p90, nnr_mean, nnr_p90, dis_mean, dis_abs, dis_slope, dis_std, dip30, dip200,
+  gr_res_std, gr_corr, off_true, off_med, rmse_blend FROM mm JOIN s1 USING (well) JOIN l1 USING (well) JOIN dp USING (well) LEFT JOIN b1 USING (well) LEFT JOIN gc USING (well)"""
+
+
+def all_series_features(spark, sf):
+    """The 28 features of a series and its offset: backtest, ensemble spread and likelihood, neighbours, disagreement, dips, log fit."""
+    c, k, kft = F.col, ["well"], F.col("md_since") / 1000
+    bt = B.backtest(spark, sf, (0.65,)).select("well", "seq", "md_since", (c("y") - 0.45 * c("s") - 0.55 * c("g")).alias("r"))
+    bt = materialize(bt, "backtest")
+    size = bt.groupBy("well").agg(F.count(F.lit(1)).alias("nb"), F.min("seq").alias("__s0"))
+    i, end = c("seq") - c("__s0"), c("nb") - F.greatest(F.floor(c("nb") / 10), F.lit(END_ROWS))
+    b = bt.join(size, "well").groupBy("well").agg(
+        F.avg("r").alias("off_bt"), F.avg(F.when(i >= F.floor(c("nb") / 2), c("r"))).alias("off_bt_tail"), F.avg(F.when(i >= end, c("r"))).alias("off_bt_end"),
+        F.regr_slope("r", kft).alias("bt_slope"), F.sqrt(F.avg(c("r") * c("r"))).alias("bt_rmse"), F.max("nb").alias("bt_len"))
+    e = B.ens(spark, sf).select("well", "seq", "seed", "s", "value")
+    sd = materialize(e.groupBy("well", "seq").agg(F.stddev_pop("value").alias("sd")), "spread")
+    spread = sd.groupBy("well").agg(F.avg("sd").alias("sstd_mean")).join(group_quantiles(sd, k, c("sd"), {"sstd_p90": 0.9}), "well")
+    ll = B.ens_ll(e).groupBy("well").agg(F.avg("ll").alias("ll_mean_n"), F.stddev_pop("ll").alias("ll_std_n"), (F.max("ll") - F.min("ll")).alias("ll_rng_n"))
+    y, x = c("grn"), c("ref")
+    log = prefix_ref(spark, sf).where(y.isNotNull()).groupBy("well").agg(F.count(y).alias("__k"), F.var_pop(y).alias("__y"), F.var_pop(x).alias("__x"), F.covar_pop(y, x).alias("__c"), F.corr(y, x).alias("__r"))
+    log = log.select("well", F.when(c("__k") >= 30, F.sqrt(F.greatest(c("__y") - c("__c") * c("__c") / c("__x"), F.lit(0.0)))).alias("gr_res_std"), F.when(c("__k") >= 30, F.abs("__r")).alias("gr_corr"))
+    s = B.evaluable(B.series(spark, sf)).where(c("seq") < c("cut"))
+    u = c("tvt") + c("z")
+    s = framed(s, k, 1, lambda w: {"du": u - F.lag(u).over(w), "dm": c("md") - F.lag("md").over(w)}).where("dm > 0")
+    s = materialize(s.select("well", "seq", "cut", (c("du") / c("dm")).alias("dip")), "dips")
+    dips = s.groupBy("well").agg(*[F.count(F.when(c("seq") > c("cut") - n, 1)).alias(f"__n{n}") for n in (30, 200)])
+    for n in (30, 200):
+        dips = dips.join(group_quantiles(s.where(c("seq") > c("cut") - n), k, c("dip"), {f"__d{n}": 0.5}), "well", "left")
+    dips = dips.select("well", *[F.when(c(f"__n{n}") >= 3, c(f"__d{n}")).otherwise(0.0).alias(f"dip{n}") for n in (30, 200)])
+    m = materialize(B.cand(spark, sf).withColumn("off", c("y") - 0.45 * c("s") - 0.55 * c("g")), "candidates")
+    d, tenth = c("s") - c("g"), F.when((c("seq") - c("cut")) % 10 == 0, c("nn") / 16)
+    t = m.groupBy("well").agg(
+        F.count(F.lit(1)).alias("n_pred"), F.max("cut").alias("cut_len"), (1 - F.count(F.lit(1)) / F.max("n")).alias("ps_frac"), (F.max("md") - F.min("md")).alias("md_post"),
+        F.avg("nn").alias("nn_mean"), F.avg(tenth).alias("nnr_mean"), F.avg(d).alias("dis_mean"), F.abs(F.avg(d)).alias("dis_abs"), F.regr_slope(d, kft).alias("dis_slope"),
+        F.stddev_pop(d).alias("dis_std"), F.avg("off").alias("off_true"), F.sqrt(F.avg(c("off") * c("off"))).alias("rmse_blend"))
+    t = t.join(group_quantiles(m, k, c("nn"), {"nn_p90": 0.9}), "well").join(group_quantiles(m, k, tenth, {"nnr_p90": 0.9}), "well", "left").join(group_quantiles(m, k, c("off"), {"off_med": 0.5}), "well")
+    t = t.join(spread, "well").join(ll, "well").join(dips, "well", "left").join(b, "well", "left").join(log, "well", "left")
+    has = F.coalesce(c("bt_len"), F.lit(0)) >= BT_ROWS
+    back = {n: F.when(has, c(n)).otherwise(0.0) for n in ("off_bt", "off_bt_tail", "off_bt_end", "bt_slope", "bt_rmse")}
+    t = t.withColumns({**back, "bt_len": F.coalesce("bt_len", F.lit(0)), "has_bt": has.cast("int"), "dip30": F.coalesce("dip30", F.lit(0.0)), "dip200": F.coalesce("dip200", F.lit(0.0))})
+    return t.select("well", *SER_ALL, *SER_TARGETS)
+
+
+@query("series_features_all", "H4", "well:l " + " ".join(f"{c}:d" for c in [*SER_ALL, *SER_TARGETS]), f"WITH {SFA_SQL}", digits=4)
+def series_features_all(spark, sf):
+    return all_series_features(spark, sf)
+
+
+@query("offset_estimators", "H5", "estimator:s n:l rms:d")
+def offset_estimators(spark, sf):
+    """Offset from all series features by ridge, Huber and trees, each fitted without the fold it predicts, weighted by rows, against
+    no correction (rows-only: iterative fits)."""
+    t = all_series_features(spark, sf).withColumn("w", F.col("n_pred").cast("double")).fillna(0.0)
+    f = V.folds(t.select("well", "n_pred"), F.col("n_pred"), "well", 3).select("well", "fold")
+    t = materialize(t.join(f, "well"), "offsets")
+    head = [VectorAssembler(inputCols=SER_ALL, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    fits = {"ridge": LinearRegression(labelCol="off_true", weightCol="w", regParam=1.0, elasticNetParam=0.0, solver="normal"),
+            "huber": LinearRegression(labelCol="off_true", weightCol="w", loss="huber", regParam=1.0, maxIter=30),
+            "tree": DecisionTreeRegressor(labelCol="off_true", weightCol="w", maxDepth=3, minInstancesPerNode=5)}
+    parts = [t.select(F.lit("none").alias("estimator"), "w", F.col("off_true").alias("left"))]
+    for name, model in fits.items():
+        for k in range(3):
+            p = Pipeline(stages=[*head, model]).fit(t.where(F.col("fold") != k)).transform(t.where(F.col("fold") == k))
+            parts.append(p.select(F.lit(name).alias("estimator"), "w", (F.col("off_true") - F.col("prediction")).alias("left")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("estimator").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.col("w") * F.col("left") * F.col("left")) / F.sum("w")).alias("rms"))
+
+
 @query("offset_shrink", "H5", "gamma:d n:l rms:d", f"""
 WITH sf AS (WITH {SF_SQL}), l AS (SELECT sum(n_pred * dis_mean * off_true) / (sum(n_pred * dis_mean * dis_mean) + 1000) AS lam FROM sf), g AS (SELECT unnest([0, 0.5, 1.0]) AS gamma)
 SELECT gamma, count(*) AS n, sqrt(sum(n_pred * (off_true - gamma * lam * dis_mean)**2) / sum(n_pred)) AS rms FROM sf, l, g GROUP BY gamma""", digits=5)
