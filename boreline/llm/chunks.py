@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 from boreline.llm.shared import per_worker
@@ -55,11 +56,10 @@ class ChunkEncoder:
         self.chars = 0
 
     def _learn(self, new: list[str], front: str) -> None:
-        import numpy as np
         for at in range(0, len(new), 4096):
             part = new[at: at + 4096]
             for key, e in zip(part, self.library.encode_batch_fast([front + c for c in part], add_special_tokens=False)):
-                self.known[key] = len(e.ids) if self.counts_only else np.array(e.ids, "<u4").tobytes()
+                self.known[key] = len(e.ids) if self.counts_only else array("I", e.ids).tobytes()
 
     def values(self, texts: list[str | None]) -> Iterator:
         """The count, or the little-endian 32-bit ids, of every text; null is empty."""

@@ -18,6 +18,7 @@ from boreline.llm.ranges import as_number, begins, search
 from boreline.llm.repair import build, count_tokens, expand, from_bytes, to_bytes
 
 END_ID = 2
+NO_KEY = -1 << 63
 BLOCK_TOKENS = 1 << 20
 ROWS = 256
 BLOCKS = "part int, block int, data binary"
@@ -27,10 +28,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key:
                  block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every whole text, append END_ID and write the blocks to the Parquet folder `path`.
 
-    Keys are whole numbers; rows of one key are in the order of their texts.  Null keys are refused.  Null text: only the
-    end id.  A document longer than a block has a block of its own.  No rows: an empty table.  Other columns are ignored."""
+    Keys are whole numbers; rows of one key are in the order of their texts.  Rows without a key come first, in the order of
+    their texts, and are kept under NO_KEY, which no row may have; they are read back without one.  Null text: only the end id.  A document longer than a block has a block of its own.  No rows: an empty table.  Other columns are ignored."""
     file = tokenizer or default_path("byte_bpe_50k.json")
-    rows = docs.select(F.when(F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(F.lit("a document has no key"))).cast("long").alias("key"),
+    rows = docs.select(F.col(key).cast("long").alias("key"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     begin = begins(rows, "key")
     dealt = rows.withColumn("part", search(as_number(F.col("key")), begin[1:])) \
@@ -57,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key:
                         block, keys, ids, total = block + 1, [], [], 0
                     if p != part:
                         part, block = p, 0
-                    keys.append(k)
+                    keys.append(NO_KEY if k is None else k)
                     ids.append(i + end)
                     total += len(i) // 4 + 1
         if keys:
@@ -80,7 +81,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                 parts = [ids[s - n: s].tobytes() for s, n in zip(stop.tolist(), g.tokens.tolist())]
                 n = len(parts)
                 cols = [pa.array(np.full(n, p.as_py(), np.int32)), pa.array(np.full(n, b.as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int32)),
-                        pa.array(g.keys), pa.array(stop - g.tokens), pa.array(g.tokens), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                        pa.array(g.keys, mask=g.keys == NO_KEY), pa.array(stop - g.tokens), pa.array(g.tokens), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                 names = ["part", "block", "place", "key", "before", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 

@@ -60,11 +60,11 @@ def test_counts_and_cache(spark, library):
 
 
 def test_files_give_all_ids_back(spark, library):
-    rows = [r for r in awkward() if r[0] is not None]
+    rows = [*awkward(), (None, None, None, None, None)]
     docs, path = with_clashes(spark.createDataFrame(rows, DOCS)), new_path(spark, "tokens")
     write_tokens(docs, path, block_tokens=2000)
     want, at = [], 0
-    for i, t in sorted((r[0], r[1] or "") for r in rows):
+    for i, t in sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = library.encode(t, add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
@@ -78,8 +78,9 @@ def test_files_without_documents_or_keys(spark):
     path = new_path(spark, "tokens")
     write_tokens(spark.createDataFrame([], DOCS), path)
     assert read_index(spark, path).count() == 0
-    with pytest.raises(Exception, match="no key"):
-        write_tokens(spark.createDataFrame([(None, "a", None, None, None)], DOCS), new_path(spark, "tokens"))
+    path = new_path(spark, "tokens")
+    write_tokens(spark.createDataFrame([(None, "a", None, None, None)] * 2, DOCS), path)
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in read_index(spark, path).collect()) == [(None, 0, 2), (None, 2, 2)]
 
 
 @settings(max_examples=60, deadline=None)
