@@ -52,8 +52,9 @@ def _pooled(drawn: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _replicates(sse: DataFrame, cols: list[str], draws: int) -> DataFrame:
-    t = sse.select("idx", "n", *cols, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep"))
-    return t.withColumn("__u", _uniform(F.col("rep").cast("string"), F.col("idx").cast("string")))
+    """Every group in every replicate with its number; the number is made in the generator, so it is made once."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda r: F.struct(r.alias("rep"), _uniform(r.cast("string"), F.col("idx").cast("string")).alias("__u")))
+    return sse.select("idx", "n", *cols, F.inline(each))
 
 
 def bootstrap(sse: DataFrame, cols: list[str], draws: int) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql.utils import AnalysisException
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder named by the cluster; a temporary one takes its place only on one machine (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
         d = tempfile.mkdtemp(prefix="boreline-")
         spark.conf.set("spark.checkpoint.dir", d)
