@@ -24,9 +24,11 @@ def per_worker(key: object, make: Callable):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine) a temporary folder takes its place."""
+    """spark.checkpoint.dir; where it is unset on one machine (tests) a temporary folder takes its place."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
