@@ -529,6 +529,20 @@ def principal_direction(spark, sf):
     return M.principal_direction(B.series(spark, sf, xy=True), ["well"], "x", "y")
 
 
+@query("global_direction", "E26", "theta:d share:d n:l", f"""
+WITH {B.SERIES}, g AS (SELECT well, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM series GROUP BY well HAVING count(*) > 2),
+d AS (SELECT cos(0.5 * atan2(2 * c, vx - vy)) AS dx, sin(0.5 * atan2(2 * c, vx - vy)) AS dy FROM g),
+m AS (SELECT sum(dx * dx) AS a, sum(dx * dy) AS b, sum(dy * dy) AS c, count(*) AS n FROM d)
+SELECT 0.5 * atan2(2 * b, a - c) AS theta, (a + c + sqrt((a - c) ** 2 + 4 * b * b)) / (2 * (a + c)) AS share, n FROM m""")
+def global_direction(spark, sf):
+    """Principal axis of the series' own axes, each of length one, and its share of their moments; signs do not matter."""
+    d = M.principal_direction(B.series(spark, sf, xy=True).where("n > 2"), ["well"], "x", "y")
+    x, y = F.cos("theta"), F.sin("theta")
+    m = d.agg(F.sum(x * x).alias("a"), F.sum(x * y).alias("b"), F.sum(y * y).alias("c"), F.count(F.lit(1)).alias("n"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return m.select((0.5 * F.atan2(2 * b, a - c)).alias("theta"), ((a + c + F.hypot(a - c, 2 * b)) / (2 * (a + c))).alias("share"), "n")
+
+
 @query("mean_direction", "E26", "theta:d", f"""
 WITH {B.SERIES}, d AS (SELECT arg_max(x, seq) - arg_min(x, seq) AS dx, arg_max(y, seq) - arg_min(y, seq) AS dy FROM series GROUP BY well HAVING count(*) > 2),
 u AS (SELECT CASE WHEN dx < 0 THEN -1 ELSE 1 END * dx / greatest(sqrt(dx*dx+dy*dy), 1e-9) AS ux,
