@@ -6,11 +6,16 @@ farther than the diagonal of that cell, so the cells within two of it are enough
 and the answer is exact.  Dense regions use small cells, empty ones large cells.
 Points of the group that dominates a cell are kept apart, so queries of that very
 group never meet them.
+
+The quadtree is as deep as the points need: levels are added until no finest cell is
+crowded.  A cell whose points all lie in one cell of a finer level is replaced by that
+cell, so a far outlier adds levels but neither rounds nor candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from ..sources.store import materialize
 
 LEVELS = 12
+DEEPEST = 36
 CROWD = 512
 
 
@@ -60,8 +66,56 @@ def _reach(far: bool) -> Column:
             return F.greatest(F.abs(F.col(c) - lo), F.abs(F.col(c) - hi))
         return F.greatest(F.lit(0.0), lo - F.col(c), F.col(c) - hi)
 
-    slack = 1.000001 if far else 0.999999
-    return F.hypot(axis("u", "u0", "cx"), axis("v", "v0", "cy")) * slack
+    d = F.hypot(axis("u", "u0", "cx"), axis("v", "v0", "cy"))
+    return d * 1.000001 + _grain() if far else d * 0.999999 - _grain()
+
+
+def _grain() -> Column:
+    """More than the rounding of a cell's border, which small cells of a large square would notice."""
+    return (F.abs("u0") + F.abs("v0") + F.abs("u") + F.abs("v") + F.col("side")) * 2e-15
+
+
+def _up(c: str, by: Column) -> Column:
+    """Number of the ancestor cell: the lowest `by` bits dropped."""
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), by)).cast("long")
+
+
+def _tight(t: DataFrame, depth: int) -> DataFrame:
+    """Each cell with the finest cell that still holds all of its points (tl, tx, ty), from their ranges of finest cells."""
+    t = t.withColumn("__b", F.greatest(F.col("x0").bitwiseXOR(F.col("x1")), F.col("y0").bitwiseXOR(F.col("y1"))))
+    t = t.withColumn("__b", F.when(F.col("__b") > 0, F.length(F.bin("__b"))).otherwise(0))
+    return t.select("*", (F.lit(depth) - F.col("__b")).alias("tl"), _up("x0", F.col("__b")).alias("tx"), _up("y0", F.col("__b")).alias("ty")).drop("__b")
+
+
+def _tree(points: DataFrame, k: int, levels: int, crowd: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Frame, thinned points with their finest cells, counts per finest cell and group, counts per level, cell and group, depth.
+
+    From `levels` on, eight levels are added until no finest cell (with whole=False: no group in one) holds more than
+    `crowd` points, at most to DEEPEST, where a cell is 1.5e-11 of the square.  Counts are rolled up from the finest
+    cells, so points are not repeated per level."""
+    fr = _frame(points)
+    p = thin_coincident(points.select("id", "grp", "u", "v"), k, whole).withColumn("one", F.lit(1)).join(fr, "one")
+    p = materialize(p.withColumn("fx", _cell("u", "u0", F.lit(DEEPEST))).withColumn("fy", _cell("v", "v0", F.lit(DEEPEST))), "points")
+    depth = min(levels, DEEPEST)
+    while depth < DEEPEST:
+        by = F.lit(DEEPEST - depth)
+        full = p.groupBy(_up("fx", by).alias("a"), _up("fy", by).alias("b"), *([] if whole else ["grp"])).count()
+        if full.where(F.col("count") > max(crowd, 4 * k)).limit(1).count() == 0:
+            break
+        depth = min(depth + 8, DEEPEST)
+    by = F.lit(DEEPEST - depth)
+    p = p.withColumn("fx", _up("fx", by)).withColumn("fy", _up("fy", by))
+    fine = materialize(p.groupBy("fx", "fy", "grp").agg(F.count(F.lit(1)).alias("c")), "fine")
+    lift = F.lit(depth) - F.col("lvl")
+    t = fine.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    t = t.groupBy("lvl", _up("fx", lift).alias("cx"), _up("fy", lift).alias("cy"), "grp").agg(
+        F.sum("c").alias("c"), F.min("fx").alias("x0"), F.max("fx").alias("x1"), F.min("fy").alias("y0"), F.max("fy").alias("y1"))
+    return fr, p, fine, materialize(t, "tree"), depth
+
+
+def _tighten(t: DataFrame) -> DataFrame:
+    """Candidate cells moved to the finest cell with the same points."""
+    return t.drop("lvl", "cx", "cy").withColumnsRenamed({"tl": "lvl", "tx": "cx", "ty": "cy"})
 
 
 def refine(cand: DataFrame, part: list[str], k: int, levels: int, children: Callable[[DataFrame], DataFrame],
@@ -69,14 +123,19 @@ def refine(cand: DataFrame, part: list[str], k: int, levels: int, children: Call
     """Replace crowded candidate cells by their quarters and drop what lies beyond the k-th bound.
 
     The k-th bound of a search is the distance within which its nearest cells surely hold k points.  Rounds
-    run only while some candidate cell holds more than `crowd` (at least 4k) points, so even data needs none."""
+    run only while some candidate cell holds more than `crowd` (at least 4k) points, so even data needs none,
+    and only for the searches that have such a cell."""
     cand = materialize(cand, "cells")
     keep = cand.columns
     crowded = (F.col("fc") > max(crowd, 4 * k)) & (F.col("lvl") < levels)
     quarter = F.array(*[F.struct(F.lit(i).alias("qx"), F.lit(j).alias("qy")) for i in (0, 1) for j in (0, 1)])
+    settled = []
     for _ in range(levels):
         if cand.where(crowded).limit(1).count() == 0:
             break
+        busy = cand.where(crowded).select(*part).distinct()
+        settled.append(cand.join(busy, part, "left_anti").select(*keep))
+        cand = cand.join(busy, part, "left_semi").select(*keep)
         rest = [c for c in keep if c not in ("lvl", "cx", "cy", "fc")]
         sub = cand.where(crowded).select(*rest, (F.col("lvl") + 1).alias("lvl"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.inline(quarter))
         sub = sub.select(*rest, "lvl", (2 * F.col("px") + F.col("qx")).alias("cx"), (2 * F.col("py") + F.col("qy")).alias("cy"))
@@ -87,7 +146,7 @@ def refine(cand: DataFrame, part: list[str], k: int, levels: int, children: Call
         bound = F.min(F.when(F.col("__sum") >= k, F.col("__far"))).over(W.partitionBy(*part))
         nxt = nxt.withColumn("__b", bound).where(F.col("__b").isNull() | (_reach(False) <= F.col("__b")))
         cand = materialize(nxt.select(*keep), "cells")
-    return cand
+    return reduce(DataFrame.unionByName, settled, cand)
 
 
 def nearest_groups(queries: DataFrame, points: DataFrame, m: int, levels: int = LEVELS, crowd: int = CROWD) -> DataFrame:
@@ -95,17 +154,14 @@ def nearest_groups(queries: DataFrame, points: DataFrame, m: int, levels: int =
 
     The level of a query is the finest at which its cell holds m other groups, so the m-th group is within
     the diagonal.  Candidates are (cell, group) with counts; crowded ones are refined per group."""
+    fr, p, fine, by_grp, levels = _tree(points, 1, levels, crowd, whole=False)
     top = F.lit(levels)
-    fr = _frame(points)
-    p = thin_coincident(points.select("id", "grp", "u", "v"), 1, whole=False).withColumn("one", F.lit(1)).join(fr, "one")
-    p = p.withColumn("fx", _cell("u", "u0", top)).withColumn("fy", _cell("v", "v0", top))
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels)))
 
     def up(c):
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(levels) - F.col("lvl"))).cast("long")
+        return _up(c, top - F.col("lvl"))
 
-    fine = p.groupBy("fx", "fy", "grp").agg(F.count(F.lit(1)).alias("c"))
-    by_grp = fine.withColumn("lvl", lv).groupBy("lvl", up("fx").alias("cx"), up("fy").alias("cy"), "grp").agg(F.sum("c").alias("fc"))
+    by_grp = _tight(by_grp, levels).select("lvl", "cx", "cy", "grp", F.col("c").alias("fc"), "tl", "tx", "ty")
     kinds = by_grp.groupBy("lvl", "cx", "cy").agg(F.count(F.lit(1)).alias("kinds"))
     q = queries.select("qid", "qgrp", "u", "v").withColumn("one", F.lit(1)).join(fr, "one").drop("one")
     inside = (F.col("u") >= F.col("u0")) & (F.col("v") >= F.col("v0")) & (F.col("u") < F.col("u0") + F.col("side")) & (
@@ -125,8 +181,8 @@ def nearest_groups(queries: DataFrame, points: DataFrame, m: int, levels: int =
         "cy", F.when(F.col("__root"), F.lit(0)).otherwise(F.col("cy") + F.col("dy")))
     s = F.col("side") / F.pow(F.lit(2.0), F.col("lvl"))
     q = q.where(F.col("__root") | (_reach(False) <= s * 1.4142136 * 1.000001)).select("qid", "qgrp", "u", "v", "u0", "v0", "side", "lvl", "cx", "cy")
-    cand = q.join(by_grp, ["lvl", "cx", "cy"]).where(~F.col("grp").eqNullSafe(F.col("qgrp")))
-    cand = refine(cand, ["qid", "grp"], 1, levels, lambda d: d.join(by_grp, ["lvl", "cx", "cy", "grp"]), crowd)
+    cand = _tighten(q.join(by_grp, ["lvl", "cx", "cy"]).where(~F.col("grp").eqNullSafe(F.col("qgrp"))))
+    cand = refine(cand, ["qid", "grp"], 1, levels, lambda d: _tighten(d.join(by_grp, ["lvl", "cx", "cy", "grp"])), crowd)
     used = cand.select("lvl", "cx", "cy", "grp").distinct()
     asked = fine.select("fx", "fy", "grp").withColumn("lvl", lv).withColumn("cx", up("fx")).withColumn("cy", up("fy")).join(
         used, ["lvl", "cx", "cy", "grp"])
@@ -144,21 +200,17 @@ def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exc
     """queries(qid, qgrp, u, v) x points(id, grp, u, v) -> qid, id, dist, rank (1..k, ties by id)."""
     if not exclude_own:
         queries = queries.withColumn("qgrp", F.lit(None).cast(points.schema["grp"].dataType))
+    fr, p, fine, by_grp, levels = _tree(points, k, levels, crowd, whole=True)
     top = F.lit(levels)
-    fr = _frame(points)
-    p = thin_coincident(points.select("id", "grp", "u", "v"), k).withColumn("one", F.lit(1)).join(fr, "one")
-    p = p.withColumn("fx", _cell("u", "u0", top)).withColumn("fy", _cell("v", "v0", top))
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels)))
 
     def up(c):
-        """Ancestor cell: drop the low bits of the finest cell number."""
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(levels) - F.col("lvl"))).cast("long")
+        return _up(c, top - F.col("lvl"))
 
-    # Counts are rolled up from the finest cells, so points are not repeated per level.
-    fine = p.groupBy("fx", "fy", "grp").agg(F.count(F.lit(1)).alias("c"))
-    by_grp = fine.withColumn("lvl", lv).groupBy("lvl", up("fx").alias("cx"), up("fy").alias("cy"), "grp").agg(F.sum("c").alias("c"))
-    cells = by_grp.groupBy("lvl", "cx", "cy").agg(F.sum("c").alias("tot"), F.max(F.struct("c", "grp")).alias("top"))
-    cells = cells.select("lvl", "cx", "cy", "tot", F.col("top")["grp"].alias("dom"))
+    cells = by_grp.groupBy("lvl", "cx", "cy").agg(
+        F.sum("c").alias("tot"), F.max(F.struct("c", "grp")).alias("top"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))])
+    cells = materialize(_tight(cells, levels).select("lvl", "cx", "cy", "tot", F.col("top")["grp"].alias("dom"), "tl", "tx", "ty"), "tree")
+    by_grp = by_grp.select("lvl", "cx", "cy", "grp", "c")
 
     q = queries.select("qid", "qgrp", "u", "v").withColumn("one", F.lit(1)).join(fr, "one")
     q = q.withColumn("fx", _cell("u", "u0", top)).withColumn("fy", _cell("v", "v0", top))
@@ -185,10 +237,10 @@ def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exc
     s = F.col("side") / F.pow(F.lit(2.0), F.col("lvl"))
     gap = lambda c, o, n: F.greatest(F.lit(0.0), F.col(o) + F.col(n) * s - F.col(c),
                                      F.col(c) - (F.col(o) + (F.col(n) + 1) * s))
-    near = F.hypot(gap("u", "u0", "cx"), gap("v", "v0", "cy")) <= s * 1.4142136 * 1.000001
+    near = F.hypot(gap("u", "u0", "cx"), gap("v", "v0", "cy")) <= s * 1.4142136 * 1.000001 + _grain()
     q = q.where(F.col("__root") | near)
-    cand = q.select("qid", "qgrp", "u", "v", "u0", "v0", "side", "lvl", "cx", "cy").join(
-        cells.select("lvl", "cx", "cy", "tot"), ["lvl", "cx", "cy"])
+    spans = cells.select("lvl", "cx", "cy", "tot", "tl", "tx", "ty")
+    cand = _tighten(q.select("qid", "qgrp", "u", "v", "u0", "v0", "side", "lvl", "cx", "cy").join(spans, ["lvl", "cx", "cy"]))
     own = by_grp.select("lvl", "cx", "cy", F.col("grp").alias("qgrp"), "c")
 
     def counted(df):
@@ -196,7 +248,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, levels: int = LEVELS, exc
         t = df.join(own, ["lvl", "cx", "cy", "qgrp"], "left").withColumn("fc", F.col("tot") - F.coalesce("c", F.lit(0)))
         return t.where(F.col("fc") > 0).drop("c", "tot")
 
-    q = refine(counted(cand), ["qid"], k, levels, lambda d: counted(d.join(cells.select("lvl", "cx", "cy", "tot"), ["lvl", "cx", "cy"])), crowd)
+    q = refine(counted(cand), ["qid"], k, levels, lambda d: counted(_tighten(d.join(spans, ["lvl", "cx", "cy"]))), crowd)
     q = q.join(cells.select("lvl", "cx", "cy", "dom"), ["lvl", "cx", "cy"])
     parts = F.array_compact(F.array(F.lit(0), F.when(~F.col("qgrp").eqNullSafe(F.col("dom")), F.lit(1))))
     q = q.select("qid", "qgrp", F.col("u").alias("qu"), F.col("v").alias("qv"), "lvl", "cx", "cy", F.explode(parts).alias("part"))
@@ -223,7 +275,8 @@ def knn_stretched(queries: DataFrame, points: DataFrame, k: int, stretch: float,
     The farthest of k plain neighbours in the stretched metric bounds the k-th stretched distance, and a stretched distance is
     no less than the plain one: the points within that radius are enough.  They are in the nine cells about the query of the
     finest level whose cells are no smaller than the radius."""
-    fr, top = _frame(points), F.lit(float(levels))
+    fr, _, _, _, depth = _tree(points, k, levels, CROWD, whole=True)
+    top = F.lit(float(depth))
     q = queries.select("qid", "qgrp", F.col("u").alias("qu"), F.col("v").alias("qv"), "theta")
     p = points.select("id", "grp", F.col("u").alias("pu"), F.col("v").alias("pv"))
     du, dv = F.col("pu") - F.col("qu"), F.col("pv") - F.col("qv")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boreline.operators import match as X
 from boreline.operators import surface as SF
-from boreline.operators.knn import knn, nearest_groups
+from boreline.operators.knn import CROWD, _tree, knn, nearest_groups
 from boreline.operators.clusters import clusters
 from boreline.sources.store import materialize
 
@@ -34,19 +34,23 @@ def cloud(kind):
     elif kind == "coincident":     # a third of the points share one place
         u, v, g = RNG.uniform(0, 100, n), RNG.uniform(0, 100, n), RNG.integers(0, 6, n)
         u[:80], v[:80] = 33.0, 44.0
+    elif kind == "outlier":        # one point spans the square, a dense spot lies inside the rest
+        u, v, g = RNG.uniform(0, 100, n), RNG.uniform(0, 100, n), RNG.integers(0, 12, n)
+        u[0], v[0] = 1e7, -1e7
+        u[1:60], v[1:60] = 50 + RNG.normal(0, 1e-4, 59), 50 + RNG.normal(0, 1e-4, 59)
     else:                          # fewer foreign points than k
         u, v, g = RNG.uniform(0, 10, n), RNG.uniform(0, 10, n), np.zeros(n, int)
         g[:3] = 1
     return pd.DataFrame({"id": np.arange(n), "grp": g.astype("int64"), "u": u, "v": v})
 
 
-@pytest.mark.parametrize("kind", ["spread", "hot_group", "coincident", "few_foreign"])
+@pytest.mark.parametrize("kind", ["spread", "hot_group", "coincident", "few_foreign", "outlier"])
 def test_knn_matches_brute_force(spark, kind):
     p = cloud(kind)
     q = p.rename(columns={"id": "qid", "grp": "qgrp"})
     extra = pd.DataFrame({"qid": [9001, 9002], "qgrp": [0, 99], "u": [-500.0, 2e4], "v": [3.0, 2e4]})
     q = pd.concat([q, extra], ignore_index=True)
-    got = knn(spark.createDataFrame(q), spark.createDataFrame(p), 5, levels=7).toPandas()
+    got = knn(spark.createDataFrame(q), spark.createDataFrame(p), 5, levels=7, crowd=20 if kind == "outlier" else CROWD).toPandas()
     want = brute(q, p, 5)
     for qid, near in want.items():
         g = got[got.qid == qid].sort_values("rank")
@@ -74,6 +78,20 @@ def test_refinement_of_crowded_cells(spark, kind):
         assert g["id"].tolist() == c["id"].tolist() and g["grp"].tolist() == c["grp"].tolist()
 
 
+def test_tree_is_as_deep_as_the_points_need(spark):
+    p = spark.createDataFrame(cloud("outlier"))
+    _, t, fine, tree, depth = _tree(p, 1, 7, 20, True)
+    assert depth > 24 and fine.groupBy("fx", "fy").agg(F.sum("c").alias("c")).agg(F.max("c")).first()[0] <= 20
+    assert tree.groupBy("lvl").agg(F.sum("c").alias("c")).where("c <> 240").count() == 0
+    q = p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v")
+    near, pd_p = nearest_groups(q, p, 3, levels=4, crowd=8).toPandas(), p.toPandas()
+    for r in pd_p.head(30).itertuples():
+        c = pd_p[pd_p.grp != r.grp].assign(d=lambda t: np.hypot(t.u - r.u, t.v - r.v)).sort_values(["d", "id"]).groupby("grp").head(1).head(3)
+        assert near[near.qid == r.id].sort_values("rank")["id"].tolist() == c["id"].tolist()
+    even = spark.createDataFrame(cloud("spread"))
+    assert _tree(even, 1, 7, CROWD, True)[4] == 7
+
+
 def test_plane_with_large_ridge_is_inverse_distance(spark):
     nb = pd.DataFrame({"qid": 1, "dist": [1.0, 2.0, 3.0], "du": [1.0, 0, -3], "dv": [0.0, 2, 0], "h": [10.0, 20, 60]})
     df = spark.createDataFrame(nb)
