@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import add, bin_centers, clip, curve_value, row_mean, row_median
+from ..functions.cols import add, bin_centers, clip, curve_value, row_mean, row_median, softmax
 from ..functions.small_solve import solve2, solve3, solve_definite
 
 W_MIN, W_MAX = 0.05, 0.9
@@ -191,3 +191,58 @@ def combine(names: list[str], err: list[str], temp: float = 1.0) -> dict[str, Co
             "inv4": mixed([1 / (x * x * x * x) for x in e]), "soft": mixed([F.exp(-(x / lowest)) for x in e]),
             "softmax": mixed([F.exp(-(x * x) / (temp * low_mse)) for x in e]),
             "top2": (best + F.coalesce(second, best)) / 2}
+
+
+def combine_full(names: list[str], mse: list[str], good: list[str], top: int = 2) -> dict[str, Column]:
+    """Ways to merge predictions over a whole series by their mean squared error in its known part, one column each.
+
+    good: whether a member has a value in every unknown row; members that have not are left out, unless none has, when all
+    count.  Weights are of the series; a missing value of a weighted member adds nothing to its row (the other weights stay),
+    means and medians are of the values there are."""
+    none = ~reduce(lambda a, b: a | b, [F.col(g) for g in good])
+    ok = [none | F.col(g) for g in good]
+    p = [F.when(k, F.col(n)) for k, n in zip(ok, names)]
+    e = [F.when(k, F.col(x)) for k, x in zip(ok, mse)]
+    order = F.array_sort(F.array_compact(F.array(*[F.when(x.isNotNull(), F.struct(x.alias("e"), F.lit(i).alias("i"), F.col(n).alias("v")))
+                                                   for i, (x, n) in enumerate(zip(e, names))])))
+    best = [F.get(order, F.lit(i))["v"] for i in range(top)]
+
+    def weighted(w):
+        w = [F.coalesce(x, F.lit(0.0)) for x in w]
+        return add(*[a * F.coalesce(F.col(n), F.lit(0.0)) for a, n in zip(w, names)]) / F.nullif(add(*w), F.lit(0.0))
+
+    low = F.greatest(F.least(*e), F.lit(1e-6))
+    return {"mean": row_mean(p), "median": row_median(p), "best": best[0], "topn": row_mean(best),
+            "winv": weighted([1 / F.greatest(x, F.lit(1e-6)) for x in e]), "softmax": weighted([F.exp(-x / low) for x in e])}
+
+
+def standard_softmax(rows: DataFrame, features: dict[str, Column], theta: dict[str, list[float]], out: str = "w_") -> DataFrame:
+    """Weights w_<member> from linear scores of features scaled to mean 0 and deviation 1 over all rows.
+
+    theta: per member an intercept and one coefficient a feature; a member with an empty list scores 0.  Means and
+    deviations are one row, joined on a constant; a constant feature scales to 0."""
+    z = rows.withColumns({f"__{k}": v.cast("double") for k, v in features.items()})
+    st = z.agg(*[f(f"__{k}").alias(f"__{t}_{k}") for k in features for t, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = z.withColumn("__one", F.lit(1)).join(st.withColumn("__one", F.lit(1)), "__one")
+    scaled = [F.when(F.col(f"__s_{k}") > 0, (F.col(f"__{k}") - F.col(f"__m_{k}")) / F.col(f"__s_{k}")).otherwise(0.0) for k in features]
+    score = [add(F.lit(float(c[0])), *[b * x for b, x in zip(c[1:], scaled)]) if c else F.lit(0.0) for c in theta.values()]
+    w = softmax(score)
+    return z.withColumns({f"{out}{m}": x for m, x in zip(theta, w)}).select(*rows.columns, *[f"{out}{m}" for m in theta])
+
+
+def postprocess_grid(df: DataFrame, cases: dict[tuple, tuple[Column, Column]], base: Column, alphas: list[float], shares: list[float]) -> DataFrame:
+    """RMSE of alpha * ((1 - share) * a + share * b) against `base` for every case (a, b) and every alpha and share.
+
+    case names become columns c0, c1 ...  The error is a quadratic form of a, b and the truth, so six sums a case are taken
+    in one pass over the rows and the settings are worked out on one row."""
+    sums = {}
+    for i, (a, b) in enumerate(cases.values()):
+        sums |= {f"aa{i}": a * a, f"bb{i}": b * b, f"ab{i}": a * b, f"ra{i}": base * a, f"rb{i}": base * b}
+    g = df.agg(F.count(F.lit(1)).alias("n"), F.sum(base * base).alias("rr"), *[F.sum(v).alias(k) for k, v in sums.items()])
+    rows = F.array(*[F.struct(*[F.lit(c).alias(f"c{j}") for j, c in enumerate(name)], *[F.col(f"{s}{i}").alias(s) for s in ("aa", "bb", "ab", "ra", "rb")])
+                     for i, name in enumerate(cases)])
+    settings = F.array(*[F.struct(F.lit(float(al)).alias("alpha"), F.lit(float(w)).alias("share")) for al in alphas for w in shares])
+    g = g.select("n", "rr", F.inline(rows)).select("*", F.inline(settings))
+    u, v = F.col("alpha") * (1 - F.col("share")), F.col("alpha") * F.col("share")
+    sse = F.col("rr") - 2 * u * F.col("ra") - 2 * v * F.col("rb") + u * u * F.col("aa") + 2 * u * v * F.col("ab") + v * v * F.col("bb")
+    return g.withColumn("rmse", F.sqrt(F.greatest(sse, F.lit(0.0)) / F.col("n"))).drop("rr", "aa", "bb", "ab", "ra", "rb")

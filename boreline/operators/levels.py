@@ -107,3 +107,18 @@ def theil_sen(df: DataFrame, keys: list[str], x: Column, y: Column, at: Column,
     slopes = group_quantiles(pairs, keys, (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa")), {"slope": 0.5})
     out = df.select(*keys).distinct().join(slopes, keys, "left")
     return out.select(*keys, F.when(F.col("slope").isNull(), 0.0).otherwise(F.least(F.greatest(F.col("slope"), F.lit(-limit)), F.lit(limit))).alias("slope"))
+
+
+def guarded_slope(df: DataFrame, keys: list[str], x: Column, y: Column, at: Column, rows: Column, points: int = 150, min_rows: int = 20,
+                  min_extent: float = 100.0, limit: float = 0.006) -> DataFrame:
+    """theil_sen over all pairs of the thinned tail; 0 for a tail with fewer than min_rows of its points or no more than min_extent in x."""
+    kept = F.pmod(at, F.ceil(rows / points)) == 0
+    wide = (F.count(F.when(kept, x)) >= min_rows) & (F.max(F.when(kept, x)) - F.min(F.when(kept, x)) > min_extent)
+    ok = df.groupBy(*keys).agg(wide.alias("__ok"))
+    s = theil_sen(df, keys, x, y, at, rows, points, 0.0, limit).join(ok, keys)
+    return s.select(*keys, F.when(F.col("__ok"), F.col("slope")).otherwise(0.0).alias("slope"))
+
+
+def damped(far: Column, slope: Column, reach: float) -> dict[str, Column]:
+    """What a slope adds at a distance: `lin` dies away again, `sat` tends to slope * reach."""
+    return {"lin": slope * far * F.exp(-far / reach), "sat": slope * reach * (1 - F.exp(-far / reach))}

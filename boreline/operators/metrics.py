@@ -139,6 +139,13 @@ def principal_direction(df: DataFrame, keys: list[str], x: str, y: str) -> DataF
                     (0.5 * (F.col("vx") + F.col("vy") + F.hypot(F.col("vx") - F.col("vy"), 2 * F.col("cxy")))).alias("major"))
 
 
+def chord_direction(df: DataFrame, keys: list[str], x: str, y: str, order: Column) -> DataFrame:
+    """Angle from the first to the last point of each group; 0 where they coincide."""
+    at = F.struct(order.alias("o"), F.col(x).alias("x"), F.col(y).alias("y"))
+    g = df.groupBy(*keys).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    return g.select(*keys, F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")).alias("theta"))
+
+
 def ensemble_weights(ll: DataFrame, keys: list[str], scales: list[float], beta: float) -> DataFrame:
     """Member weights per group from log-likelihoods: softmax at each scale averaged, softmax at
     beta times the spread (equal when the spread is 0), and the rank by likelihood (lowest member first)."""

@@ -63,20 +63,25 @@ def reanchor(df: DataFrame, keys: list[str], v: str, first_seq: Column, level: s
 
 def savgol(df: DataFrame, keys: list[str], v: str, pos: Column, n: Column, out: str,
            width: int = 17) -> DataFrame:
-    """Cubic least-squares smoothing.  `pos` is the 0-based position in a run of `n` rows.
+    """savgol_many of one column."""
+    return savgol_many(df, keys, {out: v}, pos, n, width)
+
+
+def savgol_many(df: DataFrame, keys: list[str], columns: dict[str, str], pos: Column, n: Column, width: int = 17) -> DataFrame:
+    """columns (result: input), all in one pass of the frames.  Cubic least-squares smoothing.  `pos` is the 0-based position in a run of `n` rows.
 
     The window shrinks to the largest odd size that fits (values pass through
     below 5); edge rows take the value of the cubic fitted to the first or last
     window.  Weights come from the discrete orthogonal polynomials of degree 0-3."""
     half = width - 1
     t = df.withColumn("__i", pos).withColumn("__n", n)
-    t = framed(t, keys, half, lambda w: {"__a": F.collect_list(v).over(w.rowsBetween(-half, half))})
+    frames = {v: f"__a{i}" for i, v in enumerate(dict.fromkeys(columns.values()))}
+    t = framed(t, keys, half, lambda w: {a: F.collect_list(v).over(w.rowsBetween(-half, half)) for v, a in frames.items()})
     wl = F.least(F.lit(width), F.when(F.col("__n") % 2 == 1, F.col("__n")).otherwise(F.col("__n") - 1))
     t = t.withColumn("__wl", wl.cast("int")).withColumn("__m", ((F.col("__wl") - 1) / 2).cast("int"))
     start = F.greatest(F.lit(0), F.least(F.col("__i") - F.col("__m"), F.col("__n") - F.col("__wl")))
     t = t.withColumn("__s", start).withColumn("__u", (F.col("__i") - start - F.col("__m")).cast("double"))
     first = F.greatest(F.lit(0), F.col("__i") - half)
-    seg = F.slice("__a", (F.col("__s") - first + 1).cast("int"), F.greatest(F.col("__wl"), F.lit(1)))
     m = F.col("__m").cast("double")
     n0, k = 2 * m + 1, m * (m + 1)
     edge = (2 * m - 1) * (2 * m + 3)
@@ -94,9 +99,12 @@ def savgol(df: DataFrame, keys: list[str], v: str, pos: Column, n: Column, out:
         return val * (1 / n0 + q * u * 3 / (k * n0) + p2(q) * p2(u) * 45 / (k * n0 * edge)
                       + p3(q) * p3(u) * 175 / (k * n0 * edge * (m - 1) * (m + 2)))
 
-    smooth = F.aggregate(F.transform(seg, weighted), F.lit(0.0), lambda a, b: a + b)
-    t = t.withColumn(out, F.when(F.col("__wl") >= 5, smooth).otherwise(F.col(v)))
-    return t.drop("__i", "__n", "__a", "__wl", "__m", "__s", "__u")
+    def smooth(v):
+        seg = F.slice(frames[v], (F.col("__s") - first + 1).cast("int"), F.greatest(F.col("__wl"), F.lit(1)))
+        return F.aggregate(F.transform(seg, weighted), F.lit(0.0), lambda a, b: a + b)
+
+    t = t.withColumns({out: F.when(F.col("__wl") >= 5, smooth(v)).otherwise(F.col(v)) for out, v in columns.items()})
+    return t.drop("__i", "__n", "__wl", "__m", "__s", "__u", *frames.values())
 
 
 def gaussian_lowpass(df: DataFrame, keys: list[str], v: str, sigma: float, out: str) -> DataFrame:

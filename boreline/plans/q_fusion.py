@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import add, clip, curve_value, bin_centers, ramp_up, sigmoid_gate, softmax
 from ..operators import fuse as U
 from ..operators import metrics as M
+from ..operators import series as S
 from . import bindings as B
 from .q_stats import MD_EDGES, MIN_BIN, NN_EDGES, binned_sql, sq, sql_bins
 from .registry import query
@@ -478,6 +479,90 @@ def postprocess_sweep(spark, sf):
     return U.wide_sweep(mix(spark, sf), v)
 
 
+ALPHAS, TAUS, SHARES = [0.8, 0.85, 0.9, 0.95, 1.0], [0, 50, 85, 150], [0.0, 0.05, 0.1, 0.15, 0.2]
+
+
+@query("postprocess_smoothed", "F20", "alpha:d tau:l share:d smooth:b n:l rmse:d", f"""
+WITH {MIX}, r AS (SELECT well, seq - cut AS i, n_pred AS n, least(17, n_pred - (n_pred + 1) % 2) AS wl, t, y - f AS r, rp * (g - f) AS a, rp * (m - f) AS b
+  FROM (SELECT *, CASE WHEN t > 0 THEN 1 - exp(-greatest(md_since, 0) / t) ELSE 1 END AS rp FROM mix, (SELECT unnest({TAUS}) AS t))),
+w AS (SELECT *, (wl - 1) // 2 AS m, greatest(0, least(i - (wl - 1) // 2, n - wl)) AS st FROM r),
+j AS (SELECT a.well, a.t, a.i, a.r, a.a AS sa, a.b AS sb, a.wl, CAST(a.m AS DOUBLE) AS m, CAST(a.i - a.st - a.m AS DOUBLE) AS u,
+  CAST(b.i - a.st - a.m AS DOUBLE) AS q, b.a AS a, b.b AS b FROM w a JOIN w b ON a.well = b.well AND a.t = b.t AND b.i BETWEEN a.st AND a.st + greatest(a.wl, 1) - 1),
+k AS (SELECT *, m * (m + 1) AS k, 2 * m + 1 AS n0, (2 * m - 1) * (2 * m + 3) AS e FROM j),
+c AS (SELECT *, 1 / n0 + q * u * 3 / (k * n0) + (q*q - k/3) * (u*u - k/3) * 45 / (k * n0 * e)
+  + (q*q*q - q*(3*k-1)/5) * (u*u*u - u*(3*k-1)/5) * 175 / (k * n0 * e * (m-1) * (m+2)) AS c FROM k),
+s AS (SELECT t, any_value(r) AS r, CASE WHEN any_value(wl) >= 5 THEN sum(c * a) ELSE any_value(sa) END AS a, CASE WHEN any_value(wl) >= 5 THEN sum(c * b) ELSE any_value(sb) END AS b FROM c GROUP BY well, t, i),
+x AS (SELECT t, false AS smooth, r, a, b FROM r UNION ALL SELECT t, true, r, a, b FROM s)
+SELECT alpha, t AS tau, share, smooth, count(*) AS n, sqrt(avg((r - alpha * ((1 - share) * a + share * b)) ** 2)) AS rmse
+FROM x, (SELECT unnest({ALPHAS})::DOUBLE AS alpha), (SELECT unnest({SHARES})::DOUBLE AS share) GROUP BY alpha, t, share, smooth""", digits=5)
+def postprocess_smoothed(spark, sf):
+    """Shrink, ramp, member share and smoothing: 200 settings.  Smoothing is linear, so the two deviations are smoothed once per ramp."""
+    t, raw, smooth = mix(spark, sf), {}, {}
+    for tau in TAUS:
+        ramp = ramp_up(F.col("md_since"), float(tau)) if tau else F.lit(1.0)
+        t = t.withColumns({f"a{tau}": ramp * (F.col("g") - F.col("f")), f"b{tau}": ramp * (F.col("m") - F.col("f"))})
+        raw[(tau, False)] = (F.col(f"a{tau}"), F.col(f"b{tau}"))
+        smooth[(tau, True)] = (F.col(f"sa{tau}"), F.col(f"sb{tau}"))
+    t = S.savgol_many(t, ["well"], {f"s{c}{tau}": f"{c}{tau}" for tau in TAUS for c in "ab"}, F.col("seq") - F.col("cut"), F.col("n_pred"))
+    g = U.postprocess_grid(t, raw | smooth, F.col("y") - F.col("f"), ALPHAS, SHARES)
+    return g.withColumnsRenamed({"c0": "tau", "c1": "smooth"})
+
+
+FULL = ["mean", "median", "best", "topn", "winv", "softmax"]
+
+
+@query("surface_combine_full", "F19", "variant:s known:b n:l rmse:d", f"""
+WITH {B.SERIES}, a AS (SELECT well, max(tvt) FILTER (seq = cut - 1) AS f, max(z) FILTER (seq = cut - 1) AS z0, avg(tvt) FILTER (seq < cut) AS p,
+  regr_slope(tvt, md) FILTER (seq < cut) AS sl, regr_intercept(tvt, md) FILTER (seq < cut) AS ic FROM ev GROUP BY well),
+x AS (SELECT well, seq, seq < cut AS known, cut, tvt AS y, ic + sl * md AS g, CASE WHEN well % 3 <> 0 OR event_id % 5 <> 0 THEN f + z0 - z END AS l,
+  CASE WHEN well % 4 <> 0 OR seq >= cut THEN p + (event_id * 7919 % 201 - 100) / 20.0 END AS m FROM ev JOIN a USING (well)),
+e AS (SELECT well, {', '.join(f"avg((y-{c})**2) FILTER (seq < cut AND seq >= cut - 40) AS e{c}, coalesce(bool_and({c} IS NOT NULL) FILTER (seq >= cut), false) AS k{c}" for c in MEM)} FROM x GROUP BY well),
+k AS (SELECT well, {', '.join(f"CASE WHEN k{c} OR NOT (kg OR kl OR km) THEN e{c} END AS e{c}, k{c} OR NOT (kg OR kl OR km) AS k{c}" for c in MEM)} FROM e),
+w AS (SELECT *, greatest(least(eg, el, em), 1e-6) AS lo, list_sort(list_filter([{', '.join(f"{{'e': e{c}, 'i': {i}}}" for i, c in enumerate(MEM))}], lambda s: s.e IS NOT NULL)) AS o FROM k),
+v AS (SELECT well, known, y, list_filter([{', '.join(f"CASE WHEN k{c} THEN {c} END" for c in MEM)}], lambda q: q IS NOT NULL) AS p, list_transform(o[1:2], lambda s: [g, l, m][s.i + 1]) AS b,
+  {', '.join(f"coalesce(1 / greatest(e{c}, 1e-6), 0) AS i{c}, coalesce(exp(-e{c} / lo), 0) AS s{c}" for c in MEM)}, coalesce(g, 0) AS g, coalesce(l, 0) AS l, coalesce(m, 0) AS m FROM x JOIN w USING (well)),
+c AS (SELECT known, y, list_avg(p) AS mean, list_median(p) AS median, b[1] AS best, list_avg(b) AS topn,
+  (ig*g + il*l + im*m) / nullif(ig + il + im, 0) AS winv, (sg*g + sl*l + sm*m) / nullif(sg + sl + sm, 0) AS softmax FROM v)
+{' UNION ALL '.join(f"SELECT '{v}' AS variant, known, count({v}) AS n, sqrt(avg((y - {v})**2)) AS rmse FROM c GROUP BY known" for v in FULL)}""", digits=5)
+def surface_combine_full(spark, sf):
+    """Six ways to merge three predictions over whole series, known part included; two members have gaps."""
+    s = B.evaluable(B.series(spark, sf))
+    x = s.join(B.anchors(s).select("well", "f", "z0", "p", "sl", "ic"), "well")
+    seq, cut, post = F.col("seq"), F.col("cut"), F.col("seq") >= F.col("cut")
+    x = x.select("well", (~post).alias("known"), (~post & (seq >= cut - 40)).alias("scored"), F.col("tvt").alias("y"), (F.col("ic") + F.col("sl") * F.col("md")).alias("g"),
+                 F.when((F.col("well") % 3 != 0) | (F.col("event_id") % 5 != 0), F.col("f") + F.col("z0") - F.col("z")).alias("l"),
+                 F.when((F.col("well") % 4 != 0) | post, F.col("p") + (F.col("event_id") * 7919 % 201 - 100) / 20.0).alias("m"))
+    e = x.groupBy("well").agg(*[F.avg(F.when(F.col("scored"), err2(F.col(c)))).alias(f"e{c}") for c in MEM],
+                              *[F.coalesce(F.bool_and(F.when(~F.col("known"), F.col(c).isNotNull())), F.lit(False)).alias(f"k{c}") for c in MEM])
+    p = U.combine_full(MEM, [f"e{c}" for c in MEM], [f"k{c}" for c in MEM])
+    g = x.join(e, "well").groupBy("known").agg(*[f(err2(v)).alias(f"{t}_{k}") for k, v in p.items() for t, f in (("n", F.count), ("q", F.avg))])
+    return g.select("known", F.inline(F.array(*[F.struct(F.lit(k).alias("variant"), F.col(f"n_{k}").alias("n"), F.sqrt(f"q_{k}").alias("rmse")) for k in FULL])))
+
+
+THETA = {"g": [-0.3, 0.5, 0.2, -0.4], "m": [], "l": [-0.6, -0.2, 0.3, 0.25]}
+
+
+@query("spread_point_weights", "F8", "well:l seq:l wg:d wm:d wl:d pred:d logpred:d", f"""
+WITH {B.ENS}, mix AS (SELECT *, f + z0 - z AS l, p + (event_id * 7919 % 201 - 100) / 20.0 AS m FROM cand),
+sd AS (SELECT well, seq, stddev_pop(value) AS sd FROM ens GROUP BY well, seq),
+t AS (SELECT mix.*, sd, ln(1 + nn) AS x1, md_since / 1000 AS x2, {LN} AS ln, ln(greatest(sd, 0.1)) AS ls FROM mix JOIN sd USING (well, seq)),
+z AS (SELECT t.*, coalesce((x1 - avg(x1) OVER ()) / nullif(stddev_pop(x1) OVER (), 0), 0) AS z1, coalesce((x2 - avg(x2) OVER ()) / nullif(stddev_pop(x2) OVER (), 0), 0) AS z2,
+  coalesce((sd - avg(sd) OVER ()) / nullif(stddev_pop(sd) OVER (), 0), 0) AS z3 FROM t),
+u AS (SELECT *, exp(-0.3 + 0.5*z1 + 0.2*z2 - 0.4*z3) AS eg, exp(-0.6 - 0.2*z1 + 0.3*z2 + 0.25*z3) AS el,
+  exp(-0.2 + 0.4*x2 - 0.1*ln + 0.15*ls) AS ga, exp(-3 + 0.2*x2 + 0.3*ln - 0.1*ls) AS la FROM z)
+SELECT well, seq, eg / (eg + 1 + el) AS wg, 1 / (eg + 1 + el) AS wm, el / (eg + 1 + el) AS wl, (eg*g + m + el*l) / (eg + 1 + el) AS pred, (ga*g + m + la*l) / (ga + 1 + la) AS logpred FROM u""")
+def spread_point_weights(spark, sf):
+    """Weights from distance, depth and the spread of the replicas: standardised coefficients, and stored ones on logarithms."""
+    sd = B.ens(spark, sf).groupBy("well", "seq").agg(F.stddev_pop("value").alias("sd"))
+    t = mix(spark, sf).join(sd, ["well", "seq"])
+    md = F.col("md_since") / 1000
+    w = U.standard_softmax(t, {"x1": F.log1p("nn"), "x2": md, "x3": F.col("sd")}, THETA, "w")
+    ln, ls = F.log(F.greatest(F.col("nn"), F.lit(1.0))), F.log(F.greatest(F.col("sd"), F.lit(0.1)))
+    stored = softmax([-0.2 + 0.4 * md - 0.1 * ln + 0.15 * ls, F.lit(0.0), -3 + 0.2 * md + 0.3 * ln - 0.1 * ls])
+    order = ["g", "m", "l"]
+    return w.select("well", "seq", "wg", "wm", "wl", blend([F.col(f"w{c}") for c in order], order).alias("pred"), blend(stored, order).alias("logpred"))
+
+
 @query("greedy_layers", "F21", "step:l variant:s rmse:d")
 def greedy_layers(spark, sf):
     """Forward chain of layers: each step scores the remaining layers in Spark and keeps the best one.

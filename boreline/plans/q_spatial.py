@@ -240,6 +240,18 @@ def aligned_metric_exact(spark, sf):
     return knn_stretched(p.join(th, "grp").select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v", "theta"), p, 4, 4.0)
 
 
+@query("aligned_metric_chord", "I6", "qid:l id:l dist:d rank:l", f"""
+WITH {SMALL}, th AS (SELECT grp, atan2(arg_max(v, id) - arg_min(v, id), arg_max(u, id) - arg_min(u, id)) AS t FROM sp GROUP BY grp),
+nb AS (SELECT a.id AS qid, b.id, sqrt((4 * ((b.u-a.u)*cos(t) + (b.v-a.v)*sin(t)))**2 + ((b.v-a.v)*cos(t) - (b.u-a.u)*sin(t))**2) AS dist
+  FROM sp a JOIN th ON th.grp = a.grp JOIN sp b ON a.grp <> b.grp)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM nb QUALIFY rank <= 4""", digits=5)
+def aligned_metric_chord(spark, sf):
+    """Neighbours in the metric stretched along the line from the first to the last point of the query's own series."""
+    p = small(spark, sf)
+    th = M.chord_direction(p, ["grp"], "u", "v", F.col("id"))
+    return knn_stretched(p.join(th, "grp").select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v", "theta"), p, 4, 4.0)
+
+
 @query("surface_prediction", "I7", "qgrp:l c:d nn:d rmse:d n:l", f"""
 WITH {VAL}, s AS (SELECT qid, qgrp, min(dist) AS nn, sum(w * h2) / sum(w) AS s FROM nv GROUP BY qid, qgrp),
 t AS (SELECT s.*, u * v / 100 AS truth, v / 10 AS z, row_number() OVER (PARTITION BY qgrp ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY qgrp) AS k FROM s JOIN sp ON sp.id = qid),

@@ -9,6 +9,7 @@ from ..operators import calibrate as K
 from ..operators import levels as LV
 from ..operators import metrics as M
 from ..operators import series as S
+from ..operators.fuse import wide_sweep
 from ..operators.lookup import curve_lookup
 from ..operators.quantiles import group_quantiles
 from . import bindings as B
@@ -334,6 +335,31 @@ def median_rate(spark, sf):
     return g.withColumn("rate", F.when(F.col("k") >= 3, F.col("m")).otherwise(0.0))
 
 
+REACH = [50.0, 200.0, 1000.0]
+
+
+@query("damped_trends", "E16", "variant:s n:l rmse:d", f"""
+WITH {ANCH}, t AS (SELECT well, h, r, seq - greatest(cut - 60, 0) AS i, least(cut, 60) AS nt FROM pa WHERE seq < cut AND seq >= cut - 60),
+k AS (SELECT well, h, r FROM t WHERE i % CAST(ceil(nt / 20.0) AS BIGINT) = 0),
+ok AS (SELECT well, count(*) >= 10 AND max(h) - min(h) > 100 AS ok FROM k GROUP BY well),
+m AS (SELECT a.well, median((b.r - a.r) / (b.h - a.h)) AS s FROM k a JOIN k b ON a.well = b.well AND b.h > a.h GROUP BY a.well),
+sl AS (SELECT well, CASE WHEN ok AND s IS NOT NULL THEN least(greatest(s, -0.05), 0.05) ELSE 0 END AS s FROM ok LEFT JOIN m USING (well)),
+e0 AS (SELECT well, median(r) AS e0 FROM pa WHERE seq < cut AND seq >= cut - 30 GROUP BY well),
+x AS (SELECT r - e0 AS e, s, h, q FROM pa JOIN sl USING (well) JOIN e0 USING (well), (SELECT unnest({REACH})::DOUBLE AS q) WHERE seq >= cut)
+SELECT 'lin_' || CAST(q AS BIGINT) AS variant, count(*) AS n, sqrt(avg((e - s * h * exp(-h / q)) ** 2)) AS rmse FROM x GROUP BY q UNION ALL
+SELECT 'sat_' || CAST(q AS BIGINT), count(*), sqrt(avg((e - s * q * (1 - exp(-h / q))) ** 2)) FROM x GROUP BY q""", digits=5)
+def damped_trends(spark, sf):
+    """Level of the last rows and a robust slope of the residual whose extrapolation is damped with distance, over three reaches."""
+    t = anchored(spark, sf)
+    pre = t.where(S.in_last_known(60))
+    s = LV.guarded_slope(pre, ["well"], F.col("h"), F.col("r"), F.col("seq") - F.greatest(F.col("cut") - 60, F.lit(0)), F.least("cut", F.lit(60)),
+                         points=20, min_rows=10, limit=0.05)
+    e0 = group_quantiles(t.where(S.in_last_known(30)), ["well"], F.col("r"), {"e0": 0.5})
+    post = t.where(F.col("seq") >= F.col("cut")).join(s, "well").join(e0, "well")
+    e = F.col("r") - F.col("e0")
+    return wide_sweep(post, {f"{k}_{int(q)}": (e - v) * (e - v) for q in REACH for k, v in LV.damped(F.col("h"), F.col("slope"), q).items()})
+
+
 def huber_line_sql(rounds: int) -> str:
     """Unrolled reweighted line fits over hl(well, x, y)."""
     def fit(w, frm):
