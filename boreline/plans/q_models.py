@@ -9,7 +9,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from ..functions.cols import row_mean, row_std
+from ..functions.cols import row_mean, row_median, row_std
 from ..operators import fuse as U
 from ..operators import metrics as M
 from ..operators import residual as R
@@ -232,6 +232,52 @@ def derived_point_features(spark, sf):
                     (c("gr") - c("gr21")).alias("rough"))
 
 
+#: Masked-tail cuts and the candidates scored there (name of the feature: column of `mix`).
+BT_TAGS, BT_NAMES = {"bt50": 0.5, "bt75": 0.75}, {"S": "s", "P": "p", "Z": "l", "B": "m", "G": "g"}
+EXT = {
+    "blend": "0.25 * dS + 0.75 * dP", "dis_P_S": "dP - dS", "dis_P_Z": "dP - dZc", "dis_P_B": "dP - dB", "dis_S_G": "dS - dG", "dis_S_flat": "dS - dZc",
+    "dis_B_flat": "dB - dZc", "p_rate": "pstd / greatest(md_since, 1)", "z_rate": "zstd / greatest(md_since, 1)", "pz_ratio": "pstd / greatest(zstd, 0.001)",
+    "gr_z": "(grm21 - gr_pre_m) / greatest(gr_pre_s, 0.001)", "gr_mis_P": "grm21 - twgr_P", "gr_mis_S": "grm21 - twgr_S",
+    "gr_mis_P_n": "(grm21 - twgr_P) / greatest(pfx_gr, 0.001)", "gr_mis_S_n": "(grm21 - twgr_S) / greatest(pfx_gr, 0.001)", "gr_rough": "gr - grm21",
+    "nn_pre": "nn_pre", "z_pre_s": "z_pre_s", "slope": "slope", "d0S": "d0S", "d0G": "d0G", "d0B": "d0B", "ps_frac": "ps_frac"}
+for _t in BT_TAGS:
+    EXT |= {f"{_t}_{k}": f"{_t}_{k}" for k in BT_NAMES}
+    EXT |= {f"{_t}_rate_{k}": f"{_t}_{k} / greatest({_t}_md, 1)" for k in "SP"}
+    EXT |= {f"{_t}_P_m_{k}": f"{_t}_P - {_t}_{k}" for k in "SZB"}
+    EXT[f"{_t}_best"] = f"least({', '.join(f'{_t}_{k}' for k in BT_NAMES)})"
+EXT["bt_reach"] = "md_since / greatest(bt75_md, 1)"
+BT_SQL = ", ".join(f"sqrt(avg((bt.y - {'btm' if c in 'lm' else 'bt'}.{c}) ** 2) FILTER (bt.frac = {q})) AS {t}_{k}" for t, q in BT_TAGS.items() for k, c in BT_NAMES.items())
+MD_SQL = ", ".join(f"CASE WHEN round_even({q} * e.cut, 0) >= 20 AND e.cut - round_even({q} * e.cut, 0) >= 5 THEN any_value(md0) - max(e.md) FILTER (e.seq = round_even({q} * e.cut, 0)) END AS {t}_md"
+                   for t, q in BT_TAGS.items())
+
+
+@query("extended_point_features", "H2", "well:l seq:l med:d " + " ".join(f"{c}:d" for c in EXT), f"""
+WITH pf AS (WITH {PF_SQL}), bx AS (WITH {BTM} SELECT bt.well, {BT_SQL} FROM bt JOIN btm ON btm.well = bt.well AND btm.frac = bt.frac AND btm.seq = bt.seq GROUP BY bt.well),
+sc AS (WITH {B.CAND} SELECT e.well, avg(e.gr) FILTER (e.seq < e.cut) AS gr_pre_m, stddev_pop(e.gr) FILTER (e.seq < e.cut) AS gr_pre_s, median(10 * abs(e.z - a.z0)) FILTER (e.seq < e.cut) AS nn_pre,
+  stddev_pop(e.z) FILTER (e.seq < e.cut AND e.seq >= e.cut - 500) AS z_pre_s, any_value(a.sl) AS slope, any_value(a.f - a.s) AS d0S, any_value(a.f - a.ic - a.sl * a.md0) AS d0G,
+  any_value(a.f - a.p) - max((e.event_id * 7919 % 201 - 100) / 20.0) FILTER (e.seq = e.cut - 1) AS d0B, e.cut / CAST(e.n AS DOUBLE) AS ps_frac, {MD_SQL} FROM ev e JOIN anch a ON a.well = e.well GROUP BY e.well, e.cut, e.n)
+SELECT pf.well, pf.seq, list_median([dS, dP, dZc, dB, dG]) AS med, {', '.join(f'{e} AS {n}' for n, e in EXT.items())} FROM pf JOIN sc USING (well) LEFT JOIN bx USING (well)""", digits=4)
+def extended_point_features(spark, sf):
+    """Differences of candidates, rates, misfits of the log, scalars of the known part and masked-tail errors beside the 43 point features."""
+    t = point_features(spark, sf).drop("y")
+    s = materialize(B.evaluable(B.series(spark, sf)), "series")
+    s = s.join(B.anchors(s).drop("n", "cut"), "well")
+    c, pre, at = F.col, F.col("seq") < F.col("cut"), F.col("seq") == F.col("cut") - 1
+    scalars = {"gr_pre_m": F.avg(F.when(pre, c("gr"))), "gr_pre_s": F.stddev_pop(F.when(pre, c("gr"))), "z_pre_s": F.stddev_pop(F.when(pre & (c("seq") >= c("cut") - 500), c("z"))),
+               "slope": F.max("sl"), "d0S": F.max(c("f") - c("s")), "d0G": F.max(c("f") - c("ic") - c("sl") * c("md0")),
+               "d0B": F.max(F.when(at, c("f") - c("p") - (c("event_id") * 7919 % 201 - 100) / 20.0)), "ps_frac": F.max(c("cut") / c("n"))}
+    for tag, q in BT_TAGS.items():
+        c2 = F.bround(q * c("cut")).cast("long")
+        scalars[f"{tag}_md"] = F.max(F.when((c("seq") == c2) & (c2 >= 20) & (c("cut") - c2 >= 5), c("md0") - c("md")))
+    sc = s.groupBy("well").agg(*[v.alias(k) for k, v in scalars.items()])
+    nn = group_quantiles(s.where(pre), ["well"], 10 * F.abs(c("z") - c("z0")), {"nn_pre": 0.5})
+    bt = backtest_mix(spark, sf, tuple(BT_TAGS.values())).groupBy("well").agg(
+        *[F.sqrt(F.avg(F.when(c("frac") == q, err2(c(m))))).alias(f"{t}_{k}") for t, q in BT_TAGS.items() for k, m in BT_NAMES.items()])
+    t = t.join(sc, "well").join(nn, "well").join(bt, "well", "left")
+    med = row_median([c(x) for x in ("dS", "dP", "dZc", "dB", "dG")])
+    return t.select("well", "seq", med.alias("med"), *[F.expr(e).alias(n) for n, e in EXT.items()])
+
+
 FIT_COLS = PF_COLS
 
 
