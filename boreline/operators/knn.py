@@ -9,7 +9,7 @@ group never meet them.
 
 The quadtree is as deep as the points need: levels are added until no finest cell is
 crowded.  A cell whose points all lie in one cell of a finer level is replaced by that
-cell, so a far outlier adds levels but neither rounds nor candidates.
+cell, so a far outlier adds levels, and rounds for its own search, not for the others.
 """
 
 from __future__ import annotations
