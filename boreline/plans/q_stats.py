@@ -623,7 +623,7 @@ def replicate_noise(spark, sf):
                  (F.max("r") - F.min("r")).alias("spread"))
 
 
-WTS = B.ENS + """, wt AS (SELECT well, seed, ll, row_number() OVER (PARTITION BY well ORDER BY ll DESC, seed) AS rank,
+WTS = B.ENS + f""", wt AS (SELECT well, seed, ll, row_number() OVER (PARTITION BY well ORDER BY round(ll + {M.TIE_NUDGE}, 8) DESC, seed) AS rank,
   ll - max(ll) OVER w AS d, stddev_pop(ll) OVER w AS sd FROM ensll WINDOW w AS (PARTITION BY well)),
 ws AS (SELECT *, exp(d / 3) / sum(exp(d / 3)) OVER w AS w3, exp(d / 5) / sum(exp(d / 5)) OVER w AS w5,
   exp(d / 8) / sum(exp(d / 8)) OVER w AS w8, exp(d / 12) / sum(exp(d / 12)) OVER w AS w12,
