@@ -100,13 +100,20 @@ def best_shift(scores: DataFrame, keys: list[str], score: Column, digits: int) -
     return g.select(*keys, F.col("m")["shift"].alias("shift"), F.col("m")["__s"].alias("score"), F.col("m")["n"].alias("n"))
 
 
-def correlation(c=F.col) -> Column:
-    """Correlation from the moments of shift_scores; 0 where either side is constant."""
-    n = c("n")
-    va = n * c("soo") - c("so") * c("so")
-    vb = n * c("spp") - c("sp") * c("sp")
-    den = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-    return F.when(den > 1e-9, (n * c("spo") - c("so") * c("sp")) / den).otherwise(0.0)
+def shift_correlations(df: DataFrame, keys: list[str], obs: str, at: Column, curve: str, shifts: list[float], k0: float, cell: float) -> DataFrame:
+    """keys, n, shift, i, r: correlation of observation and shifted curve, 0 where either side is constant.
+
+    As shift_scores, but with central moments: plain sums of squares of values far from 0 lose the digits that
+    tell a constant side, and shifts that tie, apart."""
+    t = df.where(F.col(obs).isNotNull() & at.isNotNull()).withColumn("__at", at)
+    aggs = [F.count(F.lit(1)).alias("n"), F.stddev_pop(obs).alias("so")]
+    for i, s in enumerate(shifts):
+        p = grid_at(F.col(curve), (F.col("__at") + s - k0) / cell)
+        aggs += [F.covar_pop(obs, p).alias(f"c{i}"), F.stddev_pop(p).alias(f"s{i}")]
+    g = t.groupBy(*keys).agg(*aggs)
+    r = [F.when((F.col("so") > 0) & (F.col(f"s{i}") > 0), F.col(f"c{i}") / F.col("so") / F.col(f"s{i}")).otherwise(0.0) for i in range(len(shifts))]
+    items = F.array(*[F.struct(F.lit(float(s)).alias("shift"), F.lit(i).alias("i"), r[i].alias("r")) for i, s in enumerate(shifts)])
+    return g.select(*keys, "n", F.inline(items))
 
 
 def log_likelihood(a: Column, b: Column, sigma: Column) -> Column:

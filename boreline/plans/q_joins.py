@@ -165,13 +165,13 @@ def sql_at(pos):
 
 @query("shift_search", "D14", "well:l shift:d score:d n:l", f"""
 WITH {CA}, s AS (SELECT unnest(range(-12, 13)) AS d), p AS (SELECT well, d, grn, {sql_at('tvt / 8.0 + d')} AS p FROM ev, s, ca WHERE seq < cut AND grn IS NOT NULL),
-c AS (SELECT well, d, coalesce(corr(grn, p), 0) AS r, count(*) AS n FROM p GROUP BY well, d)
+c AS (SELECT well, d, coalesce(nullif(corr(grn, p), 'nan'::DOUBLE), 0) AS r, count(*) AS n FROM p GROUP BY well, d)
 SELECT well, d AS shift, r AS score, n FROM c QUALIFY row_number() OVER (PARTITION BY well ORDER BY round(r, 9) DESC, d) = 1""", digits=5)
 def shift_search(spark, sf):
     """Shift along the curve with the best correlation on the known part."""
     t = with_curve(B.evaluable(B.series(spark, sf)).where(F.col("seq") < F.col("cut")), spark, sf)
-    sc = X.shift_scores(t, ["well"], "grn", 1 + F.col("tvt") / 8, "crv", [float(d) for d in range(-12, 13)], 1.0, 1.0)
-    return X.best_shift(sc, ["well"], X.correlation(), 9)
+    sc = X.shift_correlations(t, ["well"], "grn", 1 + F.col("tvt") / 8, "crv", [float(d) for d in range(-12, 13)], 1.0, 1.0)
+    return X.best_shift(sc, ["well"], F.col("r"), 9)
 
 
 @query("likelihood_scan", "D15", "well:l win:l shift:d score:d n:l", f"""
@@ -191,14 +191,14 @@ def likelihood_scan(spark, sf):
 @query("shape_scan", "D16", "well:l win:l shift:d score:d n:l", f"""
 WITH {CA}, d AS (SELECT unnest(range(-10, 11)) AS d), p AS (SELECT well, (seq - cut) // 12 AS win, d, gr AS o, {sql_at('md_s / 40.0 + d')} AS p
   FROM (SELECT *, md % 2000 AS md_s FROM ev WHERE seq >= cut), d, ca),
-c AS (SELECT well, win, d, coalesce(corr(o, p), 0) AS r, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 6)
+c AS (SELECT well, win, d, coalesce(nullif(corr(o, p), 'nan'::DOUBLE), 0) AS r, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 6)
 SELECT well, win, d AS shift, r AS score, n FROM c QUALIFY row_number() OVER (PARTITION BY well, win ORDER BY round(r, 7) DESC, d) = 1""", digits=4)
 def shape_scan(spark, sf):
     """As the likelihood scan with correlation of shapes as the score."""
     t = B.evaluable(B.series(spark, sf)).where(F.col("seq") >= F.col("cut"))
     t = with_curve(t.withColumn("win", F.floor((F.col("seq") - F.col("cut")) / 12)), spark, sf)
-    sc = X.shift_scores(t, ["well", "win"], "gr", 1 + F.pmod(F.col("md"), F.lit(2000.0)) / 40, "crv", [float(d) for d in range(-10, 11)], 1.0, 1.0)
-    return X.best_shift(sc.where(F.col("n") >= 6), ["well", "win"], X.correlation(), 7)
+    sc = X.shift_correlations(t, ["well", "win"], "gr", 1 + F.pmod(F.col("md"), F.lit(2000.0)) / 40, "crv", [float(d) for d in range(-10, 11)], 1.0, 1.0)
+    return X.best_shift(sc.where(F.col("n") >= 6), ["well", "win"], F.col("r"), 7)
 
 
 SM = B.SERIES + """, sd AS (SELECT *, CASE WHEN seq < cut THEN 0 ELSE 1 END AS side FROM ev),
