@@ -65,7 +65,8 @@ def largest(counts: DataFrame, column: str) -> int:
 
 def number_rows(df: DataFrame, keys: list[str], order: str, tie: str,
                 cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Add `seq` (0-based rank by order, tie), `n` (rows of the series) and `order0` (first order value).
+    """Add `seq` (0-based rank by order, tie), `n` (rows of the series) and `order0` (first order value); columns of these
+    names are replaced, and may be the order or the tie.
 
     The rows of every series are counted first, which reads the keys alone.  Series of up to cell_rows rows are numbered by
     one window, so the input is read once; only larger ones are told apart and cut into cells."""
@@ -79,16 +80,17 @@ def number_rows(df: DataFrame, keys: list[str], order: str, tie: str,
 
 def _number_small(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
     w = W.partitionBy(*keys)
-    return df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("order0", F.min(order).over(w)) \
-        .withColumn("seq", F.row_number().over(w.orderBy(order, tie)).cast("long") - 1)
+    return df.withColumns({"n": F.count(F.lit(1)).over(w), "order0": F.min(order).over(w),
+                           "seq": F.row_number().over(w.orderBy(order, tie)).cast("long") - 1})
 
 
 def _number_large(df: DataFrame, keys: list[str], order: str, tie: str, big: DataFrame, cell_rows: int) -> DataFrame:
     """Series of `big` are cut at counted quantiles of the order, so outliers and heavy tails do not fill a cell; order
     values that more than cell_rows rows share are cut again by the tie, where that is a number."""
     names = df.columns
-    rows = df.alias("l").join(big.alias("r"), same_keys(keys)).select("l.*", "r.n", "r.order0")
-    q = rows.groupBy(*keys).agg(_quantiles(F.col(order)).alias("__q"), F.ceil(F.max("n") / cell_rows).cast("int").alias("__cells"))
+    big = big.withColumnsRenamed({"n": "__n", "order0": "__order0"})
+    rows = df.alias("l").join(big.alias("r"), same_keys(keys)).select("l.*", "r.__n", "r.__order0")
+    q = rows.groupBy(*keys).agg(_quantiles(F.col(order)).alias("__q"), F.ceil(F.max("__n") / cell_rows).cast("int").alias("__cells"))
     cuts = q.select(*keys, _picked(F.col("__q"), F.col("__cells")).alias("__cuts"))
     placed = rows.alias("l").join(cuts.alias("r"), same_keys(keys)).select("l.*", cell_of(F.col(f"l.{order}"), F.col("__cuts")).alias("__cell"))
     placed = materialize(placed, "placed")
@@ -103,14 +105,15 @@ def _number_large(df: DataFrame, keys: list[str], order: str, tie: str, big: Dat
         again = materialize(again.select(*place, _picked(F.col("__q"), F.ceil(F.col("__m") / cell_rows).cast("int")).alias("__cuts")), "tie-cuts")
         placed = placed.alias("l").join(again.alias("r"), same_keys(place), "left").select("l.*", "r.__cuts")
         sub = cell_of(F.col(tie), F.col("__cuts"))
-    placed = placed.withColumn("__sub", sub).select(*names, "n", "order0", "__cell", "__sub")
+    placed = placed.withColumn("__sub", sub).select(*names, "__n", "__order0", "__cell", "__sub")
     cell = [*place, "__sub"]
     before = W.partitionBy(*keys).orderBy("__cell", "__sub").rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("__c")) \
         .select(*cell, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
     ranked = placed.withColumn("__r", F.row_number().over(W.partitionBy(*cell).orderBy(order, tie)))
     return ranked.alias("l").join(offsets.alias("r"), same_keys(cell)) \
-        .select(*[f"l.{c}" for c in names], "l.n", "l.order0", (F.col("l.__r") - 1 + F.col("r.__off")).alias("seq"))
+        .select(*[f"l.{c}" for c in names if c not in ("n", "order0", "seq")], F.col("l.__n").alias("n"), F.col("l.__order0").alias("order0"),
+                (F.col("l.__r") - 1 + F.col("r.__off")).alias("seq"))
 
 
 def _blk(seq: str, block: int) -> Column:

@@ -105,3 +105,15 @@ def test_ties_are_cut_by_the_tie(spark):
     df = spark.range(3000).select(F.lit(1).alias("sid"), F.lit(7.0).alias("t"), (F.col("id") * 7 % 3000).alias("id"))
     got = O.number_rows(df, ["sid"], "t", "id", cell_rows=100).toPandas()
     assert (got["seq"] == got["id"]).all()
+
+
+def test_large_series_may_have_columns_of_the_added_names(spark):
+    """A table numbered again (permutation_importance) has seq already; above cell_rows this was an ambiguous column."""
+    n = 400
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "seq": np.arange(n) // 2, "n": np.arange(n) % 7, "o": np.arange(n) % 10 * 1.0, "id": np.arange(n)}))
+    small = O.number_rows(df, ["k"], "o", "id").toPandas().set_index("id")
+    large = O.number_rows(df, ["k"], "o", "id", cell_rows=30).toPandas().set_index("id")
+    assert sorted(large.columns) == sorted(small.columns)
+    assert (large["seq"] == small.loc[large.index, "seq"]).all() and (large["n"] == n).all()
+    again = O.number_rows(df.drop("n"), ["k"], "o", "seq", cell_rows=30).toPandas()
+    assert sorted(again["seq"]) == list(range(n)) and again.sort_values("seq")["o"].is_monotonic_increasing
