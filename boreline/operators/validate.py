@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
 from .ordering import number_rows
 from .quantiles import group_quantiles
 
@@ -67,11 +68,20 @@ def bootstrap(sse: DataFrame, cols: list[str], draws: int) -> DataFrame:
     return _pooled(_replicates(sse, cols, draws).withColumn("__c", count), cols)
 
 
-def subsample(sse: DataFrame, cols: list[str], draws: int, size: int) -> DataFrame:
-    """Pooled RMSE per replicate of `size` groups drawn without replacement: those with the smallest numbers."""
+def subsample(sse: DataFrame, cols: list[str], draws: int, size: int, ample: int = 4) -> DataFrame:
+    """Pooled RMSE per replicate of `size` groups drawn without replacement: those with the smallest numbers.
+
+    Only numbers up to the one below which `ample` times `size` groups are expected are sorted: where at least `size` lie
+    below it, the smallest are among them.  A replicate with fewer is ranked whole."""
     order = Window.partitionBy("rep").orderBy("__u", "idx")
-    return _pooled(_replicates(sse, cols, draws).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size)
-                   .withColumn("__c", F.lit(1)), cols)
+    every = _replicates(sse, cols, draws)
+    near = F.col("__u") * F.lit(float(sse.count())) <= F.lit(float(ample * size))
+    low = materialize(every.where(near), "low")
+    enough = [r["rep"] for r in low.groupBy("rep").count().where(F.col("count") >= size).select("rep").collect()]  # at most one number a replicate
+    taken = low.where(F.col("rep").isin(enough))
+    if len(enough) < draws:
+        taken = taken.unionByName(every.where(~F.col("rep").isin(enough)))
+    return _pooled(taken.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size).withColumn("__c", F.lit(1)), cols)
 
 
 def bootstrap_report(reps: DataFrame, model: str, base: str) -> DataFrame:

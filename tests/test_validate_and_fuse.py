@@ -80,3 +80,16 @@ def test_long_series_are_refused_alone(spark):
     pred = validate.evaluate(t, None, lambda known, curve, i: np.full(len(known), 1.0), max_rows=50, leave_out=True)
     assert {r.well for r in pred.collect()} == {1}
     assert [tuple(r) for r in validate.refused(t, max_rows=50).collect()] == [(2, 80)]
+
+
+def test_subsample_sorts_no_more_than_it_may_need(spark, monkeypatch):
+    size, sse = groups(3000)
+    t = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(size, sse))], "idx long, n long, m double")
+    sorted_rows = []
+    write = validate.materialize
+    monkeypatch.setattr(validate, "materialize", lambda df, name: sorted_rows.append((out := write(df, name)).count()) or out)
+    few = {r.rep: r.m for r in validate.subsample(t, ["m"], 20, 10).collect()}
+    assert 20 * 10 <= sorted_rows[0] <= 20 * 80
+    # bounds that some or all replicates fall short of change nothing
+    for ample in (1, 0):
+        assert {r.rep: r.m for r in validate.subsample(t, ["m"], 20, 10, ample).collect()} == pytest.approx(few)
