@@ -22,8 +22,9 @@ from boreline.llm.blocks import U64, mix, prefix_hash, span_hash, text_blocks
 from boreline.llm.shared import split_by_keys, written
 from boreline.llm.suffixes import PIECE, WINDOW, pieces, runs
 
-#: Shares of the documents in each batch of a whole table.
-BATCHES = (0.5, 0.5)
+#: Shares of the documents in each batch of a whole table: the second level of a batch merges with the first, so the third
+#: and fourth batch meet merged levels.
+BATCHES = (0.25, 0.25, 0.25, 0.25)
 #: Bits of the map of repeated anchors that every task has: 8 MB at most, whatever the input.  A set bit lets a run pass to
 #: the comparison, so a full map costs shuffles, not results.
 MAP_BITS = 1 << 26

@@ -122,6 +122,19 @@ def test_levels_merge_like_a_counter(spark):
     assert sum(t.count() for _, t in index.levels) == len({0, 1, 2, 3, 100, 200, 201}) + 3
 
 
+def test_levels_merge_in_a_whole_table(spark, monkeypatch):
+    sizes, add = [], SuffixIndex.add
+
+    def noted(index, *args, **kw):
+        sizes.append([n for n, _ in index.levels])
+        return add(index, *args, **kw)
+
+    monkeypatch.setattr(SuffixIndex, "add", noted)
+    rows = [(i, prose(f"own {i}", 60) + (prose("shared", 120) if i % 3 == 0 else ""), None, None, None) for i in range(40)]
+    assert removed(remove_repeats(spark.createDataFrame(rows, DOCS))) == plain_removed(rows)
+    assert [2] in sizes and [2, 1] in sizes
+
+
 def test_texts_that_share_a_key_do_not_break(spark):
     long = prose("shared key", 300)
     rows = [(1, long), (2, "short " * 5), (2, "x " + long), (3, long[500:900])]
