@@ -174,3 +174,10 @@ def test_path_matches_with_many_copies(spark):
     assert set(got.index) == set(want)
     for a, (b, d) in want.items():
         assert got.loc[a, "dist"] == pytest.approx(d, abs=1e-9) and got.loc[a, "match"] == b
+
+
+def test_the_cloud_does_not_broadcast_its_customers(spark):
+    """Their file is small and their rows are many: joined by sorting on both sides."""
+    from boreline.plans import bindings as B
+    plan = B.cloud(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
