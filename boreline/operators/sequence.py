@@ -5,7 +5,8 @@ A series is cut into blocks of knots.  A block acts on the state as a linear map
 several blocks are handled as a scan: the maps of all blocks are built in parallel,
 combined in groups of `fan` level by level, and every block then gets the state
 that enters it from the left and from the right.  Series of one block skip the scan.
-numpy works inside one block at a time; Spark places the blocks.
+Spark deals the blocks out in packs of about PACK_ROWS rows; inside a pack numpy takes
+one step of all blocks at a time, so short series cost no Python call per row.
 """
 
 from __future__ import annotations
@@ -15,9 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of the blocks that one Python call works on together.
+PACK_ROWS = 8192
 
-def _blur(x: np.ndarray, sigma: float, axis: int = 0) -> np.ndarray:
-    """Gaussian smoothing along an axis, end values repeated, cut at 4 sigma."""
+
+def _blur(x: np.ndarray, sigma: float | np.ndarray, axis: int = 0) -> np.ndarray:
+    """Gaussian smoothing along an axis, end values repeated, cut at 4 sigma; an array of sigmas has one per column of x."""
+    if np.ndim(sigma):
+        return _blur_each(x, sigma)
     r = int(4.0 * sigma + 0.5)
     if r == 0:
         return x
@@ -29,6 +35,40 @@ def _blur(x: np.ndarray, sigma: float, axis: int = 0) -> np.ndarray:
     return np.moveaxis(np.einsum("k,nk...->n...", k, moved[at]), 0, axis)
 
 
+def _blur_each(x: np.ndarray, sigma: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
+    """_blur along axis 0 with one sigma per column: a matrix of kernel values per column, whose first and last column take
+    the tails that the repeated end values get."""
+    n = len(x)
+    r = (4.0 * sigma + 0.5).astype(int)
+    out = np.empty_like(x)
+    order = np.argsort(r, kind="stable")
+    gap = np.abs(np.arange(n)[:, None] - np.arange(n)[None, :])
+    at = 0
+    while at < len(order):
+        # columns of alike radius together, as many as fit
+        size = max(1, cells // (max(int(r[order[min(at + 255, len(order) - 1)]]) + 1, n * n)))
+        cols = order[at:at + min(size, 256)]
+        at += len(cols)
+        d = np.arange(max(int(r[cols].max()), n - 1) + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            k = np.where(d[None, :] <= r[cols, None], np.exp(-0.5 * (d[None, :] / sigma[cols, None]) ** 2), 0.0)
+        k[:, 0] = 1.0
+        k /= (2.0 * k.sum(1) - k[:, 0])[:, None]
+        tail = np.cumsum(k[:, ::-1], axis=1)[:, ::-1][:, :n]
+        m = k[:, gap]
+        if n > 1:
+            m[:, :, 0], m[:, :, -1] = tail, tail[:, ::-1]
+        else:
+            m[:] = 1.0
+        out[:, cols] = np.matmul(m, x[:, cols].T[:, :, None])[:, :, 0].T
+    return out
+
+
+def _by_state(obs: np.ndarray) -> np.ndarray:
+    """Observations of one step: a vector for all columns of the state, or one column for each."""
+    return obs if obs.ndim == 2 else obs[:, None]
+
+
 class Diffusion:
     """State r on `grid`; it spreads by a Gaussian per step.  obs = emission per state, aux = width in cells."""
 
@@ -39,14 +79,18 @@ class Diffusion:
         self.size = len(self.grid)
 
     def forward(self, x, obs, aux, first):
-        return (x if first else _blur(x, aux)) * obs[:, None]
+        return (x if first else _blur(x, aux)) * _by_state(obs)
 
     def backward(self, x, obs, aux):
-        return _blur(x * obs[:, None], aux)
+        return _blur(x * _by_state(obs), aux)
 
     def estimate(self, alpha, beta):
+        return float(self.estimates(alpha[:, None], beta[:, None])[0])
+
+    def estimates(self, alpha, beta):
+        """One estimate per column."""
         post = alpha * beta
-        return float(post @ self.grid / max(post.sum(), 1e-300))
+        return self.grid @ post / np.maximum(post.sum(0), 1e-300)
 
 
 class Drift(Diffusion):
@@ -67,14 +111,14 @@ class Drift(Diffusion):
     def forward(self, x, obs, aux, first):
         m = self._cube(x)
         m = m if first else self._move(m)
-        return (m * obs[None, :, None]).reshape(x.shape)
+        return (m * _by_state(obs)[None]).reshape(x.shape)
 
     def backward(self, x, obs, aux):
-        return self._move(self._cube(x) * obs[None, :, None]).reshape(x.shape)
+        return self._move(self._cube(x) * _by_state(obs)[None]).reshape(x.shape)
 
-    def estimate(self, alpha, beta):
-        post = (alpha * beta).reshape(self.nv, self.ng).sum(0)
-        return float(post @ self.grid / max(post.sum(), 1e-300))
+    def estimates(self, alpha, beta):
+        post = self._cube(alpha * beta).sum(0)
+        return self.grid @ post / np.maximum(post.sum(0), 1e-300)
 
 
 class CheapestPath:
@@ -95,13 +139,13 @@ class CheapestPath:
         return out
 
     def forward(self, x, obs, aux, first):
-        return self._step(x) + obs[:, None]
+        return self._step(x) + _by_state(obs)
 
     def backward(self, x, obs, aux):
-        return self._step(x + obs[:, None])
+        return self._step(x + _by_state(obs))
 
-    def estimate(self, alpha, beta):
-        return float(self.values[int(np.argmin(np.round(alpha + beta, 9)))])
+    def estimates(self, alpha, beta):
+        return self.values[np.argmin(np.round(alpha + beta, 9), axis=0)]
 
 
 class CheapestPaths:
@@ -118,10 +162,14 @@ class CheapestPaths:
         self.move, self.scale = np.asarray(move, float), np.asarray(scale, float)
         self.reach = np.asarray(reach)
 
-    def observe(self, pdf):
-        curve = np.asarray(next(c for c in pdf["curve"] if c is not None), float)
+    def observe(self, pdf, part=None):
+        """Costs per row; part: the number of each row's block, in ascending order (one block if left out)."""
+        part = np.zeros(len(pdf), int) if part is None else part
+        held = pdf["curve"].notna().to_numpy()
+        _, own = np.unique(part[held], return_index=True)
+        curve = np.stack([np.asarray(c, float) for c in pdf["curve"].to_numpy()[held][own]])[part]
         value = np.stack([np.asarray(v, float) for v in pdf["values"]])
-        return ((value[:, :, None] - curve) ** 2 / self.scale[:, None]).reshape(len(value), -1)
+        return ((value[:, :, None] - curve[:, None, :]) ** 2 / self.scale[:, None]).reshape(len(value), -1)
 
     def _step(self, x):
         cube = x.reshape(self.settings, self.knots, -1)
@@ -134,12 +182,16 @@ class CheapestPaths:
         return out.reshape(x.shape)
 
     def forward(self, x, obs, aux, first):
-        return self._step(x) + obs[:, None]
+        return self._step(x) + _by_state(obs)
 
     def backward(self, x, obs, aux):
-        return self._step(x + obs[:, None])
+        return self._step(x + _by_state(obs))
 
-    def scaled(self, x):
+    def scaled(self, x, columns=False):
+        if columns:
+            cube = x.reshape(self.settings, self.knots, -1)
+            low = cube.min(1, keepdims=True)
+            return (cube - np.where(np.isfinite(low), low, 0.0)).reshape(x.shape)
         cube = x.reshape(self.settings, -1)
         low = cube.min(1, keepdims=True)
         return (cube - np.where(np.isfinite(low), low, 0.0)).reshape(x.shape)
@@ -154,8 +206,8 @@ class CheapestPaths:
         a, b = (x.reshape(self.settings, self.knots, self.knots) for x in (a, b))
         return np.stack([np.min(q[:, :, None] + p[None, :, :], axis=1) for p, q in zip(a, b)]).reshape(self.size, self.knots)
 
-    def estimate(self, alpha, beta):
-        return np.argmin(np.round(alpha + beta, 9).reshape(self.settings, self.knots), axis=1).astype(float).tolist()
+    def estimates(self, alpha, beta):
+        return list(np.argmin(np.round(alpha + beta, 9).reshape(self.settings, self.knots, -1), axis=1).astype(float).T)
 
 
 def _eye(model):
@@ -176,6 +228,17 @@ def _scaled(model, x):
     return x - low if np.isfinite(low) else x
 
 
+def _scaled_columns(model, x):
+    """Every column scaled by itself, as _scaled does with a state of one column."""
+    if hasattr(model, "scaled"):
+        return model.scaled(x, True)
+    if model.plus:
+        top = x.max(0)
+        return np.where(top > 0, x / np.where(top > 0, top, 1.0), 1.0)
+    low = x.min(0)
+    return x - np.where(np.isfinite(low), low, 0.0)
+
+
 def _apply(model, m, v):
     if hasattr(model, "apply"):
         return model.apply(m, v)
@@ -197,8 +260,8 @@ def _rows(pdf, name):
     return [np.asarray(v, float) for v in pdf[name]]
 
 
-def _observed(model, pdf):
-    return model.observe(pdf) if hasattr(model, "observe") else _rows(pdf, "obs")
+def _observed(model, pdf, part=None):
+    return model.observe(pdf, part) if hasattr(model, "observe") else np.stack(_rows(pdf, "obs"))
 
 
 def smooth(knots: DataFrame, key: str, model, block: int = 2048, fan: int = 64) -> DataFrame:
@@ -207,21 +270,25 @@ def smooth(knots: DataFrame, key: str, model, block: int = 2048, fan: int = 64)
 
     Returns key, seq, est: posterior mean or cheapest path at every knot."""
     spark, kt = knots.sparkSession, knots.schema[key].dataType.simpleString()
-    k = knots.withColumn("blk", F.floor(F.col("j") / block).cast("long"))
-    long = k.groupBy(key).agg(F.max("blk").alias("__last")).where(F.col("__last") > 0)
-    top = long.agg(F.max("__last").alias("m")).first()["m"]
-    if top is None:
+    k = knots.withColumn("blk", F.floor(F.col("j") / block).cast("long")).withColumn("init", F.when((F.col("j") == 0) | F.col(key).isNull(), F.col("init")))
+    sizes = k.groupBy(key).agg(F.max("blk").alias("__last"), F.count(F.lit(1)).alias("__rows"))
+    long = sizes.where(F.col("__last") > 0)
+    top, rows = sizes.agg(F.max("__last"), F.sum("__rows")).first()
+    if not top:
         entered = k.withColumn("fin", F.lit(None).cast("array<double>")).withColumn("bin", F.lit(None).cast("array<double>"))
     else:
         maps = k.join(long.select(key), key, "left_semi").groupBy(key, "blk").applyInPandas(
             lambda ids, pdf: _block_map(model, key, ids, pdf), f"{key} {kt}, blk long, f array<double>, g array<double>")
         start = k.where("j = 0").join(long.select(key), key, "left_semi").select(key, "init")
         ends = _scan(maps, start.withColumn("out", F.lit(None).cast("array<double>")), key, kt, model, int(top), fan)
-        entered = k.join(ends, [key, "blk"], "left")
+        entered = k.join(ends.hint("merge"), [key, "blk"], "left")
     # Small inputs would be merged into one task, and the work per row is large.
-    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entered = entered.repartition(max(conf, spark.sparkContext.defaultParallelism), key, "blk")
-    return entered.groupBy(key, "blk").applyInPandas(lambda ids, pdf: _inside(model, key, ids, pdf), f"{key} {kt}, seq long, est {getattr(model, 'est', 'double')}")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    packs = max(parts, -(-(rows or 0) // PACK_ROWS))
+    # Rows without a key keep to themselves: pandas would make other keys inexact beside them.
+    pack = F.when(F.col(key).isNull(), -1 - F.col("blk")).otherwise(F.pmod(F.xxhash64(key, "blk"), F.lit(packs)))
+    entered = entered.withColumn("__pack", pack).repartition(parts, "__pack")
+    return entered.groupBy("__pack").applyInPandas(lambda pdf: _inside(model, key, pdf), f"{key} {kt}, seq long, est {getattr(model, 'est', 'double')}")
 
 
 def _block_map(model, key, ids, pdf):
@@ -274,18 +341,43 @@ def _scan(maps, start, key, kt, model, top, fan):
     return maps.withColumn("grp", up).join(into, [key, "grp"]).groupBy(key, "grp").applyInPandas(fold, schema)
 
 
-def _inside(model, key, ids, pdf):
-    pdf = pdf.sort_values("j")
-    obs, aux, j = _observed(model, pdf), pdf["aux"].to_numpy(float), pdf["j"].to_numpy()
-    fin, out = pdf["fin"].iloc[0], pdf["bin"].iloc[0]
-    x = np.asarray(pdf["init"].iloc[0] if fin is None else fin, float)[:, None]
-    alpha = []
-    for o, a, i in zip(obs, aux, j):
-        x = _scaled(model, model.forward(x, o, a, i == 0))
-        alpha.append(x[:, 0])
-    u = (_neutral(model) if out is None else np.asarray(out, float))[:, None]
-    est = [0.0] * len(obs)
-    for i in reversed(range(len(obs))):
-        est[i] = model.estimate(alpha[i], u[:, 0])
-        u = _scaled(model, model.backward(u, obs[i], aux[i]))
-    return pd.DataFrame({key: ids[0], "seq": pdf["seq"].to_numpy(), "est": est})
+def _inside(model, key, pdf):
+    """Estimates of a pack of blocks, all blocks taking a step at a time: the longest come first, so the blocks that still
+    have a row are the first columns."""
+    part = pdf.groupby([key, "blk"], dropna=False, sort=False).ngroup().to_numpy()
+    size = np.bincount(part)
+    place = np.empty(len(size), int)
+    place[np.argsort(-size, kind="stable")] = np.arange(len(size))
+    pdf = pdf.iloc[np.lexsort((pdf["j"].to_numpy(), place[part]))].reset_index(drop=True)
+    size = np.sort(size)[::-1]
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    obs = _observed(model, pdf, np.repeat(np.arange(len(size)), size))
+    aux, opens = pdf["aux"].to_numpy(float), pdf["j"].to_numpy()[first] == 0
+    fin, out, init = pdf["fin"].to_numpy(), pdf["bin"].to_numpy(), pdf["init"].to_numpy()
+    x = np.stack([np.asarray(init[i] if fin[i] is None else fin[i], float) for i in first], axis=1)
+    alpha = np.empty((len(pdf), model.size))
+    for t in range(size[0]):
+        m = np.searchsorted(-size, -t)
+        at = first[:m] + t
+        o, a, x = obs[at].T, aux[at], x[:, :m]
+        if t:
+            x = model.forward(x, o, a, False)
+        else:
+            new = np.empty_like(x)
+            for when in (True, False):
+                c = np.flatnonzero(opens == when)
+                if len(c):
+                    new[:, c] = model.forward(x[:, c], o[:, c], a[c], when)
+            x = new
+        x = _scaled_columns(model, x)
+        alpha[at] = x.T
+    u = np.stack([_neutral(model) if out[i] is None else np.asarray(out[i], float) for i in first], axis=1)
+    est = np.empty(len(pdf), object)
+    for t in reversed(range(size[0])):
+        m = np.searchsorted(-size, -t)
+        at = first[:m] + t
+        for i, e in zip(at, model.estimates(alpha[at].T, u[:, :m])):
+            est[i] = e
+        u[:, :m] = _scaled_columns(model, model.backward(u[:, :m], obs[at].T, aux[at]))
+    ids = None if pdf[key].isna().all() else pdf[key]
+    return pd.DataFrame({key: ids, "seq": pdf["seq"].to_numpy(), "est": est})

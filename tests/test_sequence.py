@@ -1,9 +1,10 @@
 """State-space estimation: blocks and levels give what one pass over the whole series gives."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from boreline.operators.sequence import CheapestPath, CheapestPaths, Diffusion, Drift, _blur, smooth
+from boreline.operators.sequence import CheapestPath, CheapestPaths, Diffusion, Drift, _blur, _inside, smooth
 
 RNG = np.random.default_rng(9)
 GRID = np.linspace(-4, 4, 9)
@@ -84,3 +85,36 @@ def test_blur_keeps_constants_and_mass_inside():
     x = np.zeros(41)
     x[20] = 1
     assert _blur(x[:, None], 1.5).sum() == pytest.approx(1.0)
+
+
+def test_blur_with_a_width_per_column():
+    x, sigma = RNG.uniform(0, 1, (9, 40)), np.concatenate([[1e-3, 0.12, 0.2, 30.0], RNG.uniform(0.1, 6, 36)])
+    want = np.stack([_blur(x[:, [i]], s)[:, 0] for i, s in enumerate(sigma)], axis=1)
+    assert np.allclose(_blur(x, sigma), want, rtol=1e-12, atol=1e-15)
+
+
+@pytest.mark.parametrize("model", [Diffusion(GRID), Drift(GRID, 1, 0.35), CheapestPath(np.arange(9.0), 0.7)], ids=["diffusion", "drift", "path"])
+def test_a_pack_of_blocks_is_worked_on_at_once(model):
+    """One call takes many blocks, whole series and later blocks among them, and gives what each gives alone."""
+    rows = []
+    for w, (start, length) in enumerate([(0, 5), (0, 1), (8, 3), (0, 9), (16, 5)]):
+        state = RNG.uniform(0.1, 1, model.size)
+        for j in range(start, start + length):
+            rows.append({"w": w, "blk": start // 8, "j": j, "seq": 3 * j, "obs": RNG.uniform(0.05, 1, 9), "aux": RNG.uniform(0.2, 1.5),
+                         "init": state if j == 0 else None, "fin": state if start else None, "bin": state[::-1] if w == 2 else None})
+    pdf = pd.DataFrame(rows)
+    got = _inside(model, "w", pdf.sample(frac=1, random_state=1)).sort_values(["w", "seq"])
+    want = pd.concat([_inside(model, "w", g) for _, g in pdf.groupby("w")]).sort_values(["w", "seq"])
+    assert got[["w", "seq"]].values.tolist() == want[["w", "seq"]].values.tolist()
+    assert np.allclose(got["est"].astype(float), want["est"].astype(float))
+
+
+def test_keys_stay_exact_beside_rows_without_one(spark):
+    obs, model = RNG.uniform(0.05, 1, (6, 9)), Diffusion(GRID)
+    keys = [None, 2 ** 53 + 1, 2 ** 53]
+    rows = [(w, j, j, [float(x) for x in o], 0.5, [1.0] * 9) for w in keys for j, o in enumerate(obs)]
+    df = spark.createDataFrame(rows, "w long, j long, seq long, obs array<double>, aux double, init array<double>")
+    got = smooth(df, "w", model, 100).collect()
+    want = posterior(model, obs, np.full(6, 0.5), np.ones(9))
+    for w in keys:
+        assert np.allclose([r["est"] for r in sorted((r for r in got if r["w"] == w), key=lambda r: r["seq"])], want)
