@@ -18,7 +18,13 @@ def clusters(points: DataFrame, eps: float, min_pts: int, checkpoint: Callable[[
     A cell of diagonal eps with `min_pts` points makes all of them cores, and all cores of a cell belong
     together, so cells are the nodes of the graph.  Two cells are linked through parts of cells that lie
     within eps as a whole; single points are compared only for parts where that is undecided, and only
-    for cells not linked yet.  Only points of cells with fewer than `min_pts` points count neighbours."""
+    for cells not linked yet.  Only points of cells with fewer than `min_pts` points count neighbours.
+    With eps 0 only points at one place are neighbours."""
+    if eps <= 0:
+        places = points.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("head"))
+        dense = F.col("k") >= min_pts
+        return places.groupBy(F.when(dense, F.col("head")).otherwise(-1).alias("cluster")).agg(
+            F.sum("k").alias("size"), F.sum(F.when(dense, F.col("k")).otherwise(0)).alias("core"))
     side = eps / 1.4142137
     c = points.withColumn("cx", F.floor(F.col("u") / side)).withColumn("cy", F.floor(F.col("v") / side))
     size = c.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("k"))

@@ -181,3 +181,25 @@ def test_the_cloud_does_not_broadcast_its_customers(spark):
     from boreline.plans import bindings as B
     plan = B.cloud(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_clusters_of_coincident_points(spark):
+    """Most points have a twin, so the median distance and eps are 0: points at one place are a cluster, others none."""
+    p = spark.createDataFrame([(i, float(i % 4), 0.0) for i in range(14)] + [(20, 9.0, 9.0)], "id long, u double, v double")
+    got = clusters(p, 0.0, 4, lambda d: materialize(d, "t")).toPandas().sort_values("cluster").values.tolist()
+    assert got == [[-1, 7, 0], [0, 4, 4], [1, 4, 4]]
+
+
+def test_long_chains_take_few_rounds(spark):
+    from boreline.operators.surface import components
+    rounds = []
+
+    def counted(d):
+        rounds.append(1)
+        return materialize(d, "t")
+
+    order = np.random.default_rng(3).permutation(600)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:])], "a long, b long")
+    got = components(edges, spark.range(601).withColumnRenamed("id", "node"), counted).toPandas()
+    assert got[got.node < 600]["label"].eq(0).all() and got[got.node == 600]["label"].tolist() == [600]
+    assert len(rounds) <= 12
