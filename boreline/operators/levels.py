@@ -9,12 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.small_solve import solve_definite
 from ..sources.store import materialize
+from .ordering import largest
 from .quantiles import group_quantiles, weighted_median
 
+#: Up to this many rows of every series a round takes its medians in one window, which needs no counted values.
+WINDOW_ROWS = 100_000
+
 #: Huber's constant, and the ratio of a normal deviation to its median absolute one.
 HUBER, MAD = 1.345, 1.4826
 
@@ -35,6 +40,17 @@ def _rounds(rows: DataFrame, keys: list[str], state: DataFrame, step: Callable[[
     return state.drop("done")
 
 
+def _short(rows: DataFrame, keys: list[str]) -> bool:
+    return largest(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "n") <= WINDOW_ROWS
+
+
+def _with_median(rows: DataFrame, keys: list[str], value: Column, out: str, short: bool) -> DataFrame:
+    """rows with the median of `value` in their series."""
+    if short:
+        return rows.withColumn(out, F.median(value).over(W.partitionBy(*keys)))
+    return rows.join(group_quantiles(rows, keys, value, {out: 0.5}), keys)
+
+
 def robust_levels(df: DataFrame, keys: list[str], value: Column, weight: Column, order: str = "seq", rounds: int = 15) -> DataFrame:
     """Weighted median, mean, 10 % trimmed mean, Huber location (from the weighted median, until it moves less than 1e-6) and last
     value.  Rows without a value go."""
@@ -47,12 +63,13 @@ def robust_levels(df: DataFrame, keys: list[str], value: Column, weight: Column,
     sums = t.join(cuts, keys).groupBy(*keys).agg(
         (F.sum(v * w) / F.sum(w)).alias("mean"), (F.sum(F.when(kept, v * w)) / F.sum(F.when(kept, w))).alias("trim10"), F.max_by("__v", "__i").alias("last"))
 
+    short = _short(t, keys)
+
     def step(rows: DataFrame, state: DataFrame) -> DataFrame:
-        cur = rows.join(state.drop("done"), keys)
-        dev = group_quantiles(cur, keys, F.abs(v - F.col("c")), {"__d": 0.5})
+        cur = _with_median(rows.join(state.drop("done"), keys), keys, F.abs(v - F.col("c")), "__d", short)
         k = _scale(F.col("__d"))
         ww = w * F.least(F.lit(1.0), k / F.greatest(F.abs(v - F.col("c")), F.lit(1e-12)))
-        g = cur.join(dev, keys).groupBy(*keys).agg(F.first("c").alias("__c"), (F.sum(v * ww) / F.sum(ww)).alias("__n"))
+        g = cur.groupBy(*keys).agg(F.first("c").alias("__c"), (F.sum(v * ww) / F.sum(ww)).alias("__n"))
         still = F.abs(F.col("__n") - F.col("__c")) < 1e-6
         return g.select(*keys, F.when(still, F.col("__c")).otherwise(F.col("__n")).alias("c"), still.alias("done"))
 
@@ -79,14 +96,16 @@ def huber_trend(df: DataFrame, keys: list[str], y: Column, terms: list[Column],
             g = g.withColumns({f"__a{i}_{i}": F.col(f"__a{i}_{i}") + ridge for i in range(1, p)})
         return solve_definite(g, [[f"__a{i}_{j}" for j in range(i + 1)] for i in range(p)], [f"__r{i}" for i in range(p)], names).select(*keys, *names)
 
+    short = _short(t, keys)
+
     def step(rows: DataFrame, state: DataFrame) -> DataFrame:
         value = F.col("b0")
         for i, c in enumerate(cols):
             value = value + F.col(f"b{i + 1}") * F.col(c)
         cur = rows.join(state.drop("done"), keys).withColumn("__r", F.abs(F.col("__y") - value))
-        dev = group_quantiles(cur, keys, F.col("__r"), {"__d": 0.5})
+        cur = _with_median(cur, keys, F.col("__r"), "__d", short)
         ww = F.col("__w") * F.least(F.lit(1.0), _scale(F.col("__d")) / F.greatest(F.col("__r"), F.lit(1e-12)))
-        new = fit(cur.join(dev, keys).drop(*names), ww).withColumnsRenamed({n: f"__{n}" for n in names})
+        new = fit(cur.drop(*names), ww).withColumnsRenamed({n: f"__{n}" for n in names})
         both = state.drop("done").join(new, keys, "left")
         move = F.greatest(*[F.abs(F.col(f"__{n}") - F.col(n)) for n in names], F.lit(0.0))
         bad = F.col(f"__{names[-1]}").isNull()

@@ -68,3 +68,19 @@ def test_theil_sen(spark):
         dx, dy = g.x.to_numpy()[:, None] - g.x.to_numpy(), g.y.to_numpy()[:, None] - g.y.to_numpy()
         s = dy[dx > 50] / dx[dx > 50]
         assert np.isclose(got[w], np.clip(np.median(s), -0.5, 0.5) if len(s) else 0.0)
+
+
+def test_rounds_of_short_series_write_no_counted_values(spark, monkeypatch):
+    """Medians of a round come from a window where every series is short, from counted values otherwise; levels are the same."""
+    from boreline.operators import levels, quantiles
+    rng, written = np.random.default_rng(5), []
+    rows = [(w, i, float(x), float(np.exp((i - n) / 9))) for w, n in enumerate((40, 1, 7)) for i, x in enumerate(rng.standard_t(2, n))]
+    df = spark.createDataFrame(rows, "well long, seq long, y double, wt double")
+    monkeypatch.setattr(quantiles, "materialize", lambda d, name, real=quantiles.materialize: written.append(name) or real(d, name))
+    out = []
+    for limit in (levels.WINDOW_ROWS, 0):
+        monkeypatch.setattr(levels, "WINDOW_ROWS", limit)
+        written.clear()
+        out.append(levels.robust_levels(df, ["well"], F.col("y"), F.col("wt")).toPandas().sort_values("well").to_numpy(float))
+        assert (written.count("counts") <= 2) == (limit > 0)
+    assert np.allclose(out[0], out[1], atol=1e-9)
