@@ -4,68 +4,133 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import framed
-from .quantiles import value_ranks
+
+#: Values of a band of paths, and runs of places whose sums bound a distance.
+CELLS, RUNS = 1 << 20, 8
+
+
+def _dense(places: list, values: list, lo: int, width: int) -> np.ndarray:
+    """Rows of values at the places lo .. lo+width-1, NaN where a path has none."""
+    out = np.full((len(places), width), np.nan)
+    row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    col = np.concatenate(places) - lo
+    ok = (col >= 0) & (col < width)
+    out[row[ok], col[ok]] = np.concatenate(values)[ok]
+    return out
+
+
+def _closest(key: str, tol: float, cover: float, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Closest path of side 1 below `tol` for each path of side 0 of one tile; of equally close ones the smallest key.
+
+    Paths go in bands of CELLS values at most, so memory is bounded.  Sums over runs of places bound a distance
+    from below (|sum of differences| <= sum of |differences|); only pairs whose bound is below the best so far are
+    compared in full, and paths of a like mean are met first, which makes that best small early."""
+    out = {key: [], "match": [], "dist": [], "cover": []}
+    pdf = pdf.sort_values(key, ignore_index=True)  # an index of a row is its rank by key
+    g, x, y = (list(pdf[c]) for c in ("g", "x", "y"))
+    g0, g1, keys, side = (pdf[c].to_numpy() for c in ("g0", "g1", key, "side"))
+    mean = np.array([np.nanmean(p + q) if np.isfinite(p + q).any() else 0.0 for p, q in zip(x, y)])
+    mean = np.where(np.isfinite(mean), mean, 0.0)
+    order = np.lexsort((mean, g0))
+    todo, others = order[side[order] == 0], np.flatnonzero(side == 1)
+    at = 0
+    while at < len(todo):
+        lo, hi, end = g0[todo[at]], g1[todo[at]], at + 1
+        while end < len(todo) and end - at < 256:
+            wide = max(hi, g1[todo[end]])
+            if (end - at + 1) * (wide - lo + 1) > CELLS:
+                break
+            hi, end = wide, end + 1
+        a, at, width = todo[at:end], end, int(hi - lo + 1)
+        ax, ay = (_dense([g[i] for i in a], [v[i] for i in a], lo, width) for v in (x, y))
+        runs = np.unique(np.linspace(0, width, min(width, RUNS) + 1).astype(int))[:-1]
+        asum = np.add.reduceat(ax + ay, runs, axis=1)
+        size = (~np.isnan(ax + ay)).sum(axis=1)
+        best, match, share = np.full(len(a), tol), np.full(len(a), len(keys)), np.zeros(len(a))
+        b_all = others[(g0[others] <= hi) & (g1[others] >= lo)]
+        b_all = b_all[np.argsort(np.abs(mean[b_all] - mean[a].mean()), kind="stable")]
+        done = 0
+        while done < len(b_all):
+            b = b_all[done:done + max(1, min(256 if done == 0 else 2048, CELLS // width))]
+            done += len(b)
+            bx, by = (_dense([g[i] for i in b], [v[i] for i in b], lo, width) for v in (x, y))
+            bsum = np.add.reduceat(bx + by, runs, axis=1)
+            least = np.zeros((len(a), len(b)))
+            for r in range(len(runs)):
+                d = asum[:, r, None] - bsum[None, :, r]
+                least += np.fmax(np.abs(d, out=d), 0.0, out=d)
+            slack = 1e-9 * (1.0 + max((np.abs(s[np.isfinite(s)]).max(initial=0.0) for s in (asum, bsum))))
+            ia, ib = np.nonzero(least - slack <= (best * size)[:, None])
+            over = np.minimum(g1[a[ia]], g1[b[ib]]) - np.maximum(g0[a[ia]], g0[b[ib]])
+            ok = (a[ia] != b[ib]) & (keys[a[ia]] != keys[b[ib]]) & (over >= cover * (g1[a[ia]] - g0[a[ia]]))
+            ia, ib, over = ia[ok], ib[ok], over[ok]
+            if not len(ia):
+                continue
+            dist, step = np.empty(len(ia)), max(1, CELLS // width)
+            for k in range(0, len(ia), step):
+                i, j = ia[k:k + step], ib[k:k + step]
+                d = np.abs(ax[i] - bx[j]) + np.abs(ay[i] - by[j])
+                joint = ~(np.isnan(ax[i]) | np.isnan(bx[j]) | np.isnan(ay[i]) | np.isnan(by[j]))
+                m = joint.sum(axis=1)
+                dist[k:k + step] = np.where(m > 0, np.where(joint, d, 0.0).sum(axis=1) / np.maximum(m, 1), np.inf)
+            first = np.lexsort((b[ib], dist, ia))
+            first = first[np.r_[True, np.diff(ia[first]) > 0]]
+            i, j, d = ia[first], b[ib[first]], dist[first]
+            better = (d < best[i]) | ((d == best[i]) & (d < tol) & (j < match[i]))
+            i, j, d = i[better], j[better], d[better]
+            best[i], match[i], share[i] = d, j, over[first][better] / (g1[a[i]] - g0[a[i]])
+        hit = match < len(keys)
+        for name, v in ((key, keys[a[hit]]), ("match", keys[match[hit]]), ("dist", best[hit]), ("cover", share[hit])):
+            out[name].extend(v)
+    return pd.DataFrame(out)
 
 
 def path_matches(grids: DataFrame, key: str, tol: float, checkpoint: Callable[[DataFrame], DataFrame], min_rows: int = 10,
-                 cover: float = 0.5, levels: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+                 cover: float = 0.5, pack: int = 8192) -> DataFrame:
     """Closest near-copy of each path (columns key, g, x, y on a common grid) with mean L1 distance below `tol`.
 
-    Exact, without pairing all series of one place:
+    Exact, and no table of pairs is written:
     * identical paths are found by hash and answered at once, one of them stands for all afterwards;
-    * tolerances go from tol/64 up to tol, and a series that has a match below a tolerance is finished,
-      so dense bundles of copies are settled in small cells;
-    * a mean below t means at least half of the overlap lies within 2t.  The overlap covers at least
-      `cover` of the series, so a share cover/2 of its rows must meet the match, and it is enough to
-      search from the rows in the least crowded cells.  Places that many series share are left out."""
+    * a path is one row, and packs of paths meet each other in tiles: at most about `pack` of those that still need a match
+      against four times as many others, or as many as hold 128 places each.  Tiles are dealt out by hash and hand on one row a
+      path, so what is shuffled is the paths, once a pack, whatever their number of near pairs."""
     span = grids.groupBy(key).agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count(F.lit(1)).alias("rows"), *[
         F.sum(F.xxhash64("g", "x", "y", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)])
     same = ["g0", "g1", "rows", "s1", "s2"]
     grp = span.groupBy(*same).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    who = checkpoint(span.join(grp, same).select(key, "g0", "g1", "rep", "copies"))
+    who = checkpoint(span.join(grp, same).select(key, "g0", "g1", "rows", "rep", "copies"))
     long = F.col("g1") - F.col("g0") + 1 >= min_rows
     second = who.where(F.col(key) != F.col("rep")).groupBy("rep").agg(F.min(key).alias("second"))
     twin = who.where((F.col("copies") > 1) & long).join(second, "rep").select(
         key, F.when(F.col(key) == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("match"), F.lit(0.0).alias("dist"), F.lit(1.0).alias("cover"))
-    reps = who.where(F.col(key) == F.col("rep"))
-    rows = checkpoint(grids.join(reps.select(key), key, "left_semi"))
-    todo = reps.where((F.col("copies") == 1) & long).select(key)
-    sa = reps.select(F.col(key).alias("a"), F.col("g0").alias("a0"), F.col("g1").alias("a1"))
-    sb = reps.select(F.col(key).alias("b"), F.col("g0").alias("b0"), F.col("g1").alias("b1"))
-    off = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    l1 = F.abs(F.col("xa") - F.col("xb")) + F.abs(F.col("ya") - F.col("yb"))
-    lo, hi = F.greatest("a0", "b0"), F.least("a1", "b1")
-    found = twin
-    for lv in levels:
-        t = tol / lv
-        side = 2 * t
-        b = rows.select(F.col(key).alias("b"), "g", F.col("x").alias("xb"), F.col("y").alias("yb"),
-                        F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-        crowd = b.select("g", "cx", "cy", F.inline(off)).groupBy(
-            "g", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).agg(F.count(F.lit(1)).alias("crowd"))
-        a = rows.join(todo, key, "left_semi").select(F.col(key).alias("a"), "g", F.col("x").alias("xa"), F.col("y").alias("ya"),
-                                                     F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-        a = a.join(crowd, ["g", "cx", "cy"])
-        # Crowding level up to which enough rows of the series are kept.
-        lim = value_ranks(a, ["a"], F.col("crowd"))
-        keep = F.floor(F.col("n") * (1 - cover / 2)) + 1
-        lim = lim.groupBy("a").agg(F.min(F.when(F.col("r0") + F.col("c") >= F.least(keep, F.col("n")), F.col("v"))).alias("lim"))
-        q = a.join(lim, "a").where(F.col("crowd") <= F.col("lim")).select("a", "g", "xa", "ya", "cx", "cy", F.inline(off))
-        q = q.select("a", "g", "xa", "ya", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-        pairs = q.join(b, ["g", "cx", "cy"]).where((F.col("a") != F.col("b")) & (l1 < side)).select("a", "b").distinct()
-        pairs = pairs.join(sa, "a").join(sb, "b").where(hi - lo >= cover * (F.col("a1") - F.col("a0"))).select(
-            "a", "b", ((hi - lo) / (F.col("a1") - F.col("a0"))).alias("cover"))
-        full = pairs.join(a.select("a", "g", "xa", "ya"), "a").join(b.select("b", "g", "xb", "yb"), ["b", "g"])
-        d = full.groupBy("a", "b", "cover").agg(F.avg(l1).alias("dist")).where(F.col("dist") < t)
-        best = d.groupBy("a").agg(F.min(F.struct("dist", "b", "cover")).alias("m"))
-        best = checkpoint(best.select(F.col("a").alias(key), F.col("m")["b"].alias("match"), F.col("m")["dist"].alias("dist"), F.col("m")["cover"].alias("cover")))
-        found = found.unionByName(best)
-        todo = checkpoint(todo.join(best, key, "left_anti"))
-    return found
+    reps = who.where(F.col(key) == F.col("rep")).select(key, "g0", "g1", "rows", ((F.col("copies") == 1) & long).alias("todo"))
+    need, all_, need_rows, all_rows = reps.agg(
+        F.count(F.when(F.col("todo"), 1)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("todo"), F.col("rows"))), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    if need == 0:
+        return twin
+    na, nb = (max(1, -(-n // size), -(-v // (128 * size))) for n, v, size in ((need, need_rows, pack), (all_, all_rows, 4 * pack)))
+    # NaN stands for a missing value in a tile; a value that is NaN is as far as can be from any other.
+    num = {c: F.when(F.isnan(c), F.lit(float("inf"))).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))) for c in ("x", "y")}
+    packed = grids.join(reps.select(key, "todo"), key).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("g").cast("long").alias("g"), *[v.alias(c) for c, v in num.items()]))).alias("p"),
+        F.min("g").cast("long").alias("g0"), F.max("g").cast("long").alias("g1"), F.first("todo").alias("todo"))
+    packed = checkpoint(packed.select(key, "g0", "g1", "todo", *[F.col("p")[c].alias(c) for c in ("g", "x", "y")]))
+    row, col = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(na)), F.pmod(F.xxhash64(F.col(key), F.lit(2)), F.lit(nb))
+    names = [key, "g0", "g1", "g", "x", "y"]
+    a = packed.where("todo").select(*names, F.lit(0).alias("side"), F.explode(F.sequence(row * nb, row * nb + nb - 1)).alias("tile"))
+    b = packed.select(*names, F.lit(1).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(na - 1)), lambda i: i * nb + col)).alias("tile"))
+    kt = grids.schema[key].dataType.simpleString()
+    near = a.unionByName(b).repartition(na * nb, "tile").groupBy("tile").applyInPandas(
+        lambda pdf: _closest(key, tol, cover, pdf), f"{key} {kt}, match {kt}, dist double, cover double")
+    best = near.groupBy(key).agg(F.min(F.struct("dist", "match", "cover")).alias("m"))
+    best = checkpoint(best.select(key, F.col("m")["match"].alias("match"), F.col("m")["dist"].alias("dist"), F.col("m")["cover"].alias("cover")))
+    return twin.unionByName(best)
 
 
 def grid_at(arr: Column, pos: Column) -> Column:

@@ -176,6 +176,35 @@ def test_path_matches_with_many_copies(spark):
         assert got.loc[a, "dist"] == pytest.approx(d, abs=1e-9) and got.loc[a, "match"] == b
 
 
+def test_path_matches_in_small_tiles(spark):
+    """One bundle in which every path is near every other, of unlike lengths and with missing places, met in many small tiles."""
+    rng, paths = np.random.default_rng(5), {}
+    base = np.cumsum(rng.normal(0, 30, (40, 2)), axis=0)
+    for w in range(30):
+        lo, hi = int(rng.integers(0, 12)), int(rng.integers(20, 40))
+        xy = (base + rng.normal(0, 8, base.shape) * (1 + w / 10))[lo:hi]
+        paths[f"w{w}"] = pd.DataFrame({"w": f"w{w}", "g": np.arange(lo, hi), "x": xy[:, 0], "y": xy[:, 1]})
+    paths["w3"] = paths["w3"].drop(index=4)
+    paths["far"] = paths["w9"].assign(w="far", g=paths["w9"].g + 1000)
+    paths["short"] = paths["w9"].head(5).assign(w="short")
+    p = pd.concat(paths.values(), ignore_index=True)
+    got = X.path_matches(spark.createDataFrame(p), "w", 60.0, lambda d: materialize(d, "t"), pack=7).toPandas().set_index("w")
+    want = {}
+    for a, pa in paths.items():
+        span = pa.g.max() - pa.g.min()
+        for b, pb in paths.items():
+            over = min(pa.g.max(), pb.g.max()) - max(pa.g.min(), pb.g.min())
+            if a == b or span + 1 < 10 or over < 0.5 * span:
+                continue
+            j = pa.merge(pb, on="g")
+            d = (abs(j.x_x - j.x_y) + abs(j.y_x - j.y_y)).mean()
+            if d < 60 and (a not in want or d < want[a][1]):
+                want[a] = (b, d, over / span)
+    assert set(got.index) == set(want) and len(want) > 20
+    for a, (b, d, c) in want.items():
+        assert got.loc[a, "match"] == b and got.loc[a, "dist"] == pytest.approx(d, abs=1e-9) and got.loc[a, "cover"] == pytest.approx(c)
+
+
 def test_the_cloud_does_not_broadcast_its_customers(spark):
     """Their file is small and their rows are many: joined by sorting on both sides."""
     from boreline.plans import bindings as B
