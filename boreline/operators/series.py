@@ -67,6 +67,20 @@ def savgol(df: DataFrame, keys: list[str], v: str, pos: Column, n: Column, out:
     return savgol_many(df, keys, {out: v}, pos, n, width)
 
 
+def _doubles(row: list[float]) -> str:
+    return f"array({', '.join(f'{x!r}D' for x in row)})"
+
+
+def _cubic_weights(m: int) -> list[list[float]]:
+    """Per place -m .. m in a window of 2m+1 rows: what each row adds to the least-squares cubic there."""
+    n0, k = 2.0 * m + 1, float(m * (m + 1))
+    edge = (2.0 * m - 1) * (2.0 * m + 3)
+    p2 = lambda u: u * u - k / 3
+    p3 = lambda u: u * u * u - u * (3 * k - 1) / 5
+    return [[1 / n0 + q * u * 3 / (k * n0) + p2(q) * p2(u) * 45 / (k * n0 * edge) + p3(q) * p3(u) * 175 / (k * n0 * edge * (m - 1) * (m + 2))
+             for q in map(float, range(-m, m + 1))] for u in map(float, range(-m, m + 1))]
+
+
 def savgol_many(df: DataFrame, keys: list[str], columns: dict[str, str], pos: Column, n: Column, width: int = 17) -> DataFrame:
     """columns (result: input), all in one pass of the frames.  Cubic least-squares smoothing.  `pos` is the 0-based position in a run of `n` rows.
 
@@ -82,29 +96,16 @@ def savgol_many(df: DataFrame, keys: list[str], columns: dict[str, str], pos: Co
     start = F.greatest(F.lit(0), F.least(F.col("__i") - F.col("__m"), F.col("__n") - F.col("__wl")))
     t = t.withColumn("__s", start).withColumn("__u", (F.col("__i") - start - F.col("__m")).cast("double"))
     first = F.greatest(F.lit(0), F.col("__i") - half)
-    m = F.col("__m").cast("double")
-    n0, k = 2 * m + 1, m * (m + 1)
-    edge = (2 * m - 1) * (2 * m + 3)
-
-    def p2(u):
-        return u * u - k / 3
-
-    def p3(u):
-        return u * u * u - u * (3 * k - 1) / 5
-
-    u = F.col("__u")
-
-    def weighted(val, j):
-        q = j.cast("double") - m
-        return val * (1 / n0 + q * u * 3 / (k * n0) + p2(q) * p2(u) * 45 / (k * n0 * edge)
-                      + p3(q) * p3(u) * 175 / (k * n0 * edge * (m - 1) * (m + 2)))
+    # The weights of a row are the same for every column, and one constant table of them serves all rows.
+    table = F.expr(f"array({', '.join('array(' + ', '.join(_doubles(w) for w in _cubic_weights(m)) + ')' for m in range(2, width // 2 + 1))})")
+    t = t.withColumn("__c", F.get(F.get(table, F.col("__m") - 2), (F.col("__u") + F.col("__m")).cast("int")))
 
     def smooth(v):
         seg = F.slice(frames[v], (F.col("__s") - first + 1).cast("int"), F.greatest(F.col("__wl"), F.lit(1)))
-        return F.aggregate(F.transform(seg, weighted), F.lit(0.0), lambda a, b: a + b)
+        return F.aggregate(F.zip_with(seg, F.col("__c"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
     t = t.withColumns({out: F.when(F.col("__wl") >= 5, smooth(v)).otherwise(F.col(v)) for out, v in columns.items()})
-    return t.drop("__i", "__n", "__wl", "__m", "__s", "__u", *frames.values())
+    return t.drop("__i", "__n", "__wl", "__m", "__s", "__u", "__c", *frames.values())
 
 
 def gaussian_lowpass(df: DataFrame, keys: list[str], v: str, sigma: float, out: str) -> DataFrame:

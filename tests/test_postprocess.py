@@ -73,3 +73,12 @@ def test_chord_direction(spark):
     df = spark.createDataFrame([(1, 3, 0.0, 5.0), (1, 1, 4.0, 1.0), (1, 2, 9.0, 9.0), (2, 1, 2.0, 2.0)], "g long, o long, x double, y double")
     got = {r.g: r.theta for r in M.chord_direction(df, ["g"], "x", "y", F.col("o")).collect()}
     assert got == pytest.approx({1: np.arctan2(4.0, -4.0), 2: 0.0})
+
+
+def test_weights_of_the_smoother_are_those_of_a_cubic_fit():
+    """One constant table per window size: row u holds what each value adds to the fitted cubic at place u."""
+    from boreline.operators.series import _cubic_weights
+    for m in (2, 3, 8):
+        places = np.arange(-m, m + 1)
+        v = np.vander(places, 4)
+        assert np.allclose(_cubic_weights(m), v @ np.linalg.pinv(v), atol=1e-12)
