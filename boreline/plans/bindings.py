@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cols import row_std
 from ..operators.ordering import number_rows, running_sum
 
 TAIL = 10
@@ -62,8 +63,9 @@ def anchors(s: DataFrame) -> DataFrame:
         F.regr_intercept(F.when(pre, F.col("tvt")), F.when(pre, F.col("md"))).alias("ic"))
 
 
-def cand(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf)
+def cand(spark: SparkSession, sf: str, s: DataFrame | None = None) -> DataFrame:
+    """`s`: the series, where the caller has written them already."""
+    s = series(spark, sf) if s is None else s
     post = evaluable(s).where(F.col("seq") >= F.col("cut")).drop("n", "cut")
     return post.join(anchors(s), "well").select(
         "well", "seq", "event_id", "n", "cut", "md", "z", F.col("tvt").alias("y"), "f", "s", "p",
@@ -80,9 +82,9 @@ def masked(s: DataFrame, fracs: list[float], min_cut: int = 20, min_tail: int =
     return m.where((F.col("cut2") >= min_cut) & (F.col("cut") - F.col("cut2") >= min_tail))
 
 
-def backtest(spark: SparkSession, sf: str, fracs=(0.5, 0.65, 0.75)) -> DataFrame:
+def backtest(spark: SparkSession, sf: str, fracs=(0.5, 0.65, 0.75), s: DataFrame | None = None) -> DataFrame:
     """Candidates re-predicted on the masked tail, long over `frac`."""
-    m = masked(evaluable(series(spark, sf)), list(fracs))
+    m = masked(evaluable(series(spark, sf) if s is None else s), list(fracs))
     seq, cut = F.col("seq"), F.col("cut2")
     pre = seq < cut
     a = m.groupBy("well", "frac").agg(
@@ -97,13 +99,27 @@ def backtest(spark: SparkSession, sf: str, fracs=(0.5, 0.65, 0.75)) -> DataFrame
         (F.col("ic") + F.col("sl") * F.col("md")).alias("g"), (F.col("md") - F.col("md0")).alias("md_since"))
 
 
-def ens(spark: SparkSession, sf: str) -> DataFrame:
-    """Two replica ensembles of eight seeds: value around s, value2 around p."""
-    c = cand(spark, sf).select("well", "seq", "event_id", "y", "s", "p")
-    c = c.withColumn("seed", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))))
-    noise = ((F.col("event_id") * 7919 + F.col("seed") * 104729) % 2001 - 1000) / 100.0
-    noise2 = ((F.col("event_id") * 6151 + F.col("seed") * 92821) % 1601 - 800) / 100.0
-    return c.withColumn("value", F.col("s") + noise).withColumn("value2", F.col("p") + noise2).drop("event_id", "p")
+SEEDS = 8
+
+
+def replica(seed) -> tuple:
+    """Values of one seed of the two ensembles: around s and around p."""
+    noise = ((F.col("event_id") * 7919 + seed * 104729) % 2001 - 1000) / 100.0
+    noise2 = ((F.col("event_id") * 6151 + seed * 92821) % 1601 - 800) / 100.0
+    return F.col("s") + noise, F.col("p") + noise2
+
+
+def spreads() -> tuple:
+    """Deviations of both ensembles over the seeds of one candidate row."""
+    return tuple(row_std(list(v)) for v in zip(*[replica(F.lit(i).cast("long")) for i in range(1, SEEDS + 1)]))
+
+
+def ens(spark: SparkSession, sf: str, c: DataFrame | None = None) -> DataFrame:
+    """Two replica ensembles of eight seeds: value around s, value2 around p.  `c`: the candidates, where they are written already."""
+    c = (cand(spark, sf) if c is None else c).select("well", "seq", "event_id", "y", "s", "p")
+    c = c.withColumn("seed", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SEEDS).cast("long"))))
+    value, value2 = replica(F.col("seed"))
+    return c.withColumn("value", value).withColumn("value2", value2).drop("event_id", "p")
 
 
 def ens_ll(e: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ MEM = ["g", "l", "m"]
 W_GLOBAL = [0.45, 0.45, 0.1]
 
 
-def mix(spark, sf):
-    c = B.cand(spark, sf)
+def mix(spark, sf, s=None):
+    c = B.cand(spark, sf, s)
     return c.withColumn("l", F.col("f") + F.col("z0") - F.col("z")).withColumn(
         "m", F.col("p") + (F.col("event_id") * 7919 % 201 - 100) / 20.0)
 
@@ -349,9 +349,9 @@ br AS (SELECT well, count(*) AS nb, sqrt(avg((y-g)**2)) AS rg, sqrt(avg((y-l)**2
   least(greatest(sum((y-m)*(g-m)) / sum((g-m)**2), 0), 1) AS wb FROM btm GROUP BY well)"""
 
 
-def backtest_mix(spark, sf, fracs=(0.5, 0.65, 0.75)):
+def backtest_mix(spark, sf, fracs=(0.5, 0.65, 0.75), s=None):
     """Masked-tail rows with the same three members as `mix`."""
-    m = B.masked(B.evaluable(B.series(spark, sf)), list(fracs))
+    m = B.masked(B.evaluable(B.series(spark, sf) if s is None else s), list(fracs))
     seq, cut = F.col("seq"), F.col("cut2")
     pre, at = seq < cut, seq == cut - 1
     a = m.groupBy("well", "frac").agg(

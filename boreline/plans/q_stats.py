@@ -201,8 +201,8 @@ def sql_lookup(rel: str, key: str, out: str, name: str) -> str:
 CAL = f"{B.SERIES}, {SEGS}, pre AS (SELECT * FROM ev WHERE seq < cut), {sql_lookup('pre', KEY.format(x='tvt'), 'ref', 'pr')}"
 
 
-def prefix_ref(spark, sf):
-    s = B.evaluable(B.series(spark, sf)).where(F.col("seq") < F.col("cut"))
+def prefix_ref(spark, sf, s=None):
+    s = B.evaluable(B.series(spark, sf) if s is None else s).where(F.col("seq") < F.col("cut"))
     return curve_lookup(s, 1 + F.col("tvt") / 8, B.curve(spark, sf), [], "ref")
 
 
