@@ -10,15 +10,23 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from boreline.llm.shared import per_worker
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
+#: White space at an end or side by side, for Arrow, whose \s is ASCII only: the characters that \s is in Python.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_APART = rf"\A{_SPACE}|{_SPACE}{{2}}|{_SPACE}\z"
 #: Characters of cached chunks after which a worker forgets them and starts anew.
 CACHE_CHARS = 16_000_000
+#: Chunks that go to the library at a time.
+TOGETHER = 4096
 
 
 def default_path(name: str) -> str:
@@ -43,8 +51,18 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+def cut_all(texts: pa.Array) -> pa.ListArray:
+    """The chunks of every text without a null; an empty one has none."""
+    apart = pc.or_(pc.match_substring_regex(texts, _APART), pc.equal(pc.binary_length(texts), 0))
+    lists = pc.split_pattern(texts.filter(pc.invert(apart)), " ")
+    if not apart.true_count:
+        return lists
+    rest = pa.array([cut(t) if t else [] for t in texts.filter(apart).to_pylist()], lists.type)
+    return pa.concat_arrays([lists, rest]).take(pa.array(np.argsort(np.argsort(apart.to_numpy(zero_copy_only=False), kind="stable"))))
+
+
 class ChunkEncoder:
-    """Ids per distinct chunk, kept by a Python worker within a bound of characters."""
+    """Counts per distinct chunk, kept by a Python worker within a bound of characters; or ids, in a table by the chunks' numbers."""
 
     def __init__(self, path: str, counts_only: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,20 +70,90 @@ class ChunkEncoder:
         check_cuts(path)
         self.library = Tokenizer.from_file(path)
         self.counts_only = counts_only
-        self.known: dict[str, object] = {}
+        vocabulary, added = self.library.get_vocab(), self.library.get_added_tokens_decoder()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120") and i not in added]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[object, int] = {}
+        #: Numbers of the chunks without and with a space in front; number n has size[n] ids from begin[n] on.
+        self.numbers: dict[str, dict[str, int]] = {"": {}, " ": {}}
+        self.begin, self.size, self.table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.chars = 0
 
     def _learn(self, new: list[str], front: str) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at: at + TOGETHER]
             for key, e in zip(part, self.library.encode_batch_fast([front + c for c in part], add_special_tokens=False)):
-                self.known[key] = len(e.ids) if self.counts_only else array("I", e.ids).tobytes()
+                self.known[key] = len(e.ids)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sizes and ids of chunks whose one space is in front: of one text of them all, each begins at an id that begins with a space.
+        None where these are not as many (a file that lacks the id of a space)."""
+        ids, = self._ids([" " + " ".join(chunks)])
+        begin = np.flatnonzero(self.spaced[ids])
+        return (np.diff(begin, append=len(ids)), ids) if len(begin) == len(chunks) and begin[0] == 0 else None
+
+    def _add(self, new: list[str], front: str) -> None:
+        """Number new chunks and keep their ids."""
+        alone, together = [], []
+        for c in new:
+            (together if front and " " not in c and not c[0].isspace() and not c[-1].isspace() else alone).append(c)
+        sizes, tables = [self.size], [self.table]
+        for chunks, joined in ((together, True), (alone, False)):
+            for at in range(0, len(chunks), TOGETHER):
+                part = chunks[at: at + TOGETHER]
+                got = self._joined(part) if joined else None
+                if got is None:
+                    ids = self._ids([front + c for c in part])
+                    got = np.array([len(i) for i in ids], np.int64), np.concatenate(ids)
+                sizes.append(got[0])
+                tables.append(got[1])
+        self.numbers[front].update(zip(together + alone, range(len(self.size), len(self.size) + len(new))))
+        self.size, self.table = np.concatenate(sizes), np.concatenate(tables)
+        self.begin = np.cumsum(self.size) - self.size
+        self.chars += sum(map(len, new)) + 8 * len(new)
+
+    def _number(self, chunks: pa.Array, front: str) -> np.ndarray:
+        coded = chunks.dictionary_encode()
+        distinct, numbers = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.numbers[front]
+        number = np.array([numbers.get(c, -1) for c in distinct], np.int64)
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            self._add([distinct[i] for i in new], front)
+            number[new] = [numbers[distinct[i]] for i in new]
+        return number[coded.indices.to_numpy()]
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has; null is empty."""
+        if self.chars > CACHE_CHARS:
+            self._forget()
+        lists = cut_all(texts.fill_null(""))
+        chunks, length = lists.flatten(), lists.value_lengths().to_numpy()
+        stop = np.cumsum(length, dtype=np.int64)
+        head = np.zeros(len(chunks), bool)
+        head[(stop - length)[length > 0]] = True
+        number = np.zeros(len(chunks), np.int64)
+        # first chunks have no space in front
+        for front, which in (("", head), (" ", ~head)):
+            number[which] = self._number(chunks.filter(pa.array(which)), front)
+        size = self.size[number]
+        upto = np.r_[0, np.cumsum(size)]
+        ids = self.table[np.repeat(self.begin[number] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, np.diff(upto[stop], prepend=0)
 
     def values(self, texts: list[str | None]) -> Iterator:
         """The count, or the little-endian 32-bit ids, of every text; null is empty."""
+        if not self.counts_only:
+            ids, size = self.arrays(pa.array(texts, pa.string()))
+            yield from (i.astype("<u4").tobytes() for i in np.split(ids, np.cumsum(size)[:-1]))
+            return
         if self.chars > CACHE_CHARS:
-            self.known.clear()
-            self.chars = 0
+            self._forget()
         lists = [cut(t) if t else [] for t in texts]
         # first chunks have no space in front and are kept under pairs
         heads = {c[0] for c in lists if c}
@@ -83,12 +171,7 @@ class ChunkEncoder:
                 self.known = kept
         get = self.known.__getitem__
         for c in lists:
-            if not c:
-                yield 0 if self.counts_only else b""
-            elif self.counts_only:
-                yield get((" ", c[0])) + sum(map(get, c[1:]))
-            else:
-                yield get((" ", c[0])) + b"".join(map(get, c[1:]))
+            yield get((" ", c[0])) + sum(map(get, c[1:])) if c else 0
 
 
 def encoder(path: str, counts_only: bool = False) -> ChunkEncoder:

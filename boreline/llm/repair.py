@@ -11,14 +11,15 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 MAGIC = b"RPG1"
 #: Every so many rounds, the first included, runs of one symbol are halved instead.
 RUNS = 4
 #: A pair that is found less often does not pay for its rule.
 LEAST = 16
-#: Pairs are first counted in this many cells by a hash; only those in cells with LEAST are counted exactly.
-CELLS = 1 << 18
+#: Pairs are first counted in this many cells by a hash, at most; only those in cells with LEAST are counted exactly.
+CELLS = 1 << 20
 HEAD = "<4sBIIIIQ"
 
 
@@ -43,56 +44,67 @@ def _side(symbols: np.ndarray, turn: int) -> np.ndarray:
     return (h >> np.uint32(31)).astype(bool)
 
 
-def _run_pairs(a: np.ndarray, b: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Places of every other pair of a run of one symbol."""
-    same = (a == b) & ~last[:-1]
-    change = np.ones(len(same), bool)
-    change[1:] = ~same[1:] | ~same[:-1]
-    start = np.maximum.accumulate(np.where(change, np.arange(len(same)), 0))
-    return np.flatnonzero(same & ((np.arange(len(same)) - start) % 2 == 0))
+def _run_pairs(at: np.ndarray, a: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Whether each pair of one symbol (at ascending places) is every other one of its run."""
+    begin = np.ones(len(at), bool)
+    begin[1:] = (after[at[:-1]] != at[1:]) | (a[1:] != a[:-1])
+    place = np.arange(len(at))
+    return (place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0
 
 
-def _frequent(seq: np.ndarray, last: np.ndarray) -> bool:
-    """Whether any pair is found LEAST times, pairs inside runs counted without overlap."""
-    a, b = seq[:-1], seq[1:]
-    at = np.r_[np.flatnonzero((a != b) & ~last[:-1]), _run_pairs(a, b, last)]
-    key = (a[at].astype(np.int64) << np.int64(32)) | b[at]
-    key.sort()
-    return len(key) >= LEAST and bool((key[LEAST - 1:] == key[: len(key) - LEAST + 1]).any())
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << np.int64(32)) | b
+
+
+def _perhaps_often(key: np.ndarray) -> np.ndarray:
+    """False only where a key is found less than LEAST times."""
+    cells = min(CELLS, 1 << (4 * len(key)).bit_length())
+    cell = ((key * np.int64(0x9E3779B97F4A7C1)) >> np.int64(20)) & np.int64(cells - 1)
+    return np.bincount(cell, minlength=cells)[cell] >= LEAST
 
 
 def build(ids: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> Grammar:
-    """Grammar of documents with `tokens` ids each, laid one after the other in ids."""
-    seq = ids.astype(np.int32)
-    base = int(seq.max()) + 1 if len(seq) else 0
-    ends = np.cumsum(tokens)
-    last = np.zeros(len(seq), bool)
-    last[ends[tokens > 0] - 1] = True
+    """Grammar of documents with `tokens` ids each, laid one after the other in ids.
+
+    Symbols keep their places and are linked by `after` and `before`.  A pair that is found too seldom stays so, as new pairs
+    hold a symbol of the round before: a round looks only at `at`, the places of all pairs that may still be frequent."""
+    n = len(ids)
+    base = int(ids.max()) + 1 if n else 0
+    seq = np.append(ids, 0).astype(np.int32)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    last = np.zeros(n + 1, bool)
+    last[np.cumsum(tokens)[tokens > 0] - 1] = True
+    alive = np.ones(n + 1, bool)
+    alive[n] = False
     left, right, lengths, first, nxt = [], [], [np.ones(0, np.int64)], [], base
 
     def size_of(symbols: np.ndarray) -> np.ndarray:
         table = np.concatenate(lengths)
         return np.where(symbols < base, 1, table[np.maximum(symbols - base, 0)] if len(table) else 1)
 
+    at = np.flatnonzero(~last[:n])
+    at = at[_perhaps_often(_key(seq[at], seq[at + 1]))]
+    open_ = np.zeros(n + 1, bool)
+    open_[at] = True
     turn = 0
-    while len(seq) >= 2:
-        a, b = seq[:-1], seq[1:]
+    while len(at):
         if turn % RUNS == 0:  # runs of one symbol: every other pair of a run
-            at = _run_pairs(a, b, last)
+            some = np.sort(at[seq[at] == seq[after[at]]])
+            some = some[_run_pairs(some, seq[some], after)]
         else:
-            side = _side(seq, turn)
-            at = np.flatnonzero(~side[:-1] & side[1:] & ~last[:-1])
-        key = (a[at].astype(np.int64) << np.int64(32)) | b[at]
-        cell = ((key * np.int64(0x9E3779B97F4A7C1 | 1)) >> np.int64(20)) & np.int64(CELLS - 1)
-        often = np.bincount(cell, minlength=CELLS)[cell] >= LEAST
-        at, key = at[often], key[often]
-        found, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        good = count >= LEAST
-        if good.any():
-            rule = np.full(len(found), -1, np.int64)
-            rule[good] = nxt + np.arange(good.sum())
+            some = at[~_side(seq[at], turn)]
+            some = some[_side(seq[after[some]], turn)]
+        open_[some] = False
+        fresh = some[:0]
+        pairs = pa.array(_key(seq[some], seq[after[some]])).dictionary_encode()
+        inverse, found = pairs.indices.to_numpy(), pairs.dictionary.to_numpy()
+        good = np.flatnonzero(np.bincount(inverse, minlength=len(found)) >= LEAST)
+        if len(good):
+            good = good[np.argsort(found[good])]
+            rule = np.full(len(found), -1, np.int32)
+            rule[good] = nxt + np.arange(len(good), dtype=np.int32)
             new = rule[inverse]
-            at, new = at[new >= 0], new[new >= 0]
+            some, new = some[new >= 0], new[new >= 0]
             l, r = found[good] >> np.int64(32), found[good] & np.int64(0xFFFFFFFF)
             first.append(nxt)
             size = size_of(l) + size_of(r)
@@ -100,14 +112,23 @@ def build(ids: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> Grammar:
             right.append(r)
             lengths.append(size)
             nxt += len(l)
-            seq[at] = new.astype(np.int32)
-            last[at] |= last[at + 1]
-            keep = np.ones(len(seq), bool)
-            keep[at + 1] = False
-            seq, last = seq[keep], last[keep]
-        elif not _frequent(seq, last):
-            break
+            gone = after[some]
+            alive[gone] = open_[gone] = False
+            seq[some], last[some] = new, last[gone]
+            after[some] = after[gone]
+            before[after[some]] = some
+            # the pairs on both sides of a new symbol, each place once
+            ahead = before[some[some > 0]]
+            open_[ahead] = False
+            open_[some] = True
+            fresh = np.r_[some, ahead[~open_[ahead]]]
+            open_[some] = False
+            fresh = fresh[~last[fresh]]
+            fresh = fresh[_perhaps_often(_key(seq[fresh], seq[after[fresh]]))]
+        at = np.r_[at[open_[at]], fresh]
+        open_[fresh] = True
         turn += 1
+    seq, last = seq[alive], last[alive]
     spans = np.zeros(len(tokens) + 1, np.int64)
     spans[1:][tokens > 0] = np.flatnonzero(last) + 1
     spans = np.maximum.accumulate(spans)
@@ -129,6 +150,26 @@ def expand(g: Grammar, seq: np.ndarray) -> np.ndarray:
     return seq
 
 
+def expand_all(g: Grammar) -> np.ndarray:
+    """The ids of the whole sequence: the rules are expanded once, the first round first, and laid out as often as they are found."""
+    at = np.cumsum(g.lengths) - g.lengths
+    flat = np.zeros(int(g.lengths.sum()), np.int32)
+
+    def lay(symbols: np.ndarray) -> np.ndarray:
+        hit = np.flatnonzero(symbols >= g.base)
+        rule = symbols[hit] - g.base
+        size = np.ones(len(symbols), np.int64)
+        size[hit] = n = g.lengths[rule]
+        out = np.repeat(symbols, size)
+        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat((np.cumsum(size) - size)[hit], n) + shift] = flat[np.repeat(at[rule], n) + shift]
+        return out
+
+    for f, t in zip(g.first - g.base, np.r_[g.first[1:] - g.base, len(g.left)]):
+        flat[at[f]: at[t - 1] + g.lengths[t - 1]] = lay(np.stack([g.left[f:t], g.right[f:t]], 1).ravel())
+    return lay(g.sequence)
+
+
 def document(g: Grammar, i: int) -> np.ndarray:
     """The ids of document i, decoded alone."""
     return expand(g, g.sequence[g.spans[i]: g.spans[i + 1]])

@@ -10,17 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boreline.llm.chunks import default_path, encoder
 from boreline.llm.ranges import as_number, begins, search
-from boreline.llm.repair import build, count_tokens, expand, from_bytes, to_bytes
+from boreline.llm.repair import build, count_tokens, expand_all, from_bytes, to_bytes
 
 END_ID = 2
 NO_KEY = -1 << 63
 BLOCK_TOKENS = 1 << 20
-ROWS = 256
+#: Bytes of text that a task encodes at a time.
+SLICE_BYTES = 8 << 20
 BLOCKS = "part int, block int, data binary"
 
 
@@ -37,30 +39,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, key:
     dealt = rows.withColumn("part", search(as_number(F.col("key")), begin[1:])) \
         .repartitionById(max(len(begin), 1), F.col("part")).sortWithinPartitions("part", "key", "text")
 
-    def pack(part: int, block: int, keys: list[int], ids: list[bytes]) -> pa.RecordBatch:
-        size = np.array([len(i) // 4 for i in ids], np.int64)
-        g = build(np.frombuffer(b"".join(ids), "<u4"), np.array(keys, np.int64), size)
+    def pack(part: int, block: int, keys: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+        size = np.array([len(i) for i in ids], np.int64)
+        g = build(np.concatenate(ids), np.array(keys, np.int64), size)
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([to_bytes(g)], pa.binary())],
                                           ["part", "block", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(file), np.array([END_ID], "<u4").tobytes()
+        own = encoder(file)
         part, block, total = None, 0, 0
         keys: list[int] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                got = own.values(some.column("text").to_pylist())
-                for p, k, i in zip(some.column("part").to_pylist(), some.column("key").to_pylist(), got):
-                    if keys and (p != part or total + len(i) // 4 + 1 > block_tokens):
+            upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64) // SLICE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                some = batch.slice(at, to - at)
+                got, size = own.arrays(some.column("text"))
+                stop = np.cumsum(size)
+                got, stop = np.insert(got, stop, END_ID), (stop + np.arange(1, len(stop) + 1)).tolist()
+                for p, k, a, b in zip(some.column("part").to_pylist(), some.column("key").to_pylist(), [0, *stop], stop):
+                    if keys and (p != part or total + b - a > block_tokens):
                         yield pack(part, block, keys, ids)
                         block, keys, ids, total = block + 1, [], [], 0
                     if p != part:
                         part, block = p, 0
                     keys.append(NO_KEY if k is None else k)
-                    ids.append(i + end)
-                    total += len(i) // 4 + 1
+                    ids.append(got[a: b])
+                    total += b - a
         if keys:
             yield pack(part, block, keys, ids)
 
@@ -76,14 +82,14 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
         for batch in batches:
             for p, b, data in zip(*(batch.column(c) for c in ("part", "block", "data"))):
                 g = from_bytes(data.as_py())
-                ids = expand(g, g.sequence).astype("<u4")
+                ids = expand_all(g).astype("<u4")
                 stop = np.cumsum(g.tokens)
-                parts = [ids[s - n: s].tobytes() for s, n in zip(stop.tolist(), g.tokens.tolist())]
+                parts = [ids[s - n: s] for s, n in zip(stop.tolist(), g.tokens.tolist())]
                 n = len(parts)
                 cols = [pa.array(np.full(n, p.as_py(), np.int32)), pa.array(np.full(n, b.as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int32)),
                         pa.array(g.keys, mask=g.keys == NO_KEY), pa.array(stop - g.tokens), pa.array(g.tokens), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                 names = ["part", "block", "place", "key", "before", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * with_ids, names + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array([x.tobytes() for x in parts], pa.binary())] if with_ids else []), names + ["ids"] * with_ids)
 
     return spark.read.schema(BLOCKS).parquet(path).mapInArrow(read, schema)
 
