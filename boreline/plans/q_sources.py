@@ -33,7 +33,7 @@ def series_files(spark, sf):
     path = store.new_path(spark, "series-files")
     s = B.evaluable(B.series(spark, sf)).select("well", "seq", "md", "z", "gr", F.when(F.col("seq") < F.col("cut"), F.col("tvt")).alias("tvt_input"))
     logs.write_wells(s.withColumn("x", F.lit(0.0)).withColumn("y", F.col("seq").cast("double")), path)
-    t = logs.read_wells(spark, path, truth=False, order="Y", files="*/*.csv", key=logs.folder_key())
+    t = logs.read_wells(spark, path, truth=False, order="Y", files="*.csv", key=logs.folder_key(), nested=True)
     return t.withColumn("well", F.col("well").cast("long"))
 
 
