@@ -47,7 +47,7 @@ def _mounted(spark: SparkSession, path: str) -> str | None:
 def write_wells(wells: DataFrame, path: str, rows: int = 500_000) -> None:
     """One folder `well=<id>` of CSV files with a header per series; a series of more than `rows` rows is written by several tasks.
 
-    In a local or mounted folder, where Hadoop starts up to four processes (chmod) for every file, tasks write the lines that
+    In a local or mounted folder, where Hadoop starts processes (chmod) for every file, tasks write the lines that
     Spark made with open(); a file gets its name when it is whole, so a repeated task replaces it."""
     names = [c for c in KNOWN + TRUTH if c.lower() in wells.columns]
     t = wells.select("well", F.floor(F.col("seq") / rows).alias("piece"), *[F.col(c.lower()).alias(c) for c in names]).repartition("well", "piece")
