@@ -21,13 +21,11 @@ def pts(spark, sf):
     return B.cloud(spark, sf).withColumnRenamed("x", "u").withColumnRenamed("y", "v")
 
 
-def neighbours(spark, sf, k=K, values=True):
+def neighbours(spark, sf, k=K):
     """k neighbours of every supplier-sized query point, own group left out, with values attached."""
     p = pts(spark, sf)
     q = p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v")
     nb = knn(q, p, k)
-    if not values:
-        return nb
     nb = nb.join(p.select("id", "grp", F.col("u").alias("pu"), F.col("v").alias("pv"), *HS), "id")
     return nb.join(q.select("qid", "u", "v"), "qid").withColumn("du", F.col("pu") - F.col("u")).withColumn("dv", F.col("pv") - F.col("v"))
 
@@ -35,7 +33,8 @@ def neighbours(spark, sf, k=K, values=True):
 @query("knn_other_groups", "D5", "qid:l id:l dist:d rank:l")
 def knn_other_groups(spark, sf):
     """Eight nearest points of other groups for every point (brute force in tests: the SQL is quadratic)."""
-    return neighbours(spark, sf, values=False)
+    p = materialize(pts(spark, sf).select("id", "grp", "u", "v"), "cloud")
+    return knn(p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v"), p, K, written=True)
 
 
 @query("nearest_distance", "D6", "grp:l d_min:d d_mean:d own_min:d")
