@@ -40,12 +40,13 @@ def knn_other_groups(spark, sf):
 @query("nearest_distance", "D6", "grp:l d_min:d d_mean:d own_min:d")
 def nearest_distance(spark, sf):
     """Distance to the nearest point of another group, and of any group but itself, summarised per group."""
-    p = pts(spark, sf)
-    q = p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v")
-    a = knn(q, p, 1).select("qid", "dist")
-    b = knn(q, p, 2, exclude_own=False).where(F.col("id") != F.col("qid")).groupBy("qid").agg(F.min("dist").alias("own"))
-    t = q.join(a, "qid").join(b, "qid")
-    return t.groupBy(F.col("qgrp").alias("grp")).agg(F.min("dist").alias("d_min"), F.avg("dist").alias("d_mean"), F.min("own").alias("own_min"))
+    p = materialize(pts(spark, sf).select("id", "grp", "u", "v"), "cloud")
+    q = p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v", F.col("grp").alias("of"))
+    a = knn(q, p, 1, marks=["of"], written=True)
+    b = knn(q, p, 2, exclude_own=False, marks=["of"], written=True).where(F.col("id") != F.col("qid"))
+    # Groups without a neighbour of another group are in neither table; in the others every point has both.
+    a = a.groupBy("of").agg(F.min("dist").alias("d_min"), F.avg("dist").alias("d_mean"))
+    return a.join(b.groupBy("of").agg(F.min("dist").alias("own_min")), "of").withColumnRenamed("of", "grp")
 
 
 SMALL = """sp AS (SELECT s_suppkey AS id, s_nationkey AS grp, s_acctbal / 10 AS u, CAST(s_suppkey * 7919 % 1000 AS DOUBLE) AS v FROM supplier)"""

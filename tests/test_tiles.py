@@ -124,3 +124,20 @@ def disk_a_point(spark, name):
 def test_knn_other_groups_writes_no_pairs(spark):
     """Bytes a point on disk: points and queries, not the pairs that are compared."""
     assert 0 < disk_a_point(spark, "knn_other_groups") < 500
+
+
+def test_nearest_distance_writes_no_pairs(spark):
+    assert 0 < disk_a_point(spark, "nearest_distance") < 500
+
+
+def test_nearest_distance_matches_brute_force(spark):
+    import __spark_entry__
+    from boreline.plans import q_spatial
+    small = "/root/testdata/sf0.001"
+    p = q_spatial.pts(spark, small).toPandas()
+    got = __spark_entry__.queries()["nearest_distance"](spark, small).toPandas().set_index("grp")
+    d = np.hypot(p.u.to_numpy()[:, None] - p.u.to_numpy(), p.v.to_numpy()[:, None] - p.v.to_numpy())
+    np.fill_diagonal(d, np.inf)
+    p["any"], p["other"] = d.min(1), np.where(p.grp.to_numpy()[:, None] == p.grp.to_numpy(), np.inf, d).min(1)
+    want = p.groupby("grp").agg(d_min=("other", "min"), d_mean=("other", "mean"), own_min=("any", "min"))
+    assert np.allclose(got.loc[want.index, want.columns], want, atol=1e-6) and len(got) == len(want)
