@@ -21,20 +21,17 @@ def pts(spark, sf):
     return B.cloud(spark, sf).withColumnRenamed("x", "u").withColumnRenamed("y", "v")
 
 
-def neighbours(spark, sf, k=K):
-    """k neighbours of every supplier-sized query point, own group left out, with values attached."""
-    p = pts(spark, sf)
+def neighbours(spark, sf, k=K, values=()):
+    """k neighbours of every point of the cloud, own group left out, with the named values of the neighbours."""
+    p = materialize(pts(spark, sf).select("id", "grp", "u", "v", *values), "cloud")
     q = p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v")
-    nb = knn(q, p, k)
-    nb = nb.join(p.select("id", "grp", F.col("u").alias("pu"), F.col("v").alias("pv"), *HS), "id")
-    return nb.join(q.select("qid", "u", "v"), "qid").withColumn("du", F.col("pu") - F.col("u")).withColumn("dv", F.col("pv") - F.col("v"))
+    return knn(q, p, k, values=list(values), written=True)
 
 
 @query("knn_other_groups", "D5", "qid:l id:l dist:d rank:l")
 def knn_other_groups(spark, sf):
     """Eight nearest points of other groups for every point (brute force in tests: the SQL is quadratic)."""
-    p = materialize(pts(spark, sf).select("id", "grp", "u", "v"), "cloud")
-    return knn(p.select(F.col("id").alias("qid"), F.col("grp").alias("qgrp"), "u", "v"), p, K, written=True)
+    return neighbours(spark, sf)
 
 
 @query("nearest_distance", "D6", "grp:l d_min:d d_mean:d own_min:d")
@@ -274,7 +271,7 @@ def surface_prediction(spark, sf):
 @query("surface_over_cloud", "I2 I4", "qid:l nn:d h1:d h2:d h3:d")
 def surface_over_cloud(spark, sf):
     """Three surfaces at every point of the cloud from its eight foreign neighbours (checked by brute force in tests)."""
-    return SF.idw(neighbours(spark, sf), ["qid"], HS)
+    return SF.idw(neighbours(spark, sf, values=HS), ["qid"], HS)
 
 
 @query("quadratic_trend", "E27", "n:l r2:d resid_sd:d")

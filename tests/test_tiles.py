@@ -141,3 +141,26 @@ def test_nearest_distance_matches_brute_force(spark):
     p["any"], p["other"] = d.min(1), np.where(p.grp.to_numpy()[:, None] == p.grp.to_numpy(), np.inf, d).min(1)
     want = p.groupby("grp").agg(d_min=("other", "min"), d_mean=("other", "mean"), own_min=("any", "min"))
     assert np.allclose(got.loc[want.index, want.columns], want, atol=1e-6) and len(got) == len(want)
+
+
+def test_surface_over_cloud_writes_no_pairs(spark):
+    assert 0 < disk_a_point(spark, "surface_over_cloud") < 500
+
+
+def test_surface_over_cloud_matches_brute_force(spark):
+    import __spark_entry__
+    from boreline.plans import q_spatial
+    small = "/root/testdata/sf0.001"
+    p = q_spatial.pts(spark, small).toPandas()
+    got = __spark_entry__.queries()["surface_over_cloud"](spark, small).toPandas().set_index("qid")
+    at = p.set_index("id")
+    q = p.head(200).rename(columns={"id": "qid", "grp": "qgrp"})
+    for qid, near in brute(q, p, q_spatial.K).items():
+        ids, d = (np.array(x) for x in zip(*near))
+        w = 1.0 / np.maximum(d, 1e-3) ** 2
+        for h in q_spatial.HS:
+            v = at.loc[ids, h].to_numpy(float)
+            ok = ~np.isnan(v)
+            assert got.loc[qid, h] == pytest.approx((w[ok] * v[ok]).sum() / w[ok].sum(), abs=1e-5)
+        assert got.loc[qid, "nn"] == pytest.approx(d[0], abs=1e-6)
+    assert len(got) == len(p)
